@@ -90,7 +90,7 @@ def event_surface(event: Column, explicit: Column) -> Column:
 
 
 def clipped_ratio(num: Column, den: Column) -> Column:
-    return F.when(den > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), num / den)))
+    return F.when((den > 0) & num.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), num / den)))
 
 
 def polynomial_parity(seed: Column, base: int = 131, modulus: int = 1_000_003) -> Column:

@@ -73,9 +73,15 @@ def prior_totals(
 
 
 def sequence_rows(
-    df: DataFrame, keys: Sequence[str], batch: str, tie: str, out: str = "seq", width: int = 1 << 16
+    df: DataFrame,
+    keys: Sequence[str],
+    batch: str,
+    tie: str,
+    out: str = "seq",
+    width: int = 1 << 16,
+    then: Sequence[str] = (),
 ) -> DataFrame:
-    """Dense 1-based position of every row within its key, ordered by (batch, tie).
+    """Dense 1-based position of every row within its key, ordered by (batch, tie, *then).
 
     Adds ``<out>`` and ``<out>_before`` (rows of the key in earlier batches). A batch that is
     itself huge for one key is cut along ``tie``.
@@ -85,7 +91,7 @@ def sequence_rows(
     before = prior_totals(marked, keys, [batch, "_sub"], sums={"_n": F.lit(1)})
     first = Window.partitionBy(*keys, batch).orderBy("_sub")
     before = before.withColumn(f"{out}_before", F.min("_n").over(first))
-    local = Window.partitionBy(*keys, batch, "_sub").orderBy(tie)
+    local = Window.partitionBy(*keys, batch, "_sub").orderBy(tie, *then)
     return (
         marked.join(before, [*keys, batch, "_sub"])
         .withColumn(out, F.col("_n") + F.row_number().over(local))

@@ -204,10 +204,15 @@ def counts_and_rest(parts: DataFrame, default: float = 21.0, cap: float = 90.0)
         maxes={"last_date": F.col("match_date")},
     )
     gap = F.datediff("match_date", "last_date").cast("double")
-    rest = F.coalesce(F.least(F.lit(cap), F.greatest(F.lit(0.0), gap)), F.lit(default))
+    rest = rest_days(gap, default, cap)
     return totals.select(*ENTITY, "batch_no", "n_before", "wins_before", "last_date", rest.alias("days_rest"))
 
 
+def rest_days(gap: Column, default: float, cap: float) -> Column:
+    """Days since the last match within [0, cap]; the default where there is none."""
+    return F.when(gap.isNull(), F.lit(default)).otherwise(F.least(F.lit(cap), F.greatest(F.lit(0.0), gap)))
+
+
 def surface_counts(parts: DataFrame) -> DataFrame:
     return prior_totals(parts, ENTITY_SURFACE, "batch_no", sums={"surface_n": F.lit(1), "surface_wins": F.col("won")})
 

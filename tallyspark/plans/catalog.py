@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.plans import rows  # noqa: F401
 from tallyspark.plans import history  # noqa: F401
+from tallyspark.plans import evaluation  # noqa: F401
+from tallyspark.plans import rating  # noqa: F401
 from tallyspark.plans.history import prior_form_difference
 from tallyspark.plans.registry import ORACLES, QUERIES
 

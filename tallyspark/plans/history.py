@@ -82,7 +82,7 @@ def _form_sql(spans, surface=False):
     s = ", surface" if surface else ""
     on = "AND b.surface = a.surface" if surface else ""
     cols = ", ".join(
-        f"round(coalesce(avg(b.won) FILTER (b.rn > a.n - {k} AND b.rn <= a.n), 0.5), 6) + 0.0 AS form_{k}" for k in spans
+        r6(f"coalesce(avg(b.won) FILTER (b.rn > a.n - {k} AND b.rn <= a.n), 0.5)") + f" AS form_{k}" for k in spans
     )
     return f"""WITH {SEQ_CTE.format(s=s)} SELECT a.match_id, a.entity, {cols} FROM seqd a LEFT JOIN seqd b
       ON b.pool = a.pool AND b.entity = a.entity {on} AND b.rn <= a.n AND b.rn > a.n - {max(spans)}
@@ -305,21 +305,21 @@ GAP = f"date_diff('day', max(match_date) OVER {PRIOR}, match_date)"
 
 @query(
     "w7_days_rest",
-    f"""SELECT match_id, entity, CAST(coalesce(least(90, greatest(0, {GAP})), 21) AS DOUBLE) AS rest_90,
-        CAST(coalesce(least(60, greatest(0, {GAP})), 14) AS DOUBLE) AS rest_60 FROM rparts""",
+    f"""SELECT match_id, entity, CAST(CASE WHEN {GAP} IS NULL THEN 21 ELSE least(90, greatest(0, {GAP})) END AS DOUBLE) AS rest_90,
+        CAST(CASE WHEN {GAP} IS NULL THEN 14 ELSE least(60, greatest(0, {GAP})) END AS DOUBLE) AS rest_60 FROM rparts""",
 )
 def _(spark, d):
     p = round_parts(spark, d)
     s = state.counts_and_rest(p)
     gap = F.datediff("match_date", "last_date").cast("double")
-    short = F.coalesce(F.least(F.lit(60.0), F.greatest(F.lit(0.0), gap)), F.lit(14.0))
+    short = state.rest_days(gap, 14.0, 60.0)
     return attach(p, s).select("match_id", "entity", F.col("days_rest").alias("rest_90"), short.alias("rest_60"))
 
 
 @query(
     "w8_recovery_curve",
     f"""SELECT match_id, entity, {r6("1 - exp(-rest / 3.5)")} AS recovery FROM (SELECT match_id, entity,
-        coalesce(least(90, greatest(0, {GAP})), 21) AS rest FROM rparts)""",
+        CASE WHEN {GAP} IS NULL THEN 21 ELSE least(90, greatest(0, {GAP})) END AS rest FROM rparts)""",
 )
 def _(spark, d):
     p = round_parts(spark, d)

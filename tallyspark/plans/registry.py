@@ -116,4 +116,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r6(expression: str) -> str:
-    return f"round({expression}, 6) + 0.0"
+    """Six decimals; the tiny shift makes every engine break ties the same way."""
+    return f"round(({expression}) + 1e-9, 6) + 0.0"

@@ -64,17 +64,38 @@ def smoothed(success: Column, trials: Column, prior: Column | float, weight: flo
     return F.when(trials > 0, (prior * w + success) / (w + trials)).otherwise(prior)
 
 
+@dataclass(frozen=True)
+class Measures:
+    """Running sums and maxima plus the columns built from them once the totals are known."""
+
+    sums: dict[str, Column]
+    maxes: dict[str, Column]
+    outs: list[Column]
+
+
+def state_table(parts: DataFrame, keys: Sequence[str], measures: Sequence[Measures]) -> DataFrame:
+    """All measures of a key in one pre-batch scan, one row per (keys, batch_no)."""
+    sums = {n: c for m in measures for n, c in m.sums.items()}
+    maxes = {n: c for m in measures for n, c in m.maxes.items()}
+    dated = parts.withColumn("_day", day_number(F.col("match_date")))
+    totals = prior_totals(dated, keys, ["batch_no", "match_date"], sums=sums, maxes=maxes)
+    return totals.select(*keys, "batch_no", *[c for m in measures for c in m.outs])
+
+
 # ---- cumulative rates -------------------------------------------------------------------
 
 
-def cumulative_rates(parts: DataFrame, stats: Sequence[StatSpec] = SERVE_STATS) -> DataFrame:
-    """Smoothed career rates before each batch; negative or missing counts are left out."""
+def cumulative_measures(stats: Sequence[StatSpec] = SERVE_STATS) -> Measures:
+    """Smoothed career rates; negative or missing counts are left out."""
     cols = sorted({s.success for s in stats} | {s.trials for s in stats} | {"svpt"})
-    sums = {f"t_{c}": F.when(F.col(c) >= 0, F.col(c).cast("double")) for c in cols}
-    totals = prior_totals(parts, ENTITY, "batch_no", sums=sums | {"n_before": F.lit(1)})
-    rates = [smoothed(F.col(f"t_{s.success}"), F.col(f"t_{s.trials}"), s.prior, s.weight).alias(s.name) for s in stats]
-    sample = (F.least(F.col("t_svpt"), F.lit(6000.0)) / 6000.0).alias("stat_sample")
-    return totals.select(*ENTITY, "batch_no", "n_before", *rates, sample)
+    sums = {f"c_{c}": F.when(F.col(c) >= 0, F.col(c).cast("double")) for c in cols}
+    rates = [smoothed(F.col(f"c_{s.success}"), F.col(f"c_{s.trials}"), s.prior, s.weight).alias(s.name) for s in stats]
+    sample = (F.least(F.col("c_svpt"), F.lit(6000.0)) / 6000.0).alias("stat_sample")
+    return Measures(sums, {}, [*rates, sample])
+
+
+def cumulative_rates(parts: DataFrame, stats: Sequence[StatSpec] = SERVE_STATS) -> DataFrame:
+    return state_table(parts, ENTITY, [cumulative_measures(stats), Measures({"n_before": F.lit(1)}, {}, [F.col("n_before")])])
 
 
 # ---- exponentially decayed values -------------------------------------------------------
@@ -92,20 +113,22 @@ def _growth(half_life: float) -> Column:
     return F.pow(F.lit(2.0), F.col("_day") / F.lit(half_life))
 
 
-def decayed_means(parts: DataFrame, keys: Sequence[str], specs: Sequence[DecaySpec]) -> DataFrame:
-    """Decayed mean of each value before each batch; null values do not count, no value is 0."""
+def decayed_mean_measures(specs: Sequence[DecaySpec]) -> Measures:
+    """Decayed mean of each value; null values do not count, no value is 0."""
     sums: dict[str, Column] = {}
     for s in specs:
         g = F.when(F.col(s.value).isNotNull(), _growth(s.half_life))
         sums[f"n_{s.name}"] = F.col(s.value) * g
         sums[f"d_{s.name}"] = g
-    dated = parts.withColumn("_day", day_number(F.col("match_date")))
-    totals = prior_totals(dated, keys, "batch_no", sums=sums)
     means = [
         F.when(F.col(f"d_{s.name}") > 0, F.col(f"n_{s.name}") / F.col(f"d_{s.name}")).otherwise(0.0).alias(s.name)
         for s in specs
     ]
-    return totals.select(*keys, "batch_no", *means)
+    return Measures(sums, {}, means)
+
+
+def decayed_means(parts: DataFrame, keys: Sequence[str], specs: Sequence[DecaySpec]) -> DataFrame:
+    return state_table(parts, keys, [decayed_mean_measures(specs)])
 
 
 # The decayed success/trial pairs.
@@ -123,27 +146,25 @@ DECAYED_STATS = (
 )
 
 
-def decayed_counts(
-    parts: DataFrame, keys: Sequence[str], stats: Sequence[StatSpec], prefix: str = "", half_life: float = DECAY_DAYS
-) -> DataFrame:
-    """Decayed successes ``s_*`` and trials ``t_*`` before each batch, as of the last valid row.
+def decayed_count_measures(stats: Sequence[StatSpec], prefix: str = "", half_life: float = DECAY_DAYS) -> Measures:
+    """Decayed successes ``s_*`` and trials ``t_*`` as of the last valid row.
 
     Rows without positive trials neither count nor move the decay date.
     """
-    sums, maxes = {}, {}
+    sums, maxes, outs = {}, {}, []
     for s in stats:
         valid = (F.col(s.trials) > 0) & F.col(s.success).isNotNull()
         g = _growth(half_life)
-        sums[f"s_{s.name}"] = F.when(valid, F.greatest(F.lit(0.0), F.col(s.success).cast("double")) * g)
-        sums[f"t_{s.name}"] = F.when(valid, F.col(s.trials).cast("double") * g)
-        maxes[f"l_{s.name}"] = F.when(valid, F.col("_day"))
-    dated = parts.withColumn("_day", day_number(F.col("match_date")))
-    totals = prior_totals(dated, keys, "batch_no", sums=sums, maxes=maxes)
-    out = []
-    for s in stats:
-        shrink = F.pow(F.lit(2.0), -F.coalesce(F.col(f"l_{s.name}"), F.lit(0)) / F.lit(half_life))
-        out += [(F.col(f"{k}_{s.name}") * shrink).alias(f"{prefix}{k}_{s.name}") for k in ("s", "t")]
-    return totals.select(*keys, "batch_no", *out)
+        sums[f"ds_{s.name}"] = F.when(valid, F.greatest(F.lit(0.0), F.col(s.success).cast("double")) * g)
+        sums[f"dt_{s.name}"] = F.when(valid, F.col(s.trials).cast("double") * g)
+        maxes[f"dl_{s.name}"] = F.when(valid, F.col("_day"))
+        shrink = F.pow(F.lit(2.0), -F.coalesce(F.col(f"dl_{s.name}"), F.lit(0)) / F.lit(half_life))
+        outs += [(F.col(f"d{k}_{s.name}") * shrink).alias(f"{prefix}{k}_{s.name}") for k in ("s", "t")]
+    return Measures(sums, maxes, outs)
+
+
+def decayed_counts(parts: DataFrame, keys: Sequence[str], stats: Sequence[StatSpec], prefix: str = "") -> DataFrame:
+    return state_table(parts, keys, [decayed_count_measures(stats, prefix)])
 
 
 def decayed_rate(name: str, prior: Column | float, weight: float = 120.0, prefix: str = "") -> Column:
@@ -194,18 +215,18 @@ def recent_form(parts: DataFrame, keys: Sequence[str], spans: Sequence[int]) ->
 # ---- rest, counts, workload ------------------------------------------------------------
 
 
-def counts_and_rest(parts: DataFrame, default: float = 21.0, cap: float = 90.0) -> DataFrame:
-    """Matches and wins before each batch, and days since the last earlier match."""
-    totals = prior_totals(
-        parts,
-        ENTITY,
-        ["batch_no", "match_date"],
-        sums={"n_before": F.lit(1), "wins_before": F.col("won")},
-        maxes={"last_date": F.col("match_date")},
-    )
+def count_rest_measures(default: float = 21.0, cap: float = 90.0) -> Measures:
+    """Matches and wins so far and days since the last earlier match."""
     gap = F.datediff("match_date", "last_date").cast("double")
-    rest = rest_days(gap, default, cap)
-    return totals.select(*ENTITY, "batch_no", "n_before", "wins_before", "last_date", rest.alias("days_rest"))
+    return Measures(
+        {"n_before": F.lit(1), "wins_before": F.col("won")},
+        {"last_date": F.col("match_date")},
+        [F.col("n_before"), F.col("wins_before"), F.col("last_date"), rest_days(gap, default, cap).alias("days_rest")],
+    )
+
+
+def counts_and_rest(parts: DataFrame, default: float = 21.0, cap: float = 90.0) -> DataFrame:
+    return state_table(parts, ENTITY, [count_rest_measures(default, cap)])
 
 
 def rest_days(gap: Column, default: float, cap: float) -> Column:
@@ -213,8 +234,12 @@ def rest_days(gap: Column, default: float, cap: float) -> Column:
     return F.when(gap.isNull(), F.lit(default)).otherwise(F.least(F.lit(cap), F.greatest(F.lit(0.0), gap)))
 
 
+def surface_count_measures() -> Measures:
+    return Measures({"surface_n": F.lit(1)}, {}, [F.col("surface_n")])
+
+
 def surface_counts(parts: DataFrame) -> DataFrame:
-    return prior_totals(parts, ENTITY_SURFACE, "batch_no", sums={"surface_n": F.lit(1), "surface_wins": F.col("won")})
+    return state_table(parts, ENTITY_SURFACE, [surface_count_measures()])
 
 
 def recovery(rest: Column) -> Column:

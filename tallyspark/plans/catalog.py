@@ -9,6 +9,7 @@ from tallyspark.plans import history  # noqa: F401
 from tallyspark.plans import evaluation  # noqa: F401
 from tallyspark.plans import rating  # noqa: F401
 from tallyspark.plans import opponent  # noqa: F401
+from tallyspark.plans import probability  # noqa: F401
 from tallyspark.plans import feature  # noqa: F401
 from tallyspark.plans.history import prior_form_difference
 from tallyspark.plans.registry import ORACLES, QUERIES

@@ -353,3 +353,28 @@ def head_to_head(m: DataFrame, by_surface: bool = False) -> DataFrame:
 
 def last_state_before(probes: DataFrame, states: DataFrame, payload: Sequence[str]) -> DataFrame:
     return asof_before(probes, states, ENTITY, "batch_no", payload)
+
+
+# ---- latest ----------------------------------------------------------------------------
+
+
+def latest_state(parts: DataFrame) -> DataFrame:
+    """Career totals, smoothed rates, last-5/10/20 form and newest ranking after the last match.
+
+    Form reads the last twenty results only: they are found by position, so a long career is
+    never gathered in one place.
+    """
+    sums = cumulative_measures()
+    known = F.max(F.when(F.col("ranking") != 0, F.struct("batch_no", "match_id", "ranking")))
+    totals = parts.groupBy(*ENTITY).agg(
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in sums.sums.items()],
+        F.count(F.lit(1)).alias("matches"),
+        F.max("match_date").alias("last_date"),
+        known["ranking"].alias("ranking"),
+    )
+    state = totals.select(*ENTITY, "matches", "last_date", "ranking", *sums.outs)
+    rows = sequence_rows(parts.select(*ENTITY, "batch_no", "match_id", "won"), ENTITY, "batch_no", "match_id")
+    age = F.col("matches") - F.col("seq")
+    form = rows.join(totals.select(*ENTITY, "matches"), list(ENTITY)).where(age < 20)
+    form = form.groupBy(*ENTITY).agg(*[F.avg(F.when(age < n, F.col("won"))).alias(f"form_{n}") for n in (5, 10, 20)])
+    return state.join(form, list(ENTITY))

@@ -374,7 +374,7 @@ def _(spark, d):
 
 @query(
     "x6_context_flags",
-    f"SELECT match_id, {', '.join(f'{FULL_SQL[c]} AS {c}' for c in ft.GROUPS['context'])} FROM matches o",
+    f"SELECT match_id, {', '.join(f'{r6(FULL_SQL[c])} AS {c}' for c in ft.GROUPS['context'])} FROM matches o",
 )
 def _(spark, d):
     flags = ft.context_flags()

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import initial_forms, key_to_id, letters_only
+from tallyspark.session import cut_lineage
 
 FAR = 99999
 EDITS = 2
@@ -68,26 +69,26 @@ def resolve_names(queries: DataFrame, directory: DataFrame) -> DataFrame:
     found = []
 
     exact = open_q.join(names.withColumnRenamed("name_key", "key"), "key")
-    exact = _by_roster(exact).select("query", "name", F.lit(1).alias("tier"))
+    exact = cut_lineage(_by_roster(exact).select("query", "name", F.lit(1).alias("tier")))
     found.append(exact)
-    rest = open_q.join(exact, "query", "left_anti")
+    rest = cut_lineage(open_q.join(exact, "query", "left_anti"))
 
     forms = rest.select("query", F.posexplode(F.array(short, comma)).alias("_which", "form")).where("form is not null")
     forms = forms.withColumn("name_key", letters_only(F.col("form"))).join(names, "name_key")
-    forms = _by_roster(forms, F.col("_which")).select("query", "name", F.lit(2).alias("tier"))
+    forms = cut_lineage(_by_roster(forms, F.col("_which")).select("query", "name", F.lit(2).alias("tier")))
     found.append(forms)
-    rest = rest.join(forms, "query", "left_anti")
+    rest = cut_lineage(rest.join(forms, "query", "left_anti"))
 
     starts = names.select("name", "ranking", F.explode(_starts(F.col("name_key"))).alias("key"))
     longer = rest.join(starts, "key").select("query", "name", "ranking")
     heads = rest.select("query", F.explode(_starts(F.col("key"), 1)).alias("name_key"))
     shorter = heads.join(names, "name_key").select("query", "name", "ranking")
-    prefix = _by_roster(longer.unionByName(shorter)).select("query", "name", F.lit(3).alias("tier"))
+    prefix = cut_lineage(_by_roster(longer.unionByName(shorter)).select("query", "name", F.lit(3).alias("tier")))
     found.append(prefix)
-    rest = rest.join(prefix, "query", "left_anti")
+    rest = cut_lineage(rest.join(prefix, "query", "left_anti"))
 
     inside = names.select("name", "ranking", F.explode(_pieces(F.col("name_key"))).alias("key"))
-    part = _by_roster(rest.join(inside, "key")).select("query", "name", F.lit(4).alias("tier"))
+    part = cut_lineage(_by_roster(rest.join(inside, "key")).select("query", "name", F.lit(4).alias("tier")))
     found.append(part)
     rest = rest.join(part, "query", "left_anti")
 

@@ -12,6 +12,7 @@ from tallyspark.plans import opponent  # noqa: F401
 from tallyspark.plans import probability  # noqa: F401
 from tallyspark.plans import feature  # noqa: F401
 from tallyspark.plans import people  # noqa: F401
+from tallyspark.plans import practice  # noqa: F401
 from tallyspark.plans.history import prior_form_difference
 from tallyspark.plans.registry import ORACLES, QUERIES
 

@@ -44,13 +44,13 @@ view(
 )
 
 
-def fold_sql(src: str, blend) -> str:
+def fold_sql(src: str, blend, init: str = "sides") -> str:
     """The fold as a match-by-match recursion that carries every entity's ratings per pool."""
     gap = f"({blend('l')}) - ({blend('w')})"
     return f"""(WITH RECURSIVE walk(pool, step, who, val, delta, wo, lo, ws, ls) AS (
         SELECT DISTINCT pool, CAST(0 AS BIGINT), entity || c, CAST(1500.0 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
           CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
-        FROM (SELECT pool, entity, unnest(['/o', '/' || surface]) AS c FROM sides)
+        FROM (SELECT pool, entity, unnest(['/o', '/' || surface]) AS c FROM {init})
         UNION ALL
         SELECT t.pool, p.step, t.who, t.val + CASE t.who WHEN p.winner || '/o' THEN 0.42 * p.d WHEN p.loser || '/o' THEN -0.42 * p.d
             WHEN p.winner || '/' || p.surface THEN 0.72 * p.d WHEN p.loser || '/' || p.surface THEN -0.72 * p.d ELSE 0 END,

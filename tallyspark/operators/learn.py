@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.prob import clamp, logit, sigmoid
@@ -256,9 +256,8 @@ def ablation(rows: DataFrame, features, families: dict[str, Sequence[str]], fold
             continue
         row = walk_forward(rows, kept, folds, year=year).where("fold = 0").withColumn("dropped", F.lit(name)).drop("fold")
         out = row if out is None else out.unionByName(row)
-    out = cut_lineage(out)
-    full = out.where("dropped = 'full'").select(F.col("log_loss").alias("_f"))
-    return out.crossJoin(F.broadcast(full)).withColumn("delta_log_loss", F.col("log_loss") - F.col("_f")).drop("_f")
+    full = F.max(F.when(F.col("dropped") == "full", F.col("log_loss"))).over(Window.partitionBy(F.lit(0)))
+    return cut_lineage(out).withColumn("delta_log_loss", F.col("log_loss") - full)
 
 
 def ladder(rows: DataFrame, rungs: Sequence[tuple[str, Sequence[str]]], folds, key: Sequence[str], block: Sequence[str], year="yr", iterations: int = 200) -> DataFrame:

@@ -111,6 +111,11 @@ def _(spark, d):
     return results.fingerprints(spark, d, "*.parquet")
 
 
+@query("q6_row_fingerprint")
+def _(spark, d):
+    return results.row_fingerprint(table(spark, d, "events"))
+
+
 # ---- artifacts -------------------------------------------------------------------------
 
 

@@ -174,25 +174,39 @@ def column_report(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def fingerprints(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """Snapshot hash of names and sizes (16 hex digits) and of the file contents."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    )
-    per = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha")
-    )
+def fingerprints(spark: SparkSession, path: str, glob: str = "*.csv", largest: int = 1 << 30) -> DataFrame:
+    """Snapshot hash of names and sizes (16 hex digits) and of the file contents.
+
+    Files above ``largest`` bytes are not hashed as one value; their number is reported and
+    ``row_fingerprint`` covers data of any size.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    sizes = files.select(name, "length")
+    small = files.where(F.col("length") <= largest).select(name, F.sha2("content", 256).alias("sha"))
+    listed = sizes.join(small, "name", "left")
     ordered = F.sort_array(F.collect_list(F.struct("name", "length", "sha")))
-    joined = per.agg(ordered.alias("f"))
+    joined = listed.agg(ordered.alias("f"))
     names = F.array_join(F.transform("f", lambda x: F.concat(x["name"], x["length"].cast("string"))), "")
-    whole = F.array_join(F.transform("f", lambda x: F.concat(x["name"], F.lit(":"), x["sha"])), "\n")
+    whole = F.array_join(F.transform("f", lambda x: F.concat_ws(":", x["name"], x["sha"])), "\n")
     return joined.select(
         F.size("f").alias("files"),
+        F.size(F.filter("f", lambda x: x["sha"].isNull())).alias("oversize"),
         F.substring(F.sha2(names, 256), 1, 16).alias("snapshot"),
         F.sha2(whole, 256).alias("content"),
     )
 
 
+def row_fingerprint(df: DataFrame) -> DataFrame:
+    """Order-independent fingerprint of all rows: count, XOR and modular sum of row hashes."""
+    h = F.xxhash64(*df.columns)
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.bit_xor(h).alias("xor"),
+        F.sum(F.pmod(h, F.lit((1 << 31) - 1))).alias("total"),
+    )
+
+
 def canonical_json_hash(df: DataFrame, key: str, value: str) -> DataFrame:
     """SHA-256 of key-sorted JSON text per row."""
     return df.select(key, F.sha2(F.col(value), 256).alias("sha256"))

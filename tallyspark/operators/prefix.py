@@ -35,40 +35,37 @@ def prior_totals(
     per = df.groupBy(*keys, *order).agg(
         *[F.sum(c).alias(n) for n, c in sums.items()],
         *[F.max(c).alias(n) for n, c in maxes.items()],
-        F.count(F.lit(1)).alias("_rows"),
     )
     per = per.withColumn("_chunk", chunk if chunk is not None else F.floor(F.col(order[0]) / CHUNK))
-    scan = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
-    )
-    inner = per.select(
+    key_list, order_list = ", ".join(f"`{k}`" for k in keys), ", ".join(f"`{o}`" for o in order)
+    by_key = f"PARTITION BY {key_list}" if keys else ""
+    by_chunk = f"PARTITION BY {key_list + ', ' if keys else ''}_chunk"
+    ends = "CURRENT ROW" if inclusive else "1 PRECEDING"
+    scan = f"({by_chunk} ORDER BY {order_list} ROWS BETWEEN UNBOUNDED PRECEDING AND {ends})"
+    across = f"({by_key} ORDER BY _chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    inner = per.selectExpr(
         *keys,
         *order,
         "_chunk",
-        *[F.sum(n).over(scan).alias(n) for n in sums],
-        *[F.max(n).over(scan).alias(n) for n in maxes],
-    )
-    totals = per.groupBy(*keys, "_chunk").agg(
-        *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxes], F.sum("_rows").alias("_rows")
-    )
-    across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        totals.select(
-            *keys,
-            "_chunk",
-            *[F.sum(n).over(across).alias(f"_c_{n}") for n in sums],
-            *[F.max(n).over(across).alias(f"_c_{n}") for n in maxes],
-            F.sum("_rows").over(across).alias("_before"),
-        )
-        .where(F.col("_before") > 0)
-        .drop("_before")
+        *[f"sum(`{n}`) OVER {scan} AS `{n}`" for n in sums],
+        *[f"max(`{n}`) OVER {scan} AS `{n}`" for n in maxes],
     )
+    # both branches read the same columns of ``per``, so its shuffle is shared
+    folded = [F.expr(f"sum(`{n}`) AS `{n}`") for n in sums] + [F.expr(f"max(`{n}`) AS `{n}`") for n in maxes]
+    totals = per.groupBy(*keys, "_chunk").agg(*folded)
+    carry = totals.selectExpr(
+        *keys,
+        "_chunk",
+        *[f"sum(`{n}`) OVER {across} AS `_c_{n}`" for n in sums],
+        *[f"max(`{n}`) OVER {across} AS `_c_{n}`" for n in maxes],
+        f"row_number() OVER ({by_key} ORDER BY _chunk) AS _place",
+    ).where("_place > 1")
     joined = inner.join(carry, keys + ["_chunk"], "left")
-    return joined.select(
+    return joined.selectExpr(
         *keys,
         *order,
-        *[(F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in sums],
-        *[F.greatest(F.col(n), F.col(f"_c_{n}")).alias(n) for n in maxes],
+        *[f"coalesce(`{n}`, 0) + coalesce(`_c_{n}`, 0) AS `{n}`" for n in sums],
+        *[f"greatest(`{n}`, `_c_{n}`) AS `{n}`" for n in maxes],
     )
 
 

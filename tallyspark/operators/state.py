@@ -99,6 +99,8 @@ def cumulative_rates(parts: DataFrame, stats: Sequence[StatSpec] = SERVE_STATS)
 
 
 # ---- exponentially decayed values -------------------------------------------------------
+# Weights grow as 2^(day / half-life) from a fixed origin; dividing two such sums equals decaying
+# to the last update. (span in days) / half-life must stay below 900 to fit a double.
 
 
 @dataclass(frozen=True)
@@ -108,22 +110,14 @@ class DecaySpec:
     half_life: float
 
 
-def _growth(half_life: float) -> Column:
-    """2^(day / half-life); dividing two sums of it equals decaying to the last update."""
-    return F.pow(F.lit(2.0), F.col("_day") / F.lit(half_life))
-
-
 def decayed_mean_measures(specs: Sequence[DecaySpec]) -> Measures:
     """Decayed mean of each value; null values do not count, no value is 0."""
     sums: dict[str, Column] = {}
     for s in specs:
-        g = F.when(F.col(s.value).isNotNull(), _growth(s.half_life))
-        sums[f"n_{s.name}"] = F.col(s.value) * g
-        sums[f"d_{s.name}"] = g
-    means = [
-        F.when(F.col(f"d_{s.name}") > 0, F.col(f"n_{s.name}") / F.col(f"d_{s.name}")).otherwise(0.0).alias(s.name)
-        for s in specs
-    ]
+        growth = f"pow(2D, _day / {s.half_life}D)"
+        sums[f"n_{s.name}"] = F.expr(f"{s.value} * {growth}")
+        sums[f"d_{s.name}"] = F.expr(f"CASE WHEN {s.value} IS NOT NULL THEN {growth} END")
+    means = [F.expr(f"CASE WHEN d_{s.name} > 0 THEN n_{s.name} / d_{s.name} ELSE 0D END AS {s.name}") for s in specs]
     return Measures(sums, {}, means)
 
 
@@ -152,14 +146,14 @@ def decayed_count_measures(stats: Sequence[StatSpec], prefix: str = "", half_lif
     Rows without positive trials neither count nor move the decay date.
     """
     sums, maxes, outs = {}, {}, []
+    h = f"{half_life}D"
     for s in stats:
-        valid = (F.col(s.trials) > 0) & F.col(s.success).isNotNull()
-        g = _growth(half_life)
-        sums[f"ds_{s.name}"] = F.when(valid, F.greatest(F.lit(0.0), F.col(s.success).cast("double")) * g)
-        sums[f"dt_{s.name}"] = F.when(valid, F.col(s.trials).cast("double") * g)
-        maxes[f"dl_{s.name}"] = F.when(valid, F.col("_day"))
-        shrink = F.pow(F.lit(2.0), -F.coalesce(F.col(f"dl_{s.name}"), F.lit(0)) / F.lit(half_life))
-        outs += [(F.col(f"d{k}_{s.name}") * shrink).alias(f"{prefix}{k}_{s.name}") for k in ("s", "t")]
+        valid = f"{s.trials} > 0 AND {s.success} IS NOT NULL"
+        amount = {"s": f"greatest(0D, CAST({s.success} AS DOUBLE))", "t": f"CAST({s.trials} AS DOUBLE)"}
+        for k, v in amount.items():
+            sums[f"d{k}_{s.name}"] = F.expr(f"CASE WHEN {valid} THEN {v} * pow(2D, _day / {h}) END")
+            outs.append(F.expr(f"d{k}_{s.name} * pow(2D, -coalesce(dl_{s.name}, 0) / {h}) AS {prefix}{k}_{s.name}"))
+        maxes[f"dl_{s.name}"] = F.expr(f"CASE WHEN {valid} THEN _day END")
     return Measures(sums, maxes, outs)
 
 

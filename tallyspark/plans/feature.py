@@ -24,6 +24,7 @@ from tallyspark.plans.opponent import common_sql
 from tallyspark.plans.probability import clamp_sql, match_from_points_sql
 from tallyspark.plans.registry import query, r6, view
 from tallyspark.plans.rows import FLIP_POOL, flip_of, rnd
+from tallyspark.session import cut_lineage
 from tallyspark.sources.fixtures import matches, parts, scored
 
 def pool_prior():
@@ -32,8 +33,9 @@ def pool_prior():
 
 def numbered_matches(spark, d):
     """Oriented matches with both batch numbers and the context labels of the fixture."""
-    m = with_batch(matches(spark, d), VENUE_BATCH).withColumnRenamed("batch_no", "venue_no")
-    m = with_batch(m, ROUND_BATCH)
+    m = cut_lineage(matches(spark, d))
+    m = with_batch(m, VENUE_BATCH).withColumnRenamed("batch_no", "venue_no")
+    m = cut_lineage(with_batch(m, ROUND_BATCH))
     pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i.cast("int"))
     m = m.withColumns(
         {

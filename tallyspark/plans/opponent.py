@@ -65,7 +65,7 @@ COMMON_COLS = ("common_result", "common_serve", "common_return", "common_surface
 )
 def _(spark, d):
     m = oriented(round_matches(spark, d), flip_of())
-    edges = fixture_edges(derived_counts(parts(spark, d, round_matches(spark, d))))
+    edges = fixture_edges(derived_counts(parts(spark, d, m)))
     out = op.common_opponents(m, edges)
     return out.select("match_id", "shared", *[rnd(c).alias(c) for c in COMMON_COLS])
 
@@ -93,7 +93,7 @@ RECORD_SQL = f"""WITH s1 AS {_record_side(1, 'p1')}, s2 AS {_record_side(2, 'p2'
 @query("j5_opponent_records", RECORD_SQL)
 def _(spark, d):
     m = oriented(round_matches(spark, d), flip_of())
-    edges = fixture_edges(derived_counts(parts(spark, d, round_matches(spark, d))))
+    edges = fixture_edges(derived_counts(parts(spark, d, m)))
     out = op.opponent_records(m, edges)
     whole = ("common_count", "surface_count")
     return out.select("match_id", *[F.col(c) if c in whole else rnd(c).alias(c) for c in op.RECORD])

@@ -7,7 +7,7 @@ tier compares a query with the whole directory or with a block of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import initial_forms, key_to_id, letters_only
@@ -45,59 +45,57 @@ def _deletions(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), once, twice))
 
 
-def _by_roster(df: DataFrame, *first: Column) -> DataFrame:
-    """The best candidate per query: given order, then ranking (unknown last), then name."""
-    rank = F.coalesce(F.nullif("ranking", F.lit(0.0)), F.lit(float(FAR)))
-    w = Window.partitionBy("query").orderBy(*first, rank, "name")
-    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+def _rank() -> Column:
+    return F.coalesce(F.nullif("ranking", F.lit(0.0)), F.lit(float(FAR)))
+
+
+def _best_per(df: DataFrame, key: str, *first: str) -> DataFrame:
+    """Best name per key: given columns, then ranking (unknown last), then name.
+
+    Taken as a minimum, so a key that many names share shrinks to one row before any join.
+    """
+    best = df.groupBy(key).agg(F.min(F.struct(*first, "rank", "name")).alias("_best"))
+    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in (*first, "rank", "name")])
 
 
 def resolve_names(queries: DataFrame, directory: DataFrame) -> DataFrame:
     """Best directory entry per distinct query text, with the tier that found it.
 
     Tiers: 1 exact letters, 2 ``Last F.`` forms, 3 prefix either way, 4 substring, 5 at most two
-    edits; 0 when nothing matches. Later tiers only see what earlier ones left.
+    edits; 0 when nothing matches. Later tiers only see what earlier ones left, and every lookup
+    table holds one row per spelling.
     """
     q = queries.select("query").distinct().withColumn("key", letters_only(F.col("query")))
-    names = (
-        directory.groupBy("name")
-        .agg(F.min("ranking").alias("ranking"))
-        .withColumn("name_key", letters_only(F.col("name")))
-    )
+    listed = directory.select("name", _rank().alias("rank"), letters_only(F.col("name")).alias("name_key"))
+    names = cut_lineage(_best_per(listed, "name_key"))
     short, comma = initial_forms(F.col("query"))
-    open_q = q.where(F.length("key") >= 2)
+    rest = cut_lineage(q.where(F.length("key") >= 2))
     found = []
 
-    exact = open_q.join(names.withColumnRenamed("name_key", "key"), "key")
-    exact = cut_lineage(_by_roster(exact).select("query", "name", F.lit(1).alias("tier")))
-    found.append(exact)
-    rest = cut_lineage(open_q.join(exact, "query", "left_anti"))
+    def settle(hits: DataFrame, tier: int, *first: str) -> None:
+        nonlocal rest
+        hits = cut_lineage(_best_per(hits, "query", *first).select("query", "name", F.lit(tier).alias("tier")))
+        found.append(hits)
+        if tier < 5:
+            rest = cut_lineage(rest.join(hits, "query", "left_anti"))
+
+    settle(rest.join(names.withColumnRenamed("name_key", "key"), "key"), 1)
 
-    forms = rest.select("query", F.posexplode(F.array(short, comma)).alias("_which", "form")).where("form is not null")
-    forms = forms.withColumn("name_key", letters_only(F.col("form"))).join(names, "name_key")
-    forms = cut_lineage(_by_roster(forms, F.col("_which")).select("query", "name", F.lit(2).alias("tier")))
-    found.append(forms)
-    rest = cut_lineage(rest.join(forms, "query", "left_anti"))
+    forms = rest.select("query", F.posexplode(F.array(short, comma)).alias("which", "form")).where("form is not null")
+    settle(forms.withColumn("name_key", letters_only(F.col("form"))).join(names, "name_key"), 2, "which")
 
-    starts = names.select("name", "ranking", F.explode(_starts(F.col("name_key"))).alias("key"))
-    longer = rest.join(starts, "key").select("query", "name", "ranking")
+    starts = _best_per(names.select("rank", "name", F.explode(_starts(F.col("name_key"))).alias("key")), "key")
     heads = rest.select("query", F.explode(_starts(F.col("key"), 1)).alias("name_key"))
-    shorter = heads.join(names, "name_key").select("query", "name", "ranking")
-    prefix = cut_lineage(_by_roster(longer.unionByName(shorter)).select("query", "name", F.lit(3).alias("tier")))
-    found.append(prefix)
-    rest = cut_lineage(rest.join(prefix, "query", "left_anti"))
+    longer = rest.join(starts, "key").select("query", "rank", "name")
+    settle(longer.unionByName(heads.join(names, "name_key").select("query", "rank", "name")), 3)
 
-    inside = names.select("name", "ranking", F.explode(_pieces(F.col("name_key"))).alias("key"))
-    part = cut_lineage(_by_roster(rest.join(inside, "key")).select("query", "name", F.lit(4).alias("tier")))
-    found.append(part)
-    rest = rest.join(part, "query", "left_anti")
+    inside = _best_per(names.select("rank", "name", F.explode(_pieces(F.col("name_key"))).alias("key")), "key")
+    settle(rest.join(inside, "key"), 4)
 
     near_q = rest.select("query", "key", F.explode(_deletions(F.col("key"))).alias("_d"))
-    near_n = names.select("name", "ranking", "name_key", F.explode(_deletions(F.col("name_key"))).alias("_d"))
-    close = near_q.join(near_n, "_d").select("query", "key", "name", "name_key", "ranking").distinct()
-    close = close.withColumn("_dist", F.levenshtein("key", "name_key", EDITS)).where(F.col("_dist").between(0, EDITS))
-    near = _by_roster(close, F.col("_dist")).select("query", "name", F.lit(5).alias("tier"))
-    found.append(near)
+    near_n = names.select("name", "rank", "name_key", F.explode(_deletions(F.col("name_key"))).alias("_d"))
+    close = near_q.join(near_n, "_d").withColumn("dist", F.levenshtein("key", "name_key", EDITS))
+    settle(close.where(F.col("dist").between(0, EDITS)), 5, "dist")
 
     hits = found[0]
     for f in found[1:]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.prob import clamp
 from tallyspark.operators.prefix import prior_totals
 
-AUC_CHUNKS = 1 << 14
+AUC_CHUNKS = 1 << 20
 BINS = 10
 
 

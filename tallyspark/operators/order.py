@@ -27,3 +27,10 @@ def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
         .withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint"))
         .drop("_r", "_off", "_range")
     )
+
+
+def numbered_within(df: DataFrame, group: str, order: Sequence[str], out: str) -> DataFrame:
+    """1-based position within each group; a group of any size spans as many ranges as it needs."""
+    placed = cut_lineage(numbered(df, [group, *order], "_pos"))
+    first = placed.groupBy(group).agg(F.min("_pos").alias("_first"))
+    return placed.join(first, group).withColumn(out, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")

@@ -76,19 +76,18 @@ def sequence_rows(
     tie: str,
     out: str = "seq",
     width: int = 1 << 16,
-    then: Sequence[str] = (),
 ) -> DataFrame:
-    """Dense 1-based position of every row within its key, ordered by (batch, tie, *then).
+    """Dense 1-based position of every row within its key, ordered by (batch, tie).
 
     Adds ``<out>`` and ``<out>_before`` (rows of the key in earlier batches). A batch that is
-    itself huge for one key is cut along ``tie``.
+    itself huge for one key is cut along ``tie``, an integer that is unique within the key.
     """
     sub = F.floor(F.col(tie) / width)
     marked = df.withColumn("_sub", sub)
     before = prior_totals(marked, keys, [batch, "_sub"], sums={"_n": F.lit(1)})
     first = Window.partitionBy(*keys, batch).orderBy("_sub")
     before = before.withColumn(f"{out}_before", F.min("_n").over(first))
-    local = Window.partitionBy(*keys, batch, "_sub").orderBy(tie, *then)
+    local = Window.partitionBy(*keys, batch, "_sub").orderBy(tie)
     return (
         marked.join(before, [*keys, batch, "_sub"])
         .withColumn(out, F.col("_n") + F.row_number().over(local))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import metrics as mx
 from tallyspark.operators import resample, splits
+from tallyspark.operators.order import numbered_within
 from tallyspark.operators.prefix import sequence_rows
 from tallyspark.plans.history import round_matches, venue_matches
 from tallyspark.plans.registry import query, r6, view
@@ -353,8 +354,8 @@ def _(spark, d):
        AS idx FROM matches""",
 )
 def _(spark, d):
-    m = venue_matches(spark, d)
-    out = sequence_rows(m, ["pool"], "batch_no", "winner", out="idx", then=("loser", "match_id"))
+    m = matches(spark, d).select("pool", "match_date", "venue", "winner", "loser", "match_id")
+    out = numbered_within(m, "pool", ["match_date", "venue", "winner", "loser", "match_id"], "idx")
     return out.select("match_id", "idx")
 
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-_local_fallback: list[str] = []
+WAREHOUSE_KEY = "spark.sql.warehouse.dir"
 
 
 def local_session(app: str = "tallyspark", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -28,36 +27,32 @@ def local_session(app: str = "tallyspark", cores: str | int = "*", shuffle_parti
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return (spark.conf.get("spark.master", "") or "").startswith("local")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
-
-    A temporary folder stands in only on a local master where nothing is configured.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else a folder in the warehouse."""
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not _is_local(spark):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    if not _local_fallback:
-        _local_fallback.append(tempfile.mkdtemp(prefix="tallyspark-"))
-    return _local_fallback[0]
+    return spark.conf.get(WAREHOUSE_KEY).rstrip("/") + "/_staged"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the session ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and continue from the files.
 
     The files survive the loss of any executor, so a long loop restarts from the last cut
     and not from its beginning.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "cut")
-    df.write.mode("overwrite").parquet(path)
+    path = scratch_path(spark, label)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -64,19 +64,19 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-POWERS = Powers()
+POWERS, MORE_POWERS = Powers(), Powers(0x2545F4914F6CDD1D)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
     """Running polynomial sums; ``span_hash`` takes the hash of any span from them."""
-    up, _ = POWERS.get(len(data) + 1)
+    up, _ = powers.get(len(data) + 1)
     out = np.zeros(len(data) + 1, dtype=_U)
     np.cumsum((data.astype(_U) + _U(1)) * up[:-1], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    _, down = POWERS.get(len(prefix))
+def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
+    _, down = powers.get(len(prefix))
     return (prefix[stop] - prefix[start]) * down[start]
 
 

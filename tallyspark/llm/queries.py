@@ -12,6 +12,7 @@ from tallyspark.llm.bpe import bpe_decode, bpe_encode
 from tallyspark.llm.chat import chat_digests, chat_windows, read_windows
 from tallyspark.llm.minhash import minhash_groups
 from tallyspark.llm.pii import pseudonymise
+from tallyspark.llm.suffix import without_repeats
 
 PSEUDONYM_KEY = "corpus"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +117,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii_pseudonyms")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_documents(spark, sf_dir), PSEUDONYM_KEY).select("doc_id", "text", "n_private")
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeats(_documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -12,6 +12,7 @@ from tallyspark.llm.bpe import bpe_decode, bpe_encode
 from tallyspark.llm.chat import chat_digests, chat_windows, read_windows
 from tallyspark.llm.minhash import minhash_groups
 from tallyspark.llm.pii import pseudonymise
+from tallyspark.llm.quality import quality_scores
 from tallyspark.llm.suffix import without_repeats
 
 PSEUDONYM_KEY = "corpus"
@@ -123,3 +124,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(_documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from tallyspark.llm.bpe import bpe_decode, bpe_encode
 from tallyspark.llm.chat import chat_digests, chat_windows, read_windows
 from tallyspark.llm.minhash import minhash_groups
+from tallyspark.llm.nearest import build_index, nearest
 from tallyspark.llm.pii import pseudonymise
 from tallyspark.llm.quality import quality_scores
 from tallyspark.llm.suffix import without_repeats
+from tallyspark.llm.vector_dedup import vector_groups
 
 PSEUDONYM_KEY = "corpus"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +131,27 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_quality_classifier")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op5_embedding_near_dedup",
+    """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS n_links,
+  (SELECT min(y) FROM reach r WHERE r.x = e.vec_id) AS component_id, (SELECT min(y) FROM reach r WHERE r.x = e.vec_id) = e.vec_id AS kept
+FROM embeddings e""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+@query("op8_one_bit_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_index(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return nearest(index, F.col("id") % 20 == 0, 20)

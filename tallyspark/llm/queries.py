@@ -12,10 +12,13 @@ from tallyspark.llm.bpe import bpe_decode, bpe_encode
 from tallyspark.llm.chat import chat_digests, chat_windows, read_windows
 from tallyspark.llm.minhash import minhash_groups
 from tallyspark.llm.nearest import build_index, nearest
+from tallyspark.llm.packing import packed_batches, word_pieces
 from tallyspark.llm.pii import pseudonymise
 from tallyspark.llm.quality import quality_scores
 from tallyspark.llm.suffix import without_repeats
+from tallyspark.llm.token_files import flat_token_blocks, named_counts
 from tallyspark.llm.vector_dedup import vector_groups
+from tallyspark.session import cut_lineage
 
 PSEUDONYM_KEY = "corpus"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +158,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return nearest(index, F.col("id") % 20 == 0, 20)
+
+
+@query("op4_separator_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = cut_lineage(flat_token_blocks(_documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.tiktoken")), "tokens")
+    return named_counts(blocks).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_length_buckets")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_batches(cut_lineage(word_pieces(_documents(spark, sf_dir)), "pieces")).withColumnRenamed("id", "doc_id")

@@ -122,12 +122,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """
     kept = docs.columns
     text = F.col(f"`{text_col}`")
-    hit = text.rlike("[0-9@]")
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept if c not in (text_col, count_col)], text.alias("_text"), F.lit(key).alias("_key"), F.when(hit, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("_m"))
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), text.alias("_text"), F.lit(key).alias("_key"), F.lit(PATTERN).alias("_p"), found.alias("_m"))
     rows = rows.withColumn("_x", F.expr("transform(_m, m -> named_struct('m', m, 'd', regexp_replace(m, '[^0-9]', '')))"))
     rows = rows.withColumn("_x", F.expr(f"transform(_x, x -> named_struct('m', x.m, 'd', x.d, 'k', {_kind()}))"))
     new: Column = F.when(F.size("_m") > 0, F.array_join(F.expr(f"zip_with(split(_text, _p, -1), transform(_x, x -> {_pseudonym()}), (a, b) -> concat(a, coalesce(b, '')))"), "")).otherwise(F.col("_text"))
     count = F.coalesce(F.expr("size(filter(_x, x -> x.k is not null))"), F.lit(0))
-    rows = rows.withColumn("_p", F.lit(PATTERN))
-    order = [new.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in kept if c != count_col]
+    order = [new.alias(text_col) if c == text_col else F.col("_row").getField(c).alias(c) for c in kept if c != count_col]
     return rows.select(*order, F.when(F.col("_m").isNull(), 0).otherwise(count).cast("int").alias(count_col))

@@ -1,8 +1,8 @@
 """Accuracy, log loss, Brier score, AUC and calibration per group.
 
-All of them read one table of (group, probability) -> positives, negatives, built with map-side
-combining, so a group of any size reaches later steps as its distinct probabilities. The only
-ordered step, the AUC, is scanned in probability chunks.
+Everything but the AUC is one map-side combined aggregate over the rows: per group, or per group and
+bucket. The AUC alone needs an order: it reads a table of (group, probability) -> positives, negatives,
+scanned in probability chunks.
 """
 
 from __future__ import annotations
@@ -27,6 +27,13 @@ def outcome_counts(df: DataFrame, keys: Sequence[str], p: str | Column, label: s
     )
 
 
+def outcomes(df: DataFrame, keys: Sequence[str], p: str | Column, label: str = "label", eps: float = 1e-6) -> DataFrame:
+    """One row per row: the clamped probability and the label as positives and negatives. No shuffle."""
+    prob = clamp(F.col(p) if isinstance(p, str) else p, eps, 1.0 - eps)
+    y = F.col(label).cast("bigint")
+    return df.select(*keys, prob.alias("p"), y.alias("pos"), (1 - y).alias("neg"))
+
+
 def basic_metrics(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     p, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
     n = F.sum(pos + neg)
@@ -61,10 +68,14 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, chunk: Column)
     )
 
 
+def _bucket() -> Column:
+    return F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int")
+
+
 def calibration_table(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     n = F.sum(F.col("pos") + F.col("neg"))
     return (
-        counts.withColumn("bucket", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int"))
+        counts.withColumn("bucket", _bucket())
         .groupBy(*keys, "bucket")
         .agg(
             n.alias("n"),
@@ -79,20 +90,29 @@ def calibration_error(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return calibration_table(counts, keys).groupBy(*keys).agg((gap / F.sum("n")).alias("ece"))
 
 
+def _flat_metrics(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Accuracy, log loss, Brier and calibration error in one pass: a few bucket rows per group are shuffled."""
+    p, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
+    per = points.groupBy(*keys, _bucket().alias("_b")).agg(
+        F.sum(pos + neg).alias("n"),
+        F.sum(F.when(p >= 0.5, pos).otherwise(neg)).alias("_right"),
+        F.sum(pos * F.log(p) + neg * F.log1p(-p)).alias("_log"),
+        F.sum(pos * (p - 1) * (p - 1) + neg * p * p).alias("_square"),
+        F.abs(F.sum(p * (pos + neg)) - F.sum(pos)).alias("_gap"),
+    )
+    n = F.sum("n")
+    return per.groupBy(*keys).agg(
+        n.alias("n"), (F.sum("_right") / n).alias("accuracy"), (-F.sum("_log") / n).alias("log_loss"), (F.sum("_square") / n).alias("brier"), (F.sum("_gap") / n).alias("ece")
+    )
+
+
 def bundle(df: DataFrame, keys: Sequence[str], p: str | Column, label: str = "label", min_rows: int = 0) -> DataFrame:
     """Accuracy, AUC, log loss, Brier and calibration error per group with enough rows."""
-    counts = outcome_counts(df, keys, p, label)
-    keys = list(keys)
-    if keys:
-        out = basic_metrics(counts, keys).join(auc(counts, keys), keys).join(calibration_error(counts, keys), keys)
-    else:
-        tag = counts.withColumn("_all", F.lit(0))
-        out = (
-            basic_metrics(tag, ["_all"])
-            .join(auc(tag, ["_all"]), "_all")
-            .join(calibration_error(tag, ["_all"]), "_all")
-            .drop("_all")
-        )
+    groups = list(keys) or ["_all"]
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    flat = _flat_metrics(outcomes(rows, groups, p, label), groups)
+    out = flat.join(auc(outcome_counts(rows, groups, p, label), groups), groups)
+    out = out.select(*keys, "n", "accuracy", "log_loss", "brier", "auc", "ece")
     return out.where(F.col("n") >= min_rows) if min_rows else out
 
 

@@ -58,7 +58,7 @@ def rounded(df, keys):
 
 @query("a1_a3_basic_metrics", f"SELECT grp, CAST(count(*) AS BIGINT) AS n, {basic_sql('p')} FROM scored GROUP BY grp")
 def _(spark, d):
-    out = mx.basic_metrics(mx.outcome_counts(scored(spark, d), ["grp"], "p"), ["grp"])
+    out = mx.basic_metrics(mx.outcomes(scored(spark, d), ["grp"], "p"), ["grp"])
     return out.select("grp", "n", *[rnd(c).alias(c) for c in ("accuracy", "log_loss", "brier")])
 
 
@@ -74,13 +74,13 @@ def _(spark, d):
         {r6('avg(p)')} AS mean_p, {r6('avg(label)')} AS win_rate FROM scored GROUP BY ALL""",
 )
 def _(spark, d):
-    out = mx.calibration_table(mx.outcome_counts(scored(spark, d), ["grp"], "p"), ["grp"])
+    out = mx.calibration_table(mx.outcomes(scored(spark, d), ["grp"], "p"), ["grp"])
     return out.select("grp", "bucket", "n", rnd("mean_p").alias("mean_p"), rnd("win_rate").alias("win_rate"))
 
 
 @query("a6_calibration_error", f"SELECT grp, {r6('ece')} AS ece FROM {ece_sql('scored', 'grp', 'p2')}")
 def _(spark, d):
-    out = mx.calibration_error(mx.outcome_counts(scored(spark, d), ["grp"], "p2"), ["grp"])
+    out = mx.calibration_error(mx.outcomes(scored(spark, d), ["grp"], "p2"), ["grp"])
     return out.select("grp", rnd("ece").alias("ece"))
 
 
@@ -173,7 +173,7 @@ def _(spark, d):
         FROM scored GROUP BY ROLLUP (yr)""",
 )
 def _(spark, d):
-    counts = mx.outcome_counts(scored(spark, d), ["yr"], "p")
+    counts = mx.outcomes(scored(spark, d), ["yr"], "p")
     folds = F.explode(F.array(F.col("yr").cast("string"), F.lit("pooled")))
     out = mx.basic_metrics(counts.withColumn("fold", folds), ["fold"])
     return out.select("fold", "n", *[rnd(c).alias(c) for c in ("accuracy", "log_loss", "brier")])

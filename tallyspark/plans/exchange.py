@@ -12,8 +12,8 @@ from tallyspark.plans.rows import rnd
 from tallyspark.session import scratch_path
 from tallyspark.sources import artifacts, contracts, results
 from tallyspark.sources.fixtures import matches, parts, scored, table
-from tallyspark.streaming.incremental import maintain_state
-from tallyspark.streaming.ingest import ingest, result_stream
+from tallyspark.streaming.incremental import current_snapshots, maintain_state
+from tallyspark.streaming.ingest import ingest, ingested, result_stream
 
 
 def write_two_layouts(spark, d) -> str:
@@ -313,10 +313,11 @@ def _(spark, d):
 def _(spark, d):
     root = scratch_path(spark, "stream")
     m = matches(spark, d).select("match_id", "pool", "match_date", "winner", "loser")
-    for keep in (F.day("match_date") <= 12, F.day("match_date").between(8, 20), F.day("match_date") > 18):
-        m.where(keep).write.mode("append").parquet(f"{root}/in")
-    ingest(spark, f"{root}/in", m.schema, f"{root}/out", f"{root}/check")
-    out = spark.read.schema(m.schema).parquet(f"{root}/out")
+    # the latest days come first, days overlap and one day is split over files
+    for keep in (F.day("match_date") > 18, F.day("match_date") <= 12, F.day("match_date").between(8, 20)):
+        m.where(keep).repartition(3).write.mode("append").parquet(f"{root}/in")
+    ingest(spark, f"{root}/in", m.schema, f"{root}/out", f"{root}/check", files_per_batch=4)
+    out = ingested(spark, f"{root}/out", m.schema)
     return out.select("match_id", "pool", F.col("match_date").cast("string").alias("day"), "winner", "loser")
 
 
@@ -329,8 +330,8 @@ def _(spark, d):
     root = scratch_path(spark, "state")
     p = parts(spark, d).select("match_id", *ENTITY, "match_date", "venue", "won", "svpt")
     day = F.day("match_date")
-    for keep in (day <= 10, day.between(11, 20), day > 20, day == 5):
-        p.where(keep).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    maintain_state(result_stream(spark, f"{root}/in", p.schema, 1), root, f"{root}/check")
-    s = spark.read.parquet(f"{root}/snapshots")
+    for keep in (day.between(11, 20), day <= 12, day > 20):
+        p.where(keep).repartition(2).write.mode("append").parquet(f"{root}/in")
+    maintain_state(result_stream(spark, f"{root}/in", p.schema, 2), root, f"{root}/check")
+    s = current_snapshots(spark, root)
     return s.select("match_id", *ENTITY, "n", "wins", "svpt", F.col("last_date").cast("string").alias("last_date"))

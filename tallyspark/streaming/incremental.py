@@ -1,61 +1,61 @@
 """Entity state kept up to date by micro-batches of results.
 
-A micro-batch is snapshotted against the stored state plus its own earlier batches, then folded into
-the state. State is versioned by epoch: epoch n reads version n-1 and overwrites version n, so a
-repeated epoch gives the same files.
+A micro-batch may reach back: its entities' snapshots are then taken anew from the first date it touches on.
+What lies before it enters as one total per entity, read from the stored rows of those entities alone. Every version is written under its epoch; epoch n reads only versions
+before it and overwrites its own, so a repeated epoch gives the same files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.batches import VENUE_BATCH, with_batch
 from tallyspark.operators.prefix import prior_totals
 from tallyspark.operators.state import ENTITY
+from tallyspark.session import cut_lineage
+from tallyspark.streaming.ingest import earlier_epochs, first_arrivals
 
-STATE_SCHEMA = "pool string, entity bigint, n bigint, wins bigint, svpt double, last_date date"
+SNAPSHOT_SCHEMA = "match_id bigint, pool string, entity bigint, n bigint, wins bigint, svpt double, last_date date"
+SIDE = ["match_id", *ENTITY]
 
 
 class StateFolder:
-    """Folds participations into per-entity totals, one micro-batch after the other."""
+    """Folds participations into per-entity totals, one micro-batch after the other.
+
+    The snapshots after any cut of the files into batches, in any order, are those of one batch run. A repeated
+    participation counts once.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
 
-    def _version(self, epoch: int) -> DataFrame:
-        if epoch < 0:
-            return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.root}/state/epoch={epoch}")
-
     def __call__(self, rows: DataFrame, epoch: int) -> None:
-        state = self._version(epoch - 1)
-        closed = state.agg(F.max("last_date")).first()[0]
-        on_time = F.lit(True) if closed is None else F.col("match_date") > F.lit(closed)
-        rows.where(~on_time).write.mode("overwrite").parquet(f"{self.root}/late/epoch={epoch}")
-        fresh = with_batch(rows.where(on_time), VENUE_BATCH)
-        carried = state.select(
-            *ENTITY, F.lit(0).cast("bigint").alias("batch_no"), "n", "wins", "svpt", "last_date", F.lit(None).cast("bigint").alias("match_id")
+        kept = earlier_epochs(self.spark, f"{self.root}/rows", rows.schema, epoch)
+        fresh = cut_lineage(first_arrivals(rows, kept, SIDE))
+        fresh.write.mode("overwrite").parquet(f"{self.root}/rows/epoch={epoch}")
+        since = cut_lineage(fresh.groupBy(*ENTITY).agg(F.min("match_date").alias("_since")))
+        touched = kept.join(since, list(ENTITY))
+        before = touched.where("match_date < _since").groupBy(*ENTITY).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("won").cast("bigint").alias("wins"), F.sum("svpt").cast("double").alias("svpt"), F.max("match_date").alias("last_date")
         )
-        steps = fresh.select(
-            *ENTITY,
-            "batch_no",
-            F.lit(1).cast("bigint").alias("n"),
-            F.col("won").cast("bigint").alias("wins"),
-            F.col("svpt").cast("double").alias("svpt"),
-            F.col("match_date").alias("last_date"),
-            "match_id",
+        again = cut_lineage(with_batch(touched.where("match_date >= _since").drop("_since").select(rows.columns).unionByName(fresh), VENUE_BATCH))
+        carried = before.select(*ENTITY, F.lit(0).cast("bigint").alias("batch_no"), "n", "wins", "svpt", "last_date")
+        steps = again.select(
+            *ENTITY, "batch_no", F.lit(1).cast("bigint").alias("n"), F.col("won").cast("bigint").alias("wins"), F.col("svpt").cast("double").alias("svpt"), F.col("match_date").alias("last_date")
         )
-        both = carried.unionByName(steps)
         sums = {c: F.col(c) for c in ("n", "wins", "svpt")}
-        before = prior_totals(both, ENTITY, "batch_no", sums=sums, maxes={"last_date": F.col("last_date")})
-        snapshots = fresh.select("match_id", *ENTITY, "batch_no").join(before, [*ENTITY, "batch_no"]).drop("batch_no")
-        snapshots.write.mode("overwrite").parquet(f"{self.root}/snapshots/epoch={epoch}")
-        totals = both.groupBy(*ENTITY).agg(
-            F.sum("n").alias("n"), F.sum("wins").alias("wins"), F.sum("svpt").alias("svpt"), F.max("last_date").alias("last_date")
-        )
-        totals.write.mode("overwrite").parquet(f"{self.root}/state/epoch={epoch}")
+        prior = prior_totals(carried.unionByName(steps), ENTITY, "batch_no", sums=sums, maxes={"last_date": F.col("last_date")})
+        snapshots = again.select(*SIDE, "batch_no").join(prior, [*ENTITY, "batch_no"]).drop("batch_no")
+        snapshots.select(*SIDE, "n", "wins", "svpt", "last_date").write.mode("overwrite").parquet(f"{self.root}/snapshots/epoch={epoch}")
+
+
+def current_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """The latest version of every snapshot."""
+    all_versions = spark.read.schema(f"{SNAPSHOT_SCHEMA}, epoch int").parquet(f"{root}/snapshots")
+    latest = Window.partitionBy(*SIDE).orderBy(F.desc("epoch"))
+    return all_versions.withColumn("_v", F.row_number().over(latest)).where("_v = 1").drop("_v", "epoch")
 
 
 def maintain_state(stream: DataFrame, root: str, checkpoint: str) -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -14,20 +13,37 @@ def result_stream(spark: SparkSession, path: str, schema: StructType, files_per_
     return reader.parquet(path)
 
 
-def deduplicated(stream: DataFrame, key: str = "match_id", day: str = "match_date", late: str = "60 days") -> DataFrame:
-    """First arrival of every match; repeats within the lateness bound are dropped."""
-    timed = stream.withColumn("_event_time", F.col(day).cast("timestamp"))
-    return timed.withWatermark("_event_time", late).dropDuplicatesWithinWatermark([key]).drop("_event_time")
+def earlier_epochs(spark: SparkSession, path: str, schema: StructType, epoch: int) -> DataFrame:
+    """What epochs before ``epoch`` wrote below ``path``; the repeat of an epoch never sees its own first try."""
+    done = [f"{path}/epoch={e}" for e in range(epoch)]
+    return spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
 
 
-def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, late: str = "60 days") -> None:
-    """Process everything that has arrived and stop; a later run continues from the checkpoint."""
+def first_arrivals(rows: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key was not seen before, one per key, however far back their date lies."""
+    return rows.dropDuplicates(keys).join(seen.select(*keys), keys, "left_anti")
+
+
+def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, key: str = "match_id", files_per_batch: int | None = None) -> None:
+    """Process everything that has arrived and stop; a later run continues from the checkpoint.
+
+    A match is kept at its first arrival. Repeats are found against the target itself, so there is no time bound
+    and files may come in any order.
+    """
+
+    def fold(rows: DataFrame, epoch: int) -> None:
+        fresh = first_arrivals(rows, earlier_epochs(spark, target, schema, epoch), [key])
+        fresh.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
     query = (
-        deduplicated(result_stream(spark, source, schema), late=late)
-        .writeStream.format("parquet")
+        result_stream(spark, source, schema, files_per_batch)
+        .writeStream.foreachBatch(fold)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
-        .start(target)
+        .start()
     )
     query.awaitTermination()
+
+
+def ingested(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(target)

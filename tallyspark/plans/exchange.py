@@ -83,10 +83,10 @@ def _(spark, d):
     return raw.groupBy(results.pool_of_file(F.col("_path")).alias("pool")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s3_file_name_filter", "SELECT CAST(count(*) AS BIGINT) AS n FROM matches WHERE pool = 'north'")
+@query("s3_file_name_filter", "SELECT CASE pool WHEN 'north' THEN 'atp' ELSE 'wta' END AS pool, CAST(count(*) AS BIGINT) AS n FROM matches GROUP BY ALL")
 def _(spark, d):
     raw = results.read_raw(spark, write_two_layouts(spark, d), r"(?i)^part-.*\.csv$")
-    return raw.where(results.pool_of_file(F.col("_path")) == "atp").agg(F.count(F.lit(1)).alias("n"))
+    return raw.groupBy(results.pool_of_file(F.col("_path")).alias("pool")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s4_two_player_layout", _READ.format("pool = 'south' AND match_id % 15 <> 0"))
@@ -94,13 +94,13 @@ def _(spark, d):
     return _read_cols(results.read_results(spark, f"{write_two_layouts(spark, d)}/wta"))
 
 
-@query("s10_source_manifest")
+@query("s10_source_manifest", "SELECT 'events.parquet' AS name, 'exists' AS status UNION ALL SELECT 'lineitem.parquet', 'exists' UNION ALL SELECT 'orders.parquet', 'exists' UNION ALL SELECT 'absent.parquet', 'missing'")
 def _(spark, d):
     expected = [f"{n}.parquet" for n in ("events", "lineitem", "orders", "absent")]
     return results.source_manifest(spark, d, expected).select("name", "status")
 
 
-@query("q1_column_report")
+@query("q1_column_report", "SELECT '' AS missing, CAST(count(*) AS BIGINT) AS rows FROM matches")
 def _(spark, d):
     r = results.column_report(spark, write_two_layouts(spark, d))
     return r.groupBy("missing").agg(F.sum("rows").alias("rows"))
@@ -111,9 +111,22 @@ def _(spark, d):
     return results.fingerprints(spark, d, "*.parquet")
 
 
-@query("q6_row_fingerprint")
+_ROW_DIGEST = "CAST('0x' || md5(concat_ws('|', coalesce(CAST({} AS VARCHAR), '~'), coalesce({}, '~'), CAST(epoch_us({}) AS VARCHAR)))[1:15] AS BIGINT)"
+
+
+@query("q6_row_fingerprint", f"""SELECT CAST(count(*) AS BIGINT) AS rows, bit_xor(h) AS xor, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS total
+    FROM (SELECT {_ROW_DIGEST.format('event_id', 'event_type', 'ts')} AS h FROM events)""")
+def _(spark, d):
+    return results.row_fingerprint(table(spark, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp"))))
+
+
+@query(
+    "q6_canonical_json",
+    """SELECT p_partkey, sha256('{"a":' || p_size || ',"b":' || (p_partkey % 7) || ',"key":' || p_partkey || '}') AS sha256 FROM part""",
+)
 def _(spark, d):
-    return results.row_fingerprint(table(spark, d, "events"))
+    text = F.concat(F.lit('{ "key": '), "p_partkey", F.lit(', "a": '), "p_size", F.lit(', "b": '), F.col("p_partkey") % 7, F.lit(" }"))
+    return results.canonical_json_hash(table(spark, d, "part").select("p_partkey", text.alias("v")), "p_partkey", "v")
 
 
 # ---- artifacts -------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -49,11 +50,13 @@ def pool_of_file(path: Column) -> Column:
 
 
 def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by their header line; only the first line of each file is looked at."""
+    """Files grouped by their header line, found in one job over the first block of every file."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("line"))
+    first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "line").alias("head"))
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for p in paths:
-        names = spark.read.option("header", True).csv(p).columns
-        groups[tuple(n.lstrip("﻿") for n in names)].append(p)
+    for row in first.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("head").collect():
+        names = next(csv.reader([row["head"].lstrip("\ufeff")]), [])
+        groups[tuple(names)] += row["paths"]
     return groups
 
 
@@ -174,39 +177,44 @@ def column_report(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def fingerprints(spark: SparkSession, path: str, glob: str = "*.csv", largest: int = 1 << 30) -> DataFrame:
-    """Snapshot hash of names and sizes (16 hex digits) and of the file contents.
+def _combined(place: str, item: Column) -> Column:
+    """SHA-256 over the items of a group in the order of ``place``."""
+    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(place).alias("p"), item.alias("i")))), lambda x: x["i"]), "\n"), 256)
 
-    Files above ``largest`` bytes are not hashed as one value; their number is reported and
-    ``row_fingerprint`` covers data of any size.
+
+def fingerprints(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """Number of files, snapshot hash of paths and sizes (16 hex digits), and a hash of paths and contents.
+
+    Files are known by their path below ``path``, whatever their size; each file is hashed where it is read and only
+    its hash moves on. Hashes are combined in path order within 4096 groups given by the path's own hash, then the
+    groups are combined in order: no step holds more than its share of the files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    name = F.element_at(F.split("path", "/"), -1).alias("name")
-    sizes = files.select(name, "length")
-    small = files.where(F.col("length") <= largest).select(name, F.sha2("content", 256).alias("sha"))
-    listed = sizes.join(small, "name", "left")
-    ordered = F.sort_array(F.collect_list(F.struct("name", "length", "sha")))
-    joined = listed.agg(ordered.alias("f"))
-    names = F.array_join(F.transform("f", lambda x: F.concat(x["name"], x["length"].cast("string"))), "")
-    whole = F.array_join(F.transform("f", lambda x: F.concat_ws(":", x["name"], x["sha"])), "\n")
-    return joined.select(
-        F.size("f").alias("files"),
-        F.size(F.filter("f", lambda x: x["sha"].isNull())).alias("oversize"),
-        F.substring(F.sha2(names, 256), 1, 16).alias("snapshot"),
-        F.sha2(whole, 256).alias("content"),
+    root = F.length(F.regexp_replace(F.lit(path.rstrip("/")), "^[a-z]+:/*", "/"))
+    below = F.substr(F.regexp_replace("path", "^[a-z]+:/*", "/"), root + 2)
+    hashed = files.select(below.alias("name"), "length", F.sha2("content", 256).alias("sha"))
+    size, sha = F.concat_ws(":", "name", F.col("length").cast("string")), F.concat_ws(":", "name", "sha")
+    group = F.substring(F.sha2("name", 256), 1, 3).alias("group")
+    part = hashed.groupBy(group).agg(F.count("*").alias("n"), _combined("name", size).alias("sizes"), _combined("name", sha).alias("shas"))
+    return part.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.substring(_combined("group", F.col("sizes")), 1, 16).alias("snapshot"), _combined("group", F.col("shas")).alias("content")
     )
 
 
 def row_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-independent fingerprint of all rows: count, XOR and modular sum of row hashes."""
-    h = F.xxhash64(*df.columns)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.bit_xor(h).alias("xor"),
-        F.sum(F.pmod(h, F.lit((1 << 31) - 1))).alias("total"),
-    )
+    """Order-independent fingerprint of all rows: count, and sum and XOR of 60-bit row digests.
+
+    A row's digest is the MD5 of its values as text, joined by ``|``, null as ``~``. The sum is a decimal, so it does
+    not overflow at any number of rows.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in df.columns])
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor("h").alias("xor"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("total"))
 
 
 def canonical_json_hash(df: DataFrame, key: str, value: str) -> DataFrame:
-    """SHA-256 of key-sorted JSON text per row."""
-    return df.select(key, F.sha2(F.col(value), 256).alias("sha256"))
+    """SHA-256 of each row's JSON object with its keys sorted and no blanks; values keep their own text."""
+    entries = F.array_sort(F.map_entries(F.from_json(value, "map<string,string>")))
+    pair = lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.when(e["value"].isNull(), "null").otherwise(e["value"]))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(entries, pair), ","), F.lit("}"))
+    return df.select(key, F.sha2(text, 256).alias("sha256"))

@@ -126,3 +126,52 @@ def test_calibration_recovers_slope(spark):
         rows.append((z, int(rng.random() < 1 / (1 + 2.718281828 ** -(0.6 * z + 0.3)))))
     cal = learn.fit_calibration(spark.createDataFrame(rows, "z double, label int"), F.col("z"))
     assert abs(cal.slope - 0.6) < 0.08 and abs(cal.intercept - 0.3) < 0.12
+
+
+def test_fingerprints_know_files_by_path(spark, tmp_path):
+    from tallyspark.sources.results import fingerprints
+
+    for folder, text in (("a", "x"), ("b", "yy")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "m.csv").write_text(text)
+    first = fingerprints(spark, str(tmp_path)).first()
+    (tmp_path / "b" / "m.csv").write_text("zz")
+    second = fingerprints(spark, str(tmp_path)).first()
+    assert first["files"] == second["files"] == 2
+    assert first["snapshot"] == second["snapshot"] and first["content"] != second["content"]
+
+
+def test_row_fingerprint_total_does_not_overflow(spark):
+    from tallyspark.sources.results import row_fingerprint
+
+    row = row_fingerprint(spark.range(100)).first()
+    assert int(row["total"]) > 2**63 and row["rows"] == 100
+
+
+def test_ingest_keeps_far_back_results(spark, tmp_path):
+    from tallyspark.streaming.ingest import ingest, ingested
+
+    rows = [(1, "2024-06-01"), (2, "2024-07-01"), (3, "2020-01-01"), (1, "2024-06-01")]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], "match_id long, match_date string").coalesce(1).write.parquet(str(tmp_path / "in" / f"f{i}"))
+    schema = spark.read.parquet(str(tmp_path / "in" / "f0")).schema
+    ingest(spark, str(tmp_path / "in" / "*"), schema, str(tmp_path / "all"), str(tmp_path / "check"), files_per_batch=1)
+    assert sorted(r.match_id for r in ingested(spark, str(tmp_path / "all"), schema).collect()) == [1, 2, 3]
+
+
+def test_state_of_one_day_in_two_files(spark, tmp_path):
+    import datetime as dt
+
+    from tallyspark.streaming.incremental import current_snapshots, maintain_state
+    from tallyspark.streaming.ingest import result_stream
+
+    schema = "match_id long, pool string, entity long, match_date date, venue string, won int, svpt long"
+    day = dt.date(2024, 1, 2)
+    late = dt.date(2023, 1, 1)
+    files = [[(1, "n", 7, day, "A", 1, 5)], [(2, "n", 7, day, "B", 0, 6), (3, "s", 9, late, "A", 1, 1)], [(4, "n", 7, late, "A", 1, 9), (1, "n", 7, day, "A", 1, 5)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{i}"))
+    stream = result_stream(spark, str(tmp_path / "in" / "*"), spark.createDataFrame([], schema).schema, 1)
+    maintain_state(stream, str(tmp_path / "state"), str(tmp_path / "check"))
+    got = {(r.match_id, r.entity): (r.n, r.wins, r.svpt) for r in current_snapshots(spark, str(tmp_path / "state")).collect()}
+    assert got == {(4, 7): (0, 0, 0.0), (1, 7): (1, 1, 9.0), (2, 7): (2, 2, 14.0), (3, 9): (0, 0, 0.0)}

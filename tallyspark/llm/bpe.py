@@ -11,7 +11,9 @@ forgets its words when they pass WORDS_KEPT and goes on.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.arrays import chunks
 
-WORDS_KEPT = 200_000
+WORDS_KEPT = 300_000
 PAIRS_KEPT = 1_000_000
 CHUNK = 4 << 20
 END = "</w>"
@@ -56,9 +58,14 @@ class WordEncoder:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         # Fixed value: the vocabulary's own word pattern, with white space by its Unicode property.
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+        # The same pattern for texts below U+0250, with the classes spelled out for the quicker matcher.
+        low = [chr(i) for i in range(0x250)]
+        word, digit, blank = ("".join(map(re.escape, (c for c in low if regex.fullmatch(p, c)))) for p in (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
+        self.low_words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{word}]+|[{digit}]|[^{blank}{word}{digit}]+")
+        self.beyond = re.compile("[^\x00-\u024f]")
         self.may_follow: dict[int, bool] = {}
         self.inner, self.final = self.whole_tokens()
-        self.inner_reach, self.final_reach = self.reach(self.inner), self.reach(self.final)
+        self.inner_lengths, self.final_lengths = self.lengths(self.inner), self.lengths(self.final)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merged(self, symbols: list[str], stop: int = 1) -> list[str]:
@@ -124,30 +131,21 @@ class WordEncoder:
         return known
 
     @staticmethod
-    def reach(tokens: dict[str, int]) -> dict[str, int]:
-        """The greatest length of a token by its last three letters; shorter tokens are always tried."""
-        out: dict[str, int] = {}
+    def lengths(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
+        """The lengths, longest first, that a token with these last three letters can have."""
+        out: dict[str, set[int]] = {}
         for token in tokens:
             if len(token) > 3:
-                out[token[-3:]] = max(out.get(token[-3:], 3), len(token))
-        return out
-
-    def last_token(self, word: str, stop: int, states: list[int], tokens: dict[str, int], reach: dict[str, int]) -> tuple[int, int]:
-        """Id and start of the last token of the encoding of word[:stop]."""
-        pairs = self.may_follow
-        for start in range(max(0, stop - reach.get(word[stop - 3 : stop], 3)), stop):
-            token = tokens.get(word[start:stop])
-            if token is None:
-                continue
-            if start == 0:
-                return token, 0
-            known = pairs.get(states[start] << 17 | token)
-            if known or (known is None and self.follows(states[start], token)):
-                return token, start
-        raise ValueError(f"no token ends {word[:stop]!r}")
+                out.setdefault(token[-3:], {1, 2, 3}).add(len(token))
+        return {tail: tuple(sorted(found, reverse=True)) for tail, found in out.items()}
 
     def learn(self, words: set[str]) -> None:
-        """Encode distinct words in trie order; ``known`` gets their ids."""
+        """Encode distinct words in trie order; ``known`` gets their ids.
+
+        ``states[i]`` is the last token of the encoding of the path's first i letters and ``starts[i]`` where it begins.
+        """
+        known, pairs, follows = self.known, self.may_follow, self.follows
+        inner, inner_lengths, final, final_lengths = self.inner.get, self.inner_lengths.get, self.final.get, self.final_lengths.get
         path, states, starts = "", [-1], [0]
         for letters, word in sorted((w.encode("utf-8").decode("latin-1").translate(_LETTERS), w) for w in words):
             end = len(letters)
@@ -155,17 +153,32 @@ class WordEncoder:
             while shared < most and path[shared] == letters[shared]:
                 shared += 1
             del states[shared + 1 :], starts[shared + 1 :]
-            for stop in range(shared + 1, end):
-                token, start = self.last_token(letters, stop, states, self.inner, self.inner_reach)
+            tokens, lengths = inner, inner_lengths
+            for stop in range(shared + 1, end + 1):
+                if stop == end:
+                    tokens, lengths = final, final_lengths
+                for n in lengths(letters[stop - 3 : stop], (3, 2, 1)) if stop > 3 else (3, 2, 1)[3 - stop :]:
+                    if n > stop:
+                        continue
+                    start = stop - n
+                    token = tokens(letters[start:stop])
+                    if token is not None:
+                        if start == 0:
+                            break
+                        key = states[start] << 17 | token
+                        fits = pairs.get(key)
+                        if fits is None:
+                            fits = follows(states[start], token)
+                        if fits:
+                            break
                 states.append(token)
                 starts.append(start)
+            out, at = [states.pop()], starts.pop()
             path = letters[:-1]
-            token, at = self.last_token(letters, end, states, self.final, self.final_reach)
-            out = [token]
             while at:
                 out.append(states[at])
                 at = starts[at]
-            self.known[word] = tuple(reversed(out))
+            known[word] = tuple(out[::-1])
 
     def normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
@@ -174,7 +187,8 @@ class WordEncoder:
     def split(self, text: str) -> list[str]:
         """The words of a text in order; special strings stay as they are."""
         if "<|" not in text or not self.cut.search(text):
-            return self.words.findall(self.normal(text))
+            text = self.normal(text)
+            return self.words.findall(text) if self.beyond.search(text) else self.low_words.findall(text)
         out, at = [], 0
         for found in self.cut.finditer(text):
             out += self.words.findall(self.normal(text[at : found.start()]))
@@ -182,20 +196,23 @@ class WordEncoder:
             at = found.end()
         return out + self.words.findall(self.normal(text[at:]))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids end."""
         parts = [self.split(t) for t in texts]
-        fresh = set(chain.from_iterable(parts)) - self.special.keys()
-        known = self.known
-        missing = {w for w in fresh if w not in known}
-        if len(known) + len(missing) > WORDS_KEPT:
-            known.clear()
+        fresh = set(chain.from_iterable(parts))
+        special = fresh & self.special.keys()
+        fresh -= special
+        missing = fresh.difference(self.known)
+        if len(self.known) + len(missing) > WORDS_KEPT:
+            self.known.clear()
             missing = fresh
         self.learn(missing)
-        if any(len(p) and not self.special.keys().isdisjoint(p) for p in parts):
-            table = known | {s: (i,) for s, i in self.special.items()}
-        else:
-            table = known
-        return [list(chain.from_iterable(map(table.__getitem__, p))) for p in parts]
+        table = self.known | {s: (self.special[s],) for s in special} if special else self.known
+        flat, ends = array("i"), []
+        for words in parts:
+            flat.extend(chain.from_iterable(map(table.__getitem__, words)))
+            ends.append(len(flat))
+        return np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, dtype=np.int32), np.array(ends, dtype=np.int32)
 
     def decode(self, ids) -> str:
         return " ".join(map(self.names.__getitem__, ids))
@@ -219,11 +236,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             column = batch.column(1)
             sizes = [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
             for lo, hi in chunks(sizes, CHUNK):
-                lists = encoder.encode([v.decode("utf-8", "replace") for v in sizes[lo:hi]])
-                offsets = np.zeros(hi - lo + 1, dtype=np.int32)
-                np.cumsum([len(x) for x in lists], out=offsets[1:])
-                flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(offsets[-1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "ids"])
+                flat, ends = encoder.encode([v.decode("utf-8", "replace") for v in sizes[lo:hi]])
+                offsets = pa.array(np.append(np.int32(0), ends))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, ids array<int>")
 

@@ -70,17 +70,21 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Landmarks of every text with at least one window."""
+    """The different landmarks of every text (or piece of one) with at least one window, and 1 or 2 for once or more."""
     for batch in batches:
         texts = as_bytes(batch.column(1))
         items = _items(texts)
         for lo, hi in chunks([x[2] for x in items]):
             _, _, gram, _, part, best = _landmarks([x[2] for x in items[lo:hi]])
             head = _runs(part, best)
-            counts = np.bincount(part[head], minlength=hi - lo)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(signed(gram[best[head]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in items[lo:hi]])), lists], names=["id", "marks"])
+            owner, mark = part[head], gram[best[head]]
+            order = np.lexsort((mark, owner))
+            owner, mark = owner[order], mark[order]
+            first = _runs(owner, mark)
+            times = np.minimum(np.diff(np.append(first, len(mark))), 2).astype(np.int8)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=hi - lo))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(signed(mark[first]))), pa.ListArray.from_arrays(offsets, pa.array(times))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in items[lo:hi]])), *lists], names=["id", "marks", "times"])
 
 
 def _cells(d: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,11 +339,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = cut_lineage(texts.where(F.octet_length("text") >= LENGTH).select("id", F.octet_length("text").cast("long").alias("size"), F.unhex(F.sha2("text", 256)).alias("sha")), "texts")
     same = base.groupBy("sha").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
     copies = base.join(same.where("copies > 1"), "sha").select("id", F.lit(0).cast("long").alias("start"), (F.col("size") - LENGTH + 1).alias("count"))
-    sketch = texts.mapInArrow(_sketch, "id long, marks array<long>")
+    sketch = texts.mapInArrow(_sketch, "id long, marks array<long>, times array<tinyint>")
     single = cut_lineage(sketch.join(same.select(F.col("first").alias("id")), "id", "left_semi"), "marks")
-    each = single.select("id", F.explode("marks").alias("mark"))
-    often = each.groupBy("mark").agg(F.count("*").alias("k")).where("k > 1").select("mark")
-    hits = each.join(often, "mark", "left_semi").groupBy("id").agg(F.collect_set("mark").alias("marks"))
+    each = single.select("id", F.explode(F.arrays_zip("marks", "times")).alias("x")).select("id", F.col("x.marks").alias("mark"), F.col("x.times").alias("times"))
+    often = cut_lineage(each.groupBy("mark").agg(F.sum("times").alias("k")).where("k > 1").select("mark"), "often")
+    hits = each.select("id", "mark").join(often, "mark", "left_semi").groupBy("id").agg(F.collect_set("mark").alias("marks"))
     cut = texts.join(hits, "id").select("id", "text", "marks")
     rows = cut_lineage(cut.mapInArrow(_cut, f"id long, at long, {_STRETCH}"), "stretches")
     runs = rows.select("id", "at", "core", "seg").join(_repeats(rows), ["core", "seg"])

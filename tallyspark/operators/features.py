@@ -22,12 +22,10 @@ from tallyspark.operators.opponents import common_opponents
 from tallyspark.operators.prefix import prior_totals
 from tallyspark.session import cut_lineage
 
-# Feature groups. Their union is the full feature row.
-GROUPS: dict[str, tuple[str, ...]] = {
-    "rating": ("overall_elo_diff", "surface_elo_diff", "surface_elo_shrunk_diff", "rating_rd_diff", "rating_uncertainty_sum"),
-    "experience": ("matches_diff", "match_count_log_diff", "surface_sample_diff", "data_strength_diff"),
+# Feature families, the other features of the full row, named sets, and what the service can compute.
+FAMILIES: dict[str, tuple[str, ...]] = {
+    "rating": ("overall_elo_diff", "surface_elo_shrunk_diff", "rating_rd_diff", "rating_uncertainty_sum"),
     "ranking": ("ranking_diff", "ranking_points_diff", "rank_known"),
-    "bio": ("age_diff", "height_diff", "lefty_matchup", "same_hand"),
     "serve_return": (
         "serve_strength_diff",
         "return_strength_diff",
@@ -37,13 +35,11 @@ GROUPS: dict[str, tuple[str, ...]] = {
         "second_won_diff",
         "ace_rate_diff",
         "df_rate_diff",
-        "bp_save_diff",
-        "bp_convert_diff",
         "return_point_won_diff",
         "serve_point_won_diff",
         "stat_sample_diff",
     ),
-    "latent": (
+    "latent_serve_return": (
         "latent_serve_skill_diff",
         "latent_return_skill_diff",
         "latent_surface_serve_skill_diff",
@@ -51,22 +47,57 @@ GROUPS: dict[str, tuple[str, ...]] = {
         "latent_uncertainty_sum",
         "latent_exact_match_logit",
     ),
-    "form": ("residual_form_short_diff", "residual_form_medium_diff", "surface_residual_form_diff"),
-    "fatigue": ("days_rest_diff", "recovery_curve_diff", "workload_3d_diff", "workload_7d_diff", "workload_14d_diff"),
-    "score": ("score_dominance_diff", "set_dominance_diff", "tiebreak_strength_diff"),
-    "structure": ("structural_match_logit", "best_of_5"),
-    "h2h": ("h2h_prior_diff", "surface_h2h_prior_diff"),
-    "context": ("is_indoor", "level_g", "level_m", "level_500", "level_250", "round_final", "round_sf", "round_qf"),
-    "common": (
+    "common_opponent_v2": (
         "common_opponent_result_residual_diff",
         "common_opponent_serve_residual_diff",
         "common_opponent_return_residual_diff",
         "common_opponent_surface_residual_diff",
         "common_opponent_match_weight",
     ),
+    "form": ("residual_form_short_diff", "residual_form_medium_diff", "surface_residual_form_diff"),
+    "fatigue": ("days_rest_diff", "recovery_curve_diff", "workload_3d_diff", "workload_7d_diff", "workload_14d_diff"),
+    "score": ("score_dominance_diff", "set_dominance_diff", "tiebreak_strength_diff"),
+    "bio": ("age_diff", "height_diff", "lefty_matchup", "same_hand"),
+    "h2h": ("h2h_prior_diff", "surface_h2h_prior_diff"),
+    "context": ("best_of_5", "is_indoor", "level_g", "level_m", "level_500", "level_250", "round_final", "round_sf", "round_qf"),
 }
-FULL = tuple(f for g in GROUPS.values() for f in g)
-RUNTIME_SAFE = tuple(f for n, g in GROUPS.items() if n not in ("h2h", "context", "common") for f in g)
+LOOSE = (
+    "surface_elo_diff",
+    "matches_diff",
+    "match_count_log_diff",
+    "surface_sample_diff",
+    "data_strength_diff",
+    "bp_save_diff",
+    "bp_convert_diff",
+    "structural_match_logit",
+)
+FULL = tuple(f for g in FAMILIES.values() for f in g) + LOOSE
+NOT_SERVED = (*FAMILIES["h2h"], *FAMILIES["common_opponent_v2"], *(f for f in FAMILIES["context"] if f != "best_of_5"))
+RUNTIME_SAFE = tuple(f for f in FULL if f not in NOT_SERVED)
+_PLUS = ("best_of_5", "matches_diff")
+NAMED_SETS: dict[str, tuple[str, ...]] = {
+    "enhanced_full": FULL,
+    "enhanced_runtime_safe": RUNTIME_SAFE,
+    "compact_production_reference": (
+        "overall_elo_diff",
+        "surface_elo_shrunk_diff",
+        "matches_diff",
+        "ranking_diff",
+        "ranking_points_diff",
+        "days_rest_diff",
+        "workload_14d_diff",
+        "h2h_prior_diff",
+        "surface_h2h_prior_diff",
+        "best_of_5",
+    ),
+    "rating_ranking_structural": (*FAMILIES["rating"], *FAMILIES["ranking"], "structural_match_logit", *_PLUS),
+    "exact_scoring_expert": ("latent_exact_match_logit", "structural_match_logit", "best_of_5"),
+    "serve_return_structural": (*FAMILIES["serve_return"], *FAMILIES["latent_serve_return"], *_PLUS),
+    "common_opponent_plus_core": (*FAMILIES["rating"], *FAMILIES["ranking"], *FAMILIES["serve_return"], *FAMILIES["common_opponent_v2"], *_PLUS),
+}
+# Families that are also tried by leaving them out.
+LEFT_OUT = ("h2h", "form", "serve_return", "latent_serve_return", "common_opponent_v2", "fatigue", "score", "bio", "context")
+# Two older feature rows and the columns that go with every row.
 BASIC = (
     "overall_elo_diff",
     "surface_elo_diff",
@@ -362,3 +393,13 @@ def candidate_sets(available: DataFrame, groups: DataFrame) -> DataFrame:
     every = spread.join(available.withColumn("_j", F.lit(1)), "_j").select("set_name", "grp", "feature")
     without = every.join(usable, ["grp", "feature"], "left_anti").select("set_name", "feature")
     return whole.unionByName(only).unionByName(without)
+
+
+def named_sets(available: DataFrame) -> DataFrame:
+    """(set_name, feature) of every named set, left-out family and single family, cut to the usable features."""
+    sets = dict(NAMED_SETS)
+    sets |= {f"no_{g}": tuple(f for f in FULL if f not in FAMILIES[g]) for g in LEFT_OUT}
+    sets |= {f"{g}_only": fs for g, fs in FAMILIES.items()}
+    spark = available.sparkSession
+    pairs = spark.createDataFrame([(n, f) for n, fs in sets.items() for f in fs], "set_name string, feature string")
+    return pairs.join(available.select("feature"), "feature", "left_semi").select("set_name", "feature")

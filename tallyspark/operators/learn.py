@@ -115,22 +115,23 @@ def fit_calibration(df: DataFrame, raw: Column, label: str = "label", pull: floa
 
     Damped Newton on two parameters: each step is one aggregation of six sums.
     """
-    rows = df.select(raw.alias("_z"), F.col(label).cast("double").alias("_y"))
+    # staged as counts of equal (logit, label): every step reads narrow files and not the scorer's plan
+    rows = cut_lineage(df.select(raw.alias("_z"), F.col(label).cast("double").alias("_y")).groupBy("_z", "_y").agg(F.count(F.lit(1)).alias("_k")))
     a, b = 1.0, 0.0
 
     def sums(a: float, b: float):
         t = F.lit(a) * F.col("_z") + F.lit(b)
         p = sigmoid(t)
-        w = p * (1.0 - p)
+        w, k = p * (1.0 - p), F.col("_k")
         loss = F.greatest(t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(t))) - t * F.col("_y")
         return rows.agg(
-            F.count(F.lit(1)),
-            F.sum((p - F.col("_y")) * F.col("_z")),
-            F.sum(p - F.col("_y")),
-            F.sum(w * F.col("_z") * F.col("_z")),
-            F.sum(w * F.col("_z")),
-            F.sum(w),
-            F.sum(loss),
+            F.sum(k),
+            F.sum(k * (p - F.col("_y")) * F.col("_z")),
+            F.sum(k * (p - F.col("_y"))),
+            F.sum(k * w * F.col("_z") * F.col("_z")),
+            F.sum(k * w * F.col("_z")),
+            F.sum(k * w),
+            F.sum(k * loss),
         ).first()
 
     current = sums(a, b)
@@ -193,6 +194,7 @@ def fold_predictions(
     """Out-of-fold rows with ``probability`` and ``fold``: fit before y-1, calibrate on y-1, predict y."""
     pieces = None
     y = F.col(year)
+    rows = cut_lineage(rows) if len(folds) > 1 else rows
     for fold in folds:
         scorer = CANDIDATES[kind](rows.where(y < fold - 1), features, params or {})
         held = scorer(rows.where(y == fold - 1))
@@ -223,13 +225,35 @@ def best_by(table: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def blend_search(rows: DataFrame, members: Sequence[str], weights: Sequence[Sequence[float]], label: str = "label") -> DataFrame:
-    """Mean log loss of every weight vector; the grid is a literal, its losses combine map-side."""
-    grid = F.array(
-        *[F.struct(F.lit(i).alias("weight_id"), F.array(*[F.lit(float(v)) for v in w]).alias("w")) for i, w in enumerate(weights)]
-    )
-    flat = rows.select(*members, label, F.inline(grid))
-    mixed = sum((F.col(m) * F.col("w")[i] for i, m in enumerate(members)), F.lit(0.0))
-    return flat.groupBy("weight_id").agg(F.avg(log_loss_of(mixed, F.col(label))).alias("log_loss"))
+    """Mean log loss of every weight vector.
+
+    Rows are not multiplied by the grid: each Arrow batch returns one partial sum per weight vector.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    grid = np.array(weights, dtype=float).T
+
+    def partial(batches):
+        for batch in batches:
+            probs = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]])
+            y = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            total = np.zeros(grid.shape[1])
+            for at in range(0, len(y), 1024):
+                p = np.clip(probs[at : at + 1024] @ grid, 1e-6, 1 - 1e-6)
+                total -= np.log(np.where(y[at : at + 1024, None] == 1, p, 1 - p)).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), len(y)))], names=["weight_id", "total", "n"])
+
+    flat = rows.select(*[F.col(m).cast("double") for m in members], F.col(label).cast("double"))
+    sums = flat.mapInArrow(partial, "weight_id int, total double, n long")
+    return sums.groupBy("weight_id").agg((F.sum("total") / F.sum("n")).alias("log_loss"))
+
+
+def blend_winner(losses: DataFrame, weights: Sequence[Sequence[float]]) -> DataFrame:
+    """The weight vector with the smallest loss; the earlier one of equals."""
+    best = losses.agg(F.min_by(F.struct("weight_id", "log_loss"), F.struct("log_loss", "weight_id")).alias("b")).select("b.*")
+    grid = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in weights])
+    return best.withColumn("weights", F.element_at(grid, F.col("weight_id") + 1))
 
 
 def simplex_weights(members: int, count: int, seed: int = 29) -> list[list[float]]:
@@ -240,13 +264,33 @@ def simplex_weights(members: int, count: int, seed: int = 29) -> list[list[float
 
 
 def stack(rows: DataFrame, features, folds, baselines, year="yr", params=None) -> tuple[Linear, DataFrame]:
-    """Stacker on out-of-fold logits of the full model and the baselines."""
-    oof = fold_predictions(rows, features, folds, "logistic", params, year)
-    oof = oof.withColumn("full_logistic", logit(F.col("probability"))).withColumns(baseline_logits(baselines))
+    """Stacker on out-of-fold logits: the full model, fitted on all years before the fold, beside the baselines."""
+    pieces = None
+    for fold in folds:
+        scorer = logistic_candidate(rows.where(F.col(year) < fold), features, params or {})
+        held = scorer(rows.where(F.col(year) == fold)).withColumn("fold", F.lit(fold))
+        pieces = held if pieces is None else pieces.unionByName(held)
+    if pieces is None:
+        raise ValueError("no fold to stack on")
+    oof = pieces.withColumnRenamed("raw", "full_logistic").withColumns(baseline_logits(baselines))
     oof = cut_lineage(oof.select("label", "fold", "full_logistic", *baselines))
     return fit_logistic(oof, ["full_logistic", *baselines]), oof
 
 
+def stacked_evaluation(rows: DataFrame, features, folds, baselines, role: str = "role", year: str = "yr", params=None) -> DataFrame:
+    """Test metrics of the stack: base model on the train role, calibration on its own role."""
+    train = rows.where(F.col(role) == "train")
+    stacker, _ = stack(train, features, folds, baselines, year, params)
+    base = fit_logistic(train, features, l2=(params or {}).get("l2", 0.004))
+    weights = dict(zip(stacker.features, stacker.coefficients, strict=True))
+    names = ["full_logistic", *baselines]
+    scored = rows.withColumn("full_logistic", base.logit()).withColumns(baseline_logits(baselines))
+    scored = scored.withColumn("stacked", linear_score(names, [weights[n] for n in names], stacker.intercept, stacker.center, stacker.scale))
+    cal = fit_calibration(scored.where(F.col(role) == "calibration"), F.col("stacked"))
+    test = scored.where(F.col(role) == "test").withColumn("probability", sigmoid(cal.apply(F.col("stacked"))))
+    return mx.bundle(test, [], "probability")
+
+
 def ablation(rows: DataFrame, features, families: dict[str, Sequence[str]], folds, year="yr") -> DataFrame:
     """Pooled metrics with one family dropped, and the change against the full set."""
     out = None

@@ -374,13 +374,16 @@ def _(spark, d):
     return out.select("match_id", "entity", rnd(shrunk).alias("shrunk"))
 
 
+CONTEXT = tuple(f for f in ft.FAMILIES["context"] if f != "best_of_5")
+
+
 @query(
     "x6_context_flags",
-    f"SELECT match_id, {', '.join(f'{r6(FULL_SQL[c])} AS {c}' for c in ft.GROUPS['context'])} FROM matches o",
+    f"SELECT match_id, {', '.join(f'{r6(FULL_SQL[c])} AS {c}' for c in CONTEXT)} FROM matches o",
 )
 def _(spark, d):
     flags = ft.context_flags()
-    return numbered_matches(spark, d).select("match_id", *[flags[c].alias(c) for c in ft.GROUPS["context"]])
+    return numbered_matches(spark, d).select("match_id", *[flags[c].alias(c) for c in CONTEXT])
 
 
 @query(
@@ -399,3 +402,23 @@ def _(spark, d):
     groups = {"size": ("p", "p2"), "price": ("l_tax", "l_discount", "blank")}
     pairs = spark.createDataFrame([(g, f) for g, fs in groups.items() for f in fs], "grp string, feature string")
     return ft.candidate_sets(available_features(s, names).where("available = 1").select("feature"), pairs)
+
+
+_SETS = {
+    **ft.NAMED_SETS,
+    **{f"no_{g}": tuple(f for f in ft.FULL if f not in ft.FAMILIES[g]) for g in ft.LEFT_OUT},
+    **{f"{g}_only": fs for g, fs in ft.FAMILIES.items()},
+}
+
+
+@query(
+    "x7_named_sets",
+    f"""WITH s(set_name, feature) AS (VALUES {', '.join(f"('{n}', '{f}')" for n, fs in _SETS.items() for f in fs)}),
+       av AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, sum(abs({FULL_SQL[c]})) AS total FROM matches o" for c in CONTEXT)}
+         UNION ALL SELECT 'best_of_5', sum(CASE WHEN best_of = 5 THEN 1 ELSE 0 END) FROM matches)
+       SELECT set_name, feature FROM s JOIN av USING (feature) WHERE total > 0""",
+)
+def _(spark, d):
+    flags = ft.context_flags()
+    rows = numbered_matches(spark, d).select((F.col("best_of") == 5).cast("double").alias("best_of_5"), *[flags[c].alias(c) for c in CONTEXT])
+    return ft.named_sets(available_features(rows, rows.columns).where("available = 1").select("feature"))

@@ -17,6 +17,7 @@ from tallyspark.plans.probability import clamp_sql, game_sql, match_from_points_
 from tallyspark.plans.rating import SOLVED_COLS, fold_sql, plain_blend
 from tallyspark.plans.registry import query, r6, view
 from tallyspark.plans.rows import rnd
+from tallyspark.session import cut_lineage
 from tallyspark.sources.fixtures import matches, parts, scored, table
 
 # A small coefficient table used by the scoring queries.
@@ -199,18 +200,29 @@ def fold_metrics(df, *keys):
     return df.select(*keys, "n", *[F.round(c, 4).alias(c) for c in ("accuracy", "auc", "log_loss", "brier", "ece")])
 
 
+def eligible(spark, d):
+    """Every test year of the fixture with enough rows; the bounds follow the fixture's size."""
+    rows = scored(spark, d)
+    n = rows.count()
+    return splits.eligible_folds(rows, "yr", n // 10, n // 50, n // 50)
+
+
 @query("l9_boosted_trees")
 def _(spark, d):
     rows = model_rows(spark, d)
-    return fold_metrics(learn.walk_forward(rows, FEATURES, [2000], "boosted", {"trees": 8, "depth": 3}), "fold")
+    return fold_metrics(learn.walk_forward(rows, FEATURES, eligible(spark, d), "boosted", {"trees": 20, "depth": 3}), "fold")
+
+
+PENALTIES = (0.0015, 0.003, 0.006, 0.012)
 
 
 @query("l10_parameter_grid")
 def _(spark, d):
-    rows = model_rows(spark, d)
+    rows = cut_lineage(model_rows(spark, d))
+    folds = eligible(spark, d)
     out = None
-    for l2 in (0.0015, 0.012):
-        one = learn.walk_forward(rows, FEATURES, [1999, 2000], params={"l2": l2}).where("fold > 0")
+    for l2 in PENALTIES:
+        one = learn.walk_forward(rows, FEATURES, folds, params={"l2": l2}).where("fold > 0")
         one = one.agg(F.avg("log_loss").alias("log_loss"), F.avg("brier").alias("brier")).withColumn("l2", F.lit(l2))
         out = one if out is None else out.unionByName(one)
     return learn.best_by(out, "l2", "log_loss", "brier")
@@ -230,36 +242,49 @@ def _(spark, d):
 
 @query("l11_walk_forward")
 def _(spark, d):
-    return fold_metrics(learn.walk_forward(model_rows(spark, d), FEATURES, [1998, 1999, 2000]), "fold")
+    return fold_metrics(learn.walk_forward(model_rows(spark, d), FEATURES, eligible(spark, d)), "fold")
 
 
 @query("l12_out_of_fold")
 def _(spark, d):
-    pred = learn.fold_predictions(model_rows(spark, d), FEATURES, [1999, 2000])
+    pred = learn.fold_predictions(model_rows(spark, d), FEATURES, eligible(spark, d))
     return pred.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 4).alias("mean_p"))
 
 
-WEIGHTS = [[i / 10, 1 - i / 10] for i in range(11)]
+WEIGHTS = [[round(v, 6) for v in w] for w in learn.simplex_weights(2, 1200)]
+_MIX = cl("w0 * p + w1 * p2")
+_LOSSES = f"""WITH g(weight_id, w0, w1) AS (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(WEIGHTS))}),
+  t AS (SELECT weight_id, w0, w1, avg(CASE WHEN label = 1 THEN -ln({_MIX}) ELSE -ln(1 - {_MIX}) END) AS loss FROM scored, g GROUP BY ALL)"""
 
 
-@query(
-    "l13_weighted_ensemble",
-    f"""SELECT CAST(i AS INTEGER) AS weight_id, {r6("avg(CASE WHEN label = 1 THEN -ln(" + cl("(i / 10.0) * p + (1 - i / 10.0) * p2") + ") ELSE -ln(1 - " + cl("(i / 10.0) * p + (1 - i / 10.0) * p2") + ") END)")} AS log_loss
-        FROM scored, (SELECT unnest(range(0, 11)) AS i) GROUP BY i""",
-)
+@query("l13_weighted_ensemble", f"{_LOSSES} SELECT CAST(weight_id AS INTEGER) AS weight_id, {r6('loss')} AS log_loss FROM t")
 def _(spark, d):
     out = learn.blend_search(scored(spark, d), ["p", "p2"], WEIGHTS)
     return out.select("weight_id", rnd("log_loss").alias("log_loss"))
 
 
+@query("l13_ensemble_winner", f"{_LOSSES} SELECT {r6('min(loss)')} AS log_loss, {r6('arg_min(w0, loss)')} AS w0, {r6('arg_min(w1, loss)')} AS w1 FROM t")
+def _(spark, d):
+    out = learn.blend_winner(learn.blend_search(scored(spark, d), ["p", "p2"], WEIGHTS), WEIGHTS)
+    return out.select(rnd("log_loss").alias("log_loss"), *[rnd(F.col("weights")[i]).alias(f"w{i}") for i in range(2)])
+
+
 @query("l14_stacking")
 def _(spark, d):
-    model, _ = learn.stack(model_rows(spark, d), FEATURES, [1999, 2000], STACK_BASE)
+    model, _ = learn.stack(model_rows(spark, d), FEATURES, eligible(spark, d), STACK_BASE)
     return spark.createDataFrame(list(zip(model.features, model.coefficients, strict=True)), "feature string, coefficient double").select(
         "feature", F.round("coefficient", 4).alias("coefficient")
     )
 
 
+@query("l14_stacked_evaluation")
+def _(spark, d):
+    rows = cut_lineage(splits.split_roles(model_rows(spark, d), "yr"))
+    last = rows.where("role = 'train'").agg(F.max("yr")).first()[0]
+    out = learn.stacked_evaluation(rows, FEATURES, [f for f in eligible(spark, d) if f <= last], STACK_BASE)
+    return fold_metrics(out)
+
+
 @query("l15_final_evaluation")
 def _(spark, d):
     rows = splits.split_roles(model_rows(spark, d), "yr")
@@ -270,16 +295,18 @@ def _(spark, d):
 
 @query("l16_ablation")
 def _(spark, d):
-    out = learn.ablation(model_rows(spark, d), FEATURES, {"size": ("p",), "money": ("l_discount", "l_tax", "price")}, [2000])
+    out = learn.ablation(model_rows(spark, d), FEATURES, {"size": ("p",), "money": ("l_discount", "l_tax", "price")}, eligible(spark, d))
     return fold_metrics(out, "dropped", F.round("delta_log_loss", 4).alias("delta_log_loss"))
 
 
 @query("l17_feature_ladder")
 def _(spark, d):
-    rows = model_rows(spark, d).withColumn("key", F.xxhash64(*["l_orderkey", "l_linenumber", "p", "l_discount", "l_tax", "price", "label", "block"]))
-    w = ["key", "yr", "block", "label", *FEATURES]
-    rows = rows.select(*w).dropDuplicates(["key"])
-    return learn.ladder(rows, [("M0", ("p",)), ("M1", ("l_discount", "l_tax")), ("M2", ("price",))], [2000], ["key"], ["block"], iterations=100)
+    values = ["p", "l_discount", "l_tax", "price", "label", "block"]
+    copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*values))
+    key = ["l_orderkey", "l_linenumber", "copy"]
+    rows = model_rows(spark, d).withColumn("copy", copy).select(*key, "yr", "block", "label", *FEATURES)
+    rungs = [("M0", ("p",)), ("M1", ("l_discount",)), ("M2", ("l_tax",)), ("M3", ("price",))]
+    return learn.ladder(rows, rungs, eligible(spark, d), key, ["block"])
 
 
 @query(

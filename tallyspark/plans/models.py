@@ -15,6 +15,7 @@ from tallyspark.plans.history import STATIC_P, attach, round_parts, venue_parts
 from tallyspark.plans.people import latest_states
 from tallyspark.plans.probability import clamp_sql, game_sql, match_from_points_sql, match_sql, set_sql
 from tallyspark.plans.rating import SOLVED_COLS, fold_sql, plain_blend
+from tallyspark.plans import newton
 from tallyspark.plans.registry import query, r6, view
 from tallyspark.plans.rows import rnd
 from tallyspark.session import cut_lineage
@@ -173,31 +174,95 @@ def _(spark, d):
     return out.select("feature", rnd("center").alias("center"), rnd("scale").alias("scale"))
 
 
-@query("l6_logistic_fit")
+def short(c):
+    """Five decimals of the six-decimal value, in the same two steps as the SQL."""
+    return F.round(rnd(c), 5)
+
+
+def s5(expression):
+    return f"round({r6(expression)}, 5)"
+
+
+SCORES = ("accuracy", "auc", "log_loss", "brier", "ece")
+
+
+def scores_sql(source, keys, extra=""):
+    """Metric bundle per group with rank-based AUC; the SQL twin of ``fold_metrics``."""
+    by = ", ".join(keys)
+    c = "greatest(1e-6, least(1 - 1e-6, probability))"
+    return f"""(SELECT {by}, count(*) AS n, avg(CASE WHEN (q >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END) AS accuracy,
+      avg(CASE WHEN label = 1 THEN -ln(q) ELSE -ln(1 - q) END) AS log_loss, avg((q - label) * (q - label)) AS brier,
+      (sum(rk) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)) AS auc {extra}
+      FROM (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY q) + (count(*) OVER (PARTITION BY {by}, q) - 1) / 2.0 AS rk FROM (SELECT *, {c} AS q FROM {source})) GROUP BY {by})
+      JOIN (SELECT {by}, sum(gap) / sum(cnt) AS ece FROM (SELECT {by}, least(floor({c} * 10), 9) AS bk, abs(sum({c} - label)) AS gap, count(*) AS cnt FROM {source} GROUP BY {by}, bk) GROUP BY {by}) USING ({by})"""
+
+
+def scores_select(keys=()):
+    return ", ".join([*keys, "CAST(n AS BIGINT) AS n", *(f"{s5(c)} AS {c}" for c in SCORES)])
+
+
+YEARS = range(1997, 2002)
+ROWS_IN = "rows_in AS MATERIALIZED (SELECT * FROM mrows)"
+ELIGIBLE = """elig AS MATERIALIZED (SELECT fold FROM (SELECT unnest(range(1995, 2003)) AS fold), (SELECT yr, count(*) AS n FROM rows_in GROUP BY yr), (SELECT count(*) AS total FROM rows_in)
+  GROUP BY fold HAVING sum(n) FILTER (yr < fold - 1) >= any_value(total) // 10 AND sum(n) FILTER (yr = fold - 1) >= any_value(total) // 50 AND sum(n) FILTER (yr = fold) >= any_value(total) // 50)"""
+
+
+def folds_sql(name, features=FEATURES, l2=0.004, steps=newton.STEPS):
+    """CTEs of all folds' test rows; the last one is ``name``."""
+    out = []
+    for y in YEARS:
+        out += newton.fold_ctes(f"{name}{y}", features, y, l2=l2, steps=steps)
+    union = " UNION ALL ".join(f"SELECT yr, label, l2, probability, fold FROM {name}{y}_out" for y in YEARS)
+    return [*out, f"{name} AS MATERIALIZED (SELECT * FROM ({union}) WHERE fold IN (SELECT fold FROM elig))"]
+
+
+def with_folds(ctes, select):
+    return "WITH " + ",\n".join([ROWS_IN, ELIGIBLE, *ctes]) + "\n" + select
+
+
+@query(
+    "l6_logistic_fit",
+    "WITH " + ",\n".join(newton.logistic_ctes("m", "mrows", FEATURES)) + f" SELECT '(intercept)' AS feature, {s5('b0')} AS coefficient FROM m_b{newton.STEPS} "
+    + " ".join(f"UNION ALL SELECT '{f}', {s5(f'b{i}')} FROM m_b{newton.STEPS}" for i, f in enumerate(FEATURES, 1)),
+)
 def _(spark, d):
     model = learn.fit_logistic(model_rows(spark, d), FEATURES)
     data = [("(intercept)", model.intercept), *zip(model.features, model.coefficients, strict=True)]
-    return spark.createDataFrame(data, "feature string, coefficient double").select("feature", F.round("coefficient", 5).alias("coefficient"))
+    return spark.createDataFrame(data, "feature string, coefficient double").select("feature", short("coefficient").alias("coefficient"))
 
 
-@query("l7_calibration")
+LOGIT_SQL = "ln({0} / (1 - {0}))"
+
+
+@query(
+    "l7_calibration",
+    "WITH fr AS (SELECT * FROM mrows WHERE grp = 'F'), orows AS (SELECT * FROM mrows WHERE grp = 'O'), "
+    + ", ".join([*newton.calibration_ctes("f", "fr", LOGIT_SQL.format("p"), steps=9), *newton.calibration_ctes("o", "orows", LOGIT_SQL.format("p"), steps=9)])
+    + f" SELECT 'F' AS grp, {s5('slope')} AS slope, {s5('shift')} AS intercept FROM f_c UNION ALL SELECT 'O', {s5('slope')}, {s5('shift')} FROM o_c",
+)
 def _(spark, d):
     out = []
     for g in ("F", "O"):
         cal = learn.fit_calibration(model_rows(spark, d).where(F.col("grp") == g), prob.logit(F.col("p")))
         out.append((g, cal.slope, cal.intercept))
-    return spark.createDataFrame(out, "grp string, slope double, intercept double")
+    return spark.createDataFrame(out, "grp string, slope double, intercept double").select("grp", short("slope").alias("slope"), short("intercept").alias("intercept"))
 
 
-@query("l8_calibration_diagnostic")
+@query(
+    "l8_calibration_diagnostic",
+    "WITH "
+    + ", ".join([*newton.calibration_ctes("a", "mrows", LOGIT_SQL.format("p"), 0.0, steps=9), *newton.calibration_ctes("b", "mrows", LOGIT_SQL.format("p2"), 0.0, steps=9)])
+    + f" SELECT 'a' AS model, {s5('slope')} AS slope, {s5('shift')} AS intercept FROM a_c UNION ALL SELECT 'b', {s5('slope')}, {s5('shift')} FROM b_c",
+)
 def _(spark, d):
     rows = model_rows(spark, d)
     pairs = [(m, learn.fit_calibration(rows, prob.logit(F.col(c)), pull=0.0)) for m, c in (("a", "p"), ("b", "p2"))]
-    return spark.createDataFrame([(m, c.slope, c.intercept) for m, c in pairs], "model string, slope double, intercept double")
+    out = spark.createDataFrame([(m, c.slope, c.intercept) for m, c in pairs], "model string, slope double, intercept double")
+    return out.select("model", short("slope").alias("slope"), short("intercept").alias("intercept"))
 
 
 def fold_metrics(df, *keys):
-    return df.select(*keys, "n", *[F.round(c, 4).alias(c) for c in ("accuracy", "auc", "log_loss", "brier", "ece")])
+    return df.select(*keys, "n", *[short(c).alias(c) for c in SCORES])
 
 
 def eligible(spark, d):
@@ -216,14 +281,20 @@ def _(spark, d):
 PENALTIES = (0.0015, 0.003, 0.006, 0.012)
 
 
-@query("l10_parameter_grid")
+@query(
+    "l10_parameter_grid",
+    with_folds(
+        folds_sql("g", l2=PENALTIES),
+        f"SELECT l2, {s5('avg(log_loss)')} AS log_loss, {s5('avg(brier)')} AS brier FROM {scores_sql('g', ['l2', 'fold'])} GROUP BY l2 ORDER BY 2, 3, 1 LIMIT 1",
+    ),
+)
 def _(spark, d):
     rows = cut_lineage(model_rows(spark, d))
     folds = eligible(spark, d)
     out = None
     for l2 in PENALTIES:
         one = learn.walk_forward(rows, FEATURES, folds, params={"l2": l2}).where("fold > 0")
-        one = one.agg(F.avg("log_loss").alias("log_loss"), F.avg("brier").alias("brier")).withColumn("l2", F.lit(l2))
+        one = one.agg(short(F.avg("log_loss")).alias("log_loss"), short(F.avg("brier")).alias("brier")).withColumn("l2", F.lit(l2))
         out = one if out is None else out.unionByName(one)
     return learn.best_by(out, "l2", "log_loss", "brier")
 
@@ -240,15 +311,24 @@ def _(spark, d):
     return splits.fold_table(scored(spark, d), "yr", range(1995, 2003), 500, 100, 100)
 
 
-@query("l11_walk_forward")
+@query(
+    "l11_walk_forward",
+    with_folds(
+        [*folds_sql("w"), "b AS MATERIALIZED (SELECT fold, label, probability FROM w UNION ALL SELECT 0, label, probability FROM w)"],
+        f"SELECT CAST(fold AS INTEGER) AS fold, {scores_select()} FROM {scores_sql('b', ['fold'])}",
+    ),
+)
 def _(spark, d):
     return fold_metrics(learn.walk_forward(model_rows(spark, d), FEATURES, eligible(spark, d)), "fold")
 
 
-@query("l12_out_of_fold")
+@query(
+    "l12_out_of_fold",
+    with_folds(folds_sql("w"), f"SELECT CAST(fold AS INTEGER) AS fold, label, CAST(count(*) AS BIGINT) AS n, {s5('avg(probability)')} AS mean_p FROM w GROUP BY ALL"),
+)
 def _(spark, d):
     pred = learn.fold_predictions(model_rows(spark, d), FEATURES, eligible(spark, d))
-    return pred.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 4).alias("mean_p"))
+    return pred.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"), short(F.avg("probability")).alias("mean_p"))
 
 
 WEIGHTS = [[round(v, 6) for v in w] for w in learn.simplex_weights(2, 1200)]
@@ -269,15 +349,51 @@ def _(spark, d):
     return out.select(rnd("log_loss").alias("log_loss"), *[rnd(F.col("weights")[i]).alias(f"w{i}") for i in range(2)])
 
 
-@query("l14_stacking")
+def _stack_ctes(name, rows, years):
+    """CTEs of the stacker fitted on ``rows``; its model is ``<name>``."""
+    out = []
+    for y in years:
+        out.append(f"{name}t{y} AS MATERIALIZED (SELECT * FROM {rows} WHERE yr < {y})")
+        out += newton.logistic_ctes(f"{name}{y}", f"{name}t{y}", FEATURES)
+    held = " UNION ALL ".join(
+        f"SELECT {newton.logit_sql(f'{name}{y}', FEATURES)} AS full_logistic, 2.2 * p AS size, 9.0 * l_tax AS tax, label, {y} AS fold FROM {rows}, {newton.model_from(f'{name}{y}')} WHERE yr = {y}" for y in years
+    )
+    out.append(f"{name}h AS MATERIALIZED (SELECT * FROM ({held}) WHERE fold IN (SELECT fold FROM elig))")
+    return [*out, *newton.logistic_ctes(name, f"{name}h", ("full_logistic", "size", "tax"))]
+
+
+STACKED = ("full_logistic", "size", "tax")
+
+
+@query(
+    "l14_stacking",
+    with_folds(_stack_ctes("k", "rows_in", YEARS), " UNION ALL ".join(f"SELECT '{f}' AS feature, {s5(f'b{i}')} AS coefficient FROM k_b{newton.STEPS}" for i, f in enumerate(STACKED, 1))),
+)
 def _(spark, d):
     model, _ = learn.stack(model_rows(spark, d), FEATURES, eligible(spark, d), STACK_BASE)
-    return spark.createDataFrame(list(zip(model.features, model.coefficients, strict=True)), "feature string, coefficient double").select(
-        "feature", F.round("coefficient", 4).alias("coefficient")
-    )
+    out = spark.createDataFrame(list(zip(model.features, model.coefficients, strict=True)), "feature string, coefficient double")
+    return out.select("feature", short("coefficient").alias("coefficient"))
+
 
+ROLES = """ys AS MATERIALIZED (SELECT max(yr) AS last, max(yr) FILTER (yr < (SELECT max(yr) FROM rows_in)) AS cal FROM rows_in),
+  tr AS MATERIALIZED (SELECT r.* FROM rows_in r, ys WHERE yr < cal), ca AS MATERIALIZED (SELECT r.* FROM rows_in r, ys WHERE yr = cal), te AS MATERIALIZED (SELECT r.* FROM rows_in r, ys WHERE yr = last)"""
 
-@query("l14_stacked_evaluation")
+
+@query(
+    "l14_stacked_evaluation",
+    with_folds(
+        [
+            ROLES,
+            *_stack_ctes("k", "tr", range(1997, 2000)),
+            *newton.logistic_ctes("m", "tr", FEATURES),
+            *(f"s{x} AS MATERIALIZED (SELECT {newton.logit_sql('m', FEATURES)} AS full_logistic, 2.2 * p AS size, 9.0 * l_tax AS tax, label FROM {x}, {newton.model_from('m')})" for x in ("ca", "te")),
+            f"zca AS MATERIALIZED (SELECT {newton.logit_sql('k', STACKED)} AS z, label FROM sca, {newton.model_from('k')})",
+            *newton.calibration_ctes("q", "zca", "z"),
+            f"o AS MATERIALIZED (SELECT 0 AS one, label, 1 / (1 + exp(-(slope * {newton.logit_sql('k', STACKED)} + shift))) AS probability FROM ste, {newton.model_from('k')}, q_c)",
+        ],
+        f"SELECT {scores_select()} FROM {scores_sql('o', ['one'])}",
+    ),
+)
 def _(spark, d):
     rows = cut_lineage(splits.split_roles(model_rows(spark, d), "yr"))
     last = rows.where("role = 'train'").agg(F.max("yr")).first()[0]
@@ -285,7 +401,19 @@ def _(spark, d):
     return fold_metrics(out)
 
 
-@query("l15_final_evaluation")
+@query(
+    "l15_final_evaluation",
+    with_folds(
+        [
+            ROLES,
+            *newton.logistic_ctes("m", "tr", FEATURES),
+            f"zc AS MATERIALIZED (SELECT {newton.logit_sql('m', FEATURES)} AS z, label FROM ca, {newton.model_from('m')})",
+            *newton.calibration_ctes("q", "zc", "z"),
+            f"o AS MATERIALIZED (SELECT 'latest_two_year_holdout' AS split_rule, label, 1 / (1 + exp(-(slope * {newton.logit_sql('m', FEATURES)} + shift))) AS probability FROM te, {newton.model_from('m')}, q_c)",
+        ],
+        f"SELECT split_rule, {scores_select()} FROM {scores_sql('o', ['split_rule'])}",
+    ),
+)
 def _(spark, d):
     rows = splits.split_roles(model_rows(spark, d), "yr")
     scorer, cal = learn.fixed_split(rows, FEATURES)
@@ -293,10 +421,20 @@ def _(spark, d):
     return fold_metrics(mx.bundle(test, ["split_rule"], "probability"), "split_rule")
 
 
-@query("l16_ablation")
+FAMILY_SETS = {"full": FEATURES, "size": FEATURES[1:], "money": FEATURES[:1]}
+_ABLATED = " UNION ALL ".join(f"SELECT dropped, n, accuracy, auc, log_loss, brier, ece FROM {scores_sql(f'a{k}', ['dropped'])}" for k in FAMILY_SETS)
+
+
+@query(
+    "l16_ablation",
+    with_folds(
+        [c for k, f in FAMILY_SETS.items() for c in (*folds_sql(f"w{k}", f, steps=5), f"a{k} AS MATERIALIZED (SELECT '{k}' AS dropped, label, probability FROM w{k})")],
+        f"SELECT dropped, round({r6('log_loss - (SELECT log_loss FROM u WHERE dropped = ' + chr(39) + 'full' + chr(39) + ')')}, 5) AS delta_log_loss, {scores_select()} FROM u",
+    ).replace("SELECT dropped, round", f", u AS MATERIALIZED ({_ABLATED}) SELECT dropped, round", 1),
+)
 def _(spark, d):
     out = learn.ablation(model_rows(spark, d), FEATURES, {"size": ("p",), "money": ("l_discount", "l_tax", "price")}, eligible(spark, d))
-    return fold_metrics(out, "dropped", F.round("delta_log_loss", 4).alias("delta_log_loss"))
+    return fold_metrics(out, "dropped", short("delta_log_loss").alias("delta_log_loss"))
 
 
 @query("l17_feature_ladder")

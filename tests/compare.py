@@ -14,6 +14,10 @@ TABLES = (
 ).split()
 
 
+# Queries that SQL does not state; any other query without SQL counts as a failure.
+ROWS_ONLY = ("q6_fingerprints", "l9_boosted_trees", "l17_feature_ladder", "m11_posterior_simulation", "a14_block_bootstrap", "op", "pipeline")
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -54,7 +58,7 @@ def compare(spark, con, sf_dir, name, queries, oracles, verbose=True):
     took = time.time() - start
     got_rows, got_cols = rows_of(df.columns, got)
     if name not in oracles:
-        return True, f"{name}: rows-only {len(got)} in {took:.1f}s cols={got_cols}"
+        return name.startswith(ROWS_ONLY), f"{name}: rows-only {len(got)} in {took:.1f}s cols={got_cols}"
     start = time.time()
     res = con.execute(oracles[name])
     cols = [d[0] for d in res.description]

@@ -72,9 +72,13 @@ def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
         q, names = queries[lo : lo + 128], query_ids[lo : lo + 128]
         guess, bound = estimate(q, *code)
         other = names[:, None] != ids[None, :]
-        sure = np.where(other, guess - bound, -np.inf)
-        need = min(k, len(ids))
-        floor = np.partition(sure, len(ids) - need, axis=1)[:, len(ids) - need]
+        guess[~other] = -np.inf
+        # the k-th best of the most promising rows, compared exactly, is a floor that no better set can fall below
+        first = min(2 * k, len(ids))
+        tried = np.argpartition(guess, len(ids) - first, axis=1)[:, len(ids) - first :]
+        known = np.einsum("ij,ikj->ik", q, vectors[tried])
+        known[~np.take_along_axis(other, tried, axis=1)] = -np.inf
+        floor = np.sort(known, axis=1)[:, max(first - k, 0)]
         row, col = np.nonzero(other & (guess + bound >= floor[:, None]))
         score = np.empty(len(row))
         for a in range(0, len(row), 1 << 16):

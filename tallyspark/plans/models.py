@@ -102,25 +102,27 @@ def _(spark, d):
     )
 
 
-_B = "(0.62 * {s} + 0.30 * overall - 0.08 * greatest(28.0, 90.0 / pow(greatest(matches, 1), 0.35)))"
 view(
     "served",
-    f"""SELECT c.pool, c.entity, {_B.format(s='hard')} AS blended, overall, hard, serve_point_won, return_point_won, ace_rate, c.matches, ranking
+    f"""SELECT c.pool, c.entity, 0.30 * overall - 0.08 * greatest(28.0, 90.0 / pow(greatest(matches, 1), 0.35)) AS base, overall, {', '.join(rt.SURFACES)}, serve_point_won, c.matches
         FROM career c JOIN last_ratings r ON r.pool = c.pool AND r.entity = c.entity""",
 )
-view(
-    "asked_pairs",
-    """SELECT DISTINCT 'north' AS pool, winner AS a, loser AS b FROM matches WHERE pool = 'south'""",
-)
+view("asked_pairs", "SELECT DISTINCT pool, winner AS a, loser AS b, surface, best_of FROM matches")
+
+
+def _on_surface(side):
+    return "CASE q.surface " + " ".join(f"WHEN '{s}' THEN {side}.{s}" for s in rt.SURFACES) + " END"
+
+
 _SC = {
     "overall_elo_diff": ("(x.overall - y.overall) / 400.0", 1.1),
-    "surface_elo_diff": ("(x.hard - y.hard) / 400.0", 0.6),
+    "surface_elo_diff": (f"({_on_surface('x')} - {_on_surface('y')}) / 400.0", 0.6),
     "serve_point_won_diff": ("x.serve_point_won - y.serve_point_won", 3.0),
     "matches_diff": ("(least(x.matches, 300) - least(y.matches, 300)) / 300.0", 0.2),
 }
 view(
     "pair_state",
-    f"""SELECT q.a, q.b, x.blended AS ra, y.blended AS rb, {' + '.join(f'{k} * ({e})' for e, k in _SC.values())} AS raw
+    f"""SELECT q.pool, q.a, q.b, q.surface, q.best_of, 0.62 * {_on_surface('x')} + x.base AS ra, 0.62 * {_on_surface('y')} + y.base AS rb, {' + '.join(f'{k} * ({e})' for e, k in _SC.values())} AS raw
         FROM asked_pairs q JOIN served x ON x.pool = q.pool AND x.entity = q.a JOIN served y ON y.pool = q.pool AND y.entity = q.b""",
 )
 _E = clamp_sql("(ra - rb) / 1150.0", -0.11, 0.11)
@@ -129,31 +131,34 @@ _HELD = f"(SELECT *, {game_sql(clamp_sql(f'0.635 + {_E}', 0.50, 0.78))} AS h1, {
 
 @query(
     "l4_matchup_scoring",
-    f"""SELECT a, b, {r6(clamp_sql(f"0.62 * ({match_sql('setp', '3')}) + 0.38 / (1 + pow(10.0, (rb - ra) / 400.0))", 0.02, 0.98))} AS rating_p,
+    f"""SELECT pool, a, b, surface, CAST(best_of AS INTEGER) AS best_of, {r6(clamp_sql(f"0.62 * ({match_sql('setp')}) + 0.38 / (1 + pow(10.0, (rb - ra) / 400.0))", 0.02, 0.98))} AS rating_p,
         round({clamp_sql('1 / (1 + exp(-raw))', 0.01, 0.99)} + 1e-9, 4) + 0.0 AS model_p FROM {set_sql(_HELD, 'h1', 'h2')}""",
 )
 def _(spark, d):
     s = latest_states(spark, d)
     unc = st.serving_uncertainty(F.col("matches"))
-    s = s.withColumn("blended", 0.62 * F.col("hard") + 0.30 * F.col("overall") - 0.08 * unc)
-    cols = ("overall", "hard", "serve_point_won", "matches", "blended")
+    s = s.withColumn("base", 0.30 * F.col("overall") - 0.08 * unc)
+    cols = ("overall", *rt.SURFACES, "serve_point_won", "matches", "base")
+    s = cut_lineage(s.select("pool", "entity", *cols))
     side = lambda k, i: s.select("pool", F.col("entity").alias(k), *[F.col(c).alias(f"{c}_{i}") for c in cols])
-    pairs = matches(spark, d).where("pool = 'south'").select(F.lit("north").alias("pool"), F.col("winner").alias("a"), F.col("loser").alias("b")).distinct()
+    pairs = matches(spark, d).select("pool", F.col("winner").alias("a"), F.col("loser").alias("b"), "surface", "best_of").distinct()
     x = pairs.join(side("a", 1), ["pool", "a"]).join(side("b", 2), ["pool", "b"])
     cap = lambda i: F.least(F.col(f"matches_{i}"), F.lit(300))
+    on = lambda i: F.coalesce(*[F.when(F.col("surface") == n, F.col(f"{n}_{i}")) for n in rt.SURFACES])
     x = x.withColumns(
         {
+            "blended_1": 0.62 * on(1) + F.col("base_1"),
+            "blended_2": 0.62 * on(2) + F.col("base_2"),
             "overall_elo_diff": (F.col("overall_1") - F.col("overall_2")) / 400.0,
-            "surface_elo_diff": (F.col("hard_1") - F.col("hard_2")) / 400.0,
+            "surface_elo_diff": (on(1) - on(2)) / 400.0,
             "serve_point_won_diff": F.col("serve_point_won_1") - F.col("serve_point_won_2"),
             "matches_diff": (cap(1) - cap(2)) / 300.0,
-            "best_of": F.lit(3),
         }
     )
     x = prob.with_rating_probability(x, "blended_1", "blended_2", "best_of", "rating_p")
     raw = learn.linear_score(tuple(_SC), [k for _, k in _SC.values()], 0.0)
     model_p = F.round(prob.clamp(prob.sigmoid(raw), 0.01, 0.99) + 1e-9, 4)
-    return x.select("a", "b", rnd("rating_p").alias("rating_p"), model_p.alias("model_p"))
+    return x.select("pool", "a", "b", "surface", F.col("best_of").cast("int").alias("best_of"), rnd("rating_p").alias("rating_p"), model_p.alias("model_p"))
 
 
 @query(

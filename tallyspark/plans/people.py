@@ -225,20 +225,20 @@ def _(spark, d):
 
 @query(
     "s11_rating_map",
-    f"""SELECT CAST(c.entity AS VARCHAR) AS name, CAST(c.matches AS BIGINT) AS matches, {one('overall')} AS global, {one('hard')} AS hard, {one('clay')} AS clay,
+    f"""SELECT c.pool, CAST(c.entity AS VARCHAR) AS name, CAST(c.matches AS BIGINT) AS matches, {one('overall')} AS global, {one('hard')} AS hard, {one('clay')} AS clay,
         {one('grass')} AS grass, CAST(greatest(4, round(greatest(28.0, 85.0 * pow(0.992, c.matches)) / 12)) AS BIGINT) AS fatigue
-        FROM career c JOIN last_ratings r ON r.pool = c.pool AND r.entity = c.entity WHERE c.matches >= 5 AND c.pool = 'north'""",
+        FROM career c JOIN last_ratings r ON r.pool = c.pool AND r.entity = c.entity WHERE c.matches >= 5""",
 )
 def _(spark, d):
-    s = latest_states(spark, d).where("matches >= 5 and pool = 'north'")
+    s = latest_states(spark, d).where("matches >= 5")
     tenth = lambda c: F.round(F.col(c) + 1e-9, 1)
     tired = F.greatest(F.lit(4), F.round(st.rating_uncertainty(F.col("matches")) / 12)).cast("bigint")
     body = F.create_map(
         F.col("entity").cast("string"),
         F.struct("matches", tenth("overall").alias("global"), *[tenth(c).alias(c) for c in ("hard", "clay", "grass")], tired.alias("fatigue")),
     )
-    mapped = s.select(body.alias("m"))
-    return mapped.select(F.explode("m").alias("name", "v")).select("name", "v.*")
+    mapped = s.select("pool", body.alias("m"))
+    return mapped.select("pool", F.explode("m").alias("name", "v")).select("pool", "name", "v.*")
 
 
 @query(

@@ -219,7 +219,7 @@ def _(spark, d):
         won("loser").alias("alpha_2"),
         F.lit(39.0).alias("beta_2"),
     )
-    out = resample.posterior_match(x, ["match_id"], samples=200)
+    out = resample.posterior_match(x, ["match_id"])
     return out.select("match_id", *[rnd(c).alias(c) for c in ("mean", "variance", "low", "high")])
 
 

@@ -21,7 +21,7 @@ SHAPES = {
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "date": r"(?<![0-9\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9\-/])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "card": r"(?<![0-9\p{L}])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9\p{L}])",
+    "card": r"(?<![0-9\p{L}])(?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19})(?![0-9\p{L}])",
     "secret": r"(?i:token|secret|password|api[_\-]?key)\s{0,3}[=:]\s{0,3}\"[A-Za-z0-9_\-]{16,}\"",
 }
 PATTERN = "|".join(f"(?:{SHAPES[k]})" for k in ("email", "secret", "phone", "ip", "date", "ssn", "card"))

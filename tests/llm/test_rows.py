@@ -91,11 +91,12 @@ def test_pseudonyms(spark):
         c = "".join(rng.choice("0123456789") for _ in range(16))
         cards += [c] * luhn(c)
     fixed = ["bad 4111111111111112", "999.1.1.1", "1.2.3.4.5", "000-12-3456", "2001-02-30", "version 2.0 of 2020", "", None, "no numbers at all"]
+    near = ["4111111111111111 12 items", "12 4111111111111111", "169.122.221.182 4111111111111111 +1 (702) 555-0742", "4111111111111111 4111111111111111."]
     moved = {
         "card": "pay 4111 1111 1111 1111 or 4111-1111-1111-1111", "mail": "Éva.9@mail.example.com;", "phone": "+1 (702) 555-0742", "ip": "at 169.122.221.182:80",
         "ssn": "123-45-6789", "day": "2001-02-28 02/28/2001 28/02/2001", "secret": 'token = "9233A8ECF7C5B09FE5949719"',
     }
-    texts = [*fixed, *moved.values(), *cards]
+    texts = [*fixed, *moved.values(), *cards, *near]
     docs = spark.createDataFrame([(i, t, "x", 3, 1) for i, t in enumerate(texts)], "doc_id long, text string, _m string, m int, k int")
     got = {r.doc_id: r for r in pseudonymise(docs, "key").collect()}
     assert all(got[i].text == t and got[i].n_private == 0 for i, t in enumerate(fixed))
@@ -108,6 +109,7 @@ def test_pseudonyms(spark):
     assert all(0 <= int(x) < 256 for x in new["ip"].text[3:-3].split(".")) and new["ip"].text.endswith(":80")
     out = [got[i + len(fixed) + len(moved)].text for i in range(len(cards))]
     assert all(luhn(c) for c in out) and len(set(out)) == len(set(cards))
+    assert [got[len(texts) - len(near) + i].n_private for i in range(len(near))] == [1, 1, 3, 2]
     again = {r.doc_id: r.text for r in pseudonymise(docs, "other").collect()}
     assert again[len(fixed)] != got[len(fixed)].text
     assert pseudonymise(docs.limit(0), "key").count() == 0

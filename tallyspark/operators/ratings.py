@@ -110,7 +110,10 @@ def fold_edges(parts: DataFrame, spec: RatingSpec) -> tuple[DataFrame, bool]:
             "idle", F.when(F.col("seq") > F.col("seq_before") + 1, F.lit(0.0)).otherwise(F.col("days_rest"))
         )
     rows = cut_lineage(rows.drop("seq_before", "days_rest"))
-    split = bool(rows.agg(F.max("chunk")).first()[0])
+    longest, strange = rows.agg(F.max("chunk"), F.count_if(~F.coalesce(F.col("surface").isin(*SURFACES), F.lit(False)))).first()
+    if strange:
+        raise ValueError(f"{strange} sides on a surface other than {', '.join(SURFACES)}")
+    split = bool(longest)
     rows = _running(rows, F.lit(1.0), split).withColumn("surface_n", F.col("_own"))
     pick = [F.min("n").alias("_fewer")]
     rd_sum = idle = None
@@ -168,6 +171,8 @@ def solve_ratings(
             done += 1
         current = cut_lineage(current)
         worst = current.agg(F.max(F.abs(F.col("delta") - F.col("old")))).first()[0]
+        if worst is not None and worst != worst:
+            raise ValueError("a rating change is not a number")
         if worst is None or worst <= tolerance:
             return current.drop("old")
         if done >= max_sweeps:

@@ -103,6 +103,12 @@ def cumulative_rates(parts: DataFrame, stats: Sequence[StatSpec] = SERVE_STATS)
 # to the last update. (span in days) / half-life must stay below 900 to fit a double.
 
 
+def growth_sql(half_life: float) -> str:
+    """2^(day / half-life); an error where a double could not hold the sums."""
+    far = f"_day / {half_life}D"
+    return f"CASE WHEN abs({far}) < 900D THEN pow(2D, {far}) ELSE CAST(raise_error('span over half-life is beyond 900') AS DOUBLE) END"
+
+
 @dataclass(frozen=True)
 class DecaySpec:
     name: str
@@ -114,8 +120,8 @@ def decayed_mean_measures(specs: Sequence[DecaySpec]) -> Measures:
     """Decayed mean of each value; null values do not count, no value is 0."""
     sums: dict[str, Column] = {}
     for s in specs:
-        growth = f"pow(2D, _day / {s.half_life}D)"
-        sums[f"n_{s.name}"] = F.expr(f"{s.value} * {growth}")
+        growth = growth_sql(s.half_life)
+        sums[f"n_{s.name}"] = F.expr(f"{s.value} * ({growth})")
         sums[f"d_{s.name}"] = F.expr(f"CASE WHEN {s.value} IS NOT NULL THEN {growth} END")
     means = [F.expr(f"CASE WHEN d_{s.name} > 0 THEN n_{s.name} / d_{s.name} ELSE 0D END AS {s.name}") for s in specs]
     return Measures(sums, {}, means)
@@ -151,7 +157,7 @@ def decayed_count_measures(stats: Sequence[StatSpec], prefix: str = "", half_lif
         valid = f"{s.trials} > 0 AND {s.success} IS NOT NULL"
         amount = {"s": f"greatest(0D, CAST({s.success} AS DOUBLE))", "t": f"CAST({s.trials} AS DOUBLE)"}
         for k, v in amount.items():
-            sums[f"d{k}_{s.name}"] = F.expr(f"CASE WHEN {valid} THEN {v} * pow(2D, _day / {h}) END")
+            sums[f"d{k}_{s.name}"] = F.expr(f"CASE WHEN {valid} THEN {v} * ({growth_sql(half_life)}) END")
             outs.append(F.expr(f"d{k}_{s.name} * pow(2D, -coalesce(dl_{s.name}, 0) / {h}) AS {prefix}{k}_{s.name}"))
         maxes[f"dl_{s.name}"] = F.expr(f"CASE WHEN {valid} THEN _day END")
     return Measures(sums, maxes, outs)

@@ -188,10 +188,16 @@ def _(spark, d):
        CAST(count(*) AS BIGINT) AS matches FROM sides GROUP BY ALL""",
 )
 def _(spark, d):
-    _, players = artifact_frames(spark, d)
-    path = scratch_path(spark, "players")
-    artifacts.write_players(players, path)
-    return spark.read.schema("model_version string, key string, tour string, matches bigint, pool string").json(path).select("model_version", "key", "matches")
+    heads, players = artifact_frames(spark, d)
+    # documents of at most a few hundred players each: the player map of a pool is never one value
+    part = F.pmod(F.xxhash64("key"), F.lit(64)).alias("part")
+    state = F.struct(F.col("tour"), F.col("matches"))
+    maps = players.groupBy("model_version", part).agg(F.map_from_entries(F.collect_list(F.struct("key", state))).alias("players"))
+    path = scratch_path(spark, "artifacts")
+    documents = heads.join(maps, "model_version").withColumn("document", F.concat_ws("-", "model_version", "part")).drop("part")
+    documents.repartition("document").write.mode("overwrite").partitionBy("document").json(path)
+    read = artifacts.read_artifacts(spark, path)
+    return artifacts.player_table(read).select("model_version", "key", "matches")
 
 
 @query(

@@ -246,8 +246,9 @@ def _(spark, d):
 
 @query(
     "q4_table_contracts",
-    """WITH pl AS (SELECT DISTINCT pool AS tour, entity AS id FROM sides WHERE entity % 20 <> 3 AND pool = 'north'), m AS (SELECT match_id // 2 AS id, CASE WHEN match_id % 9 = 0 THEN 'mixed' ELSE 'atp' END AS tour,
+    """WITH pl AS (SELECT DISTINCT pool AS tour, entity AS id FROM sides WHERE entity % 20 <> 3), m AS (SELECT match_id // 2 AS id, CASE WHEN match_id % 9 = 0 THEN 'mixed' ELSE 'atp' END AS tour,
          CASE WHEN match_id % 8 = 0 THEN 1 ELSE best_of END AS best_of, winner AS winner_id, loser AS loser_id FROM matches)
+       SELECT 'matches' AS table_name, 'types' AS rule, CAST(1 AS BIGINT) AS violations UNION ALL
        SELECT 'matches' AS table_name, 'enum:tour' AS rule, CAST(count(*) FILTER (tour NOT IN ('atp', 'wta')) AS BIGINT) AS violations FROM m UNION ALL
        SELECT 'matches', 'enum:best_of', count(*) FILTER (best_of NOT IN (3, 5)) FROM m UNION ALL
        SELECT 'matches', 'unique:id', count(*) FROM (SELECT id FROM m GROUP BY id HAVING count(*) > 1) UNION ALL
@@ -258,7 +259,7 @@ def _(spark, d):
     from tallyspark.sources.fixtures import div
 
     k = F.col("match_id")
-    players = parts(spark, d).where("entity % 20 <> 3 and pool = 'north'").select(F.col("entity").alias("id")).distinct()
+    players = parts(spark, d).where("entity % 20 <> 3").select(F.col("entity").alias("id")).distinct()
     m = matches(spark, d).select(
         div(k, 2).alias("id"),
         F.when(k % 9 == 0, "mixed").otherwise("atp").alias("tour"),
@@ -269,6 +270,52 @@ def _(spark, d):
     return contracts.check_table("matches", {"matches": m, "players": players})
 
 
+@query(
+    "q4_event_contracts",
+    """WITH pl AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 11 <> 5), m AS (SELECT DISTINCT event_id // 20 AS id FROM events WHERE event_id % 20 = 3),
+       pe AS (SELECT event_id AS id, event_id // 20 AS match_id, CASE WHEN event_id % 97 = 0 THEN 1 ELSE event_id % 20 + 1 END AS pn, user_id AS server_id, user_id + 1 AS winner_id,
+         CASE WHEN event_id % 41 = 0 THEN 1 ELSE (event_id % 20) // 10 + 1 END AS sn, event_id % 10 // 5 AS gn, event_id % 3 AS serve, CASE event_type WHEN 'view' THEN 'lob' ELSE 't' END AS dir FROM events),
+       mv AS (SELECT DISTINCT user_id % 7 AS id FROM events WHERE user_id % 7 <> 2),
+       pr AS (SELECT event_id // 2 AS id, user_id % 7 AS v, event_id // 20 AS match_id, user_id AS p1, user_id + 3 AS p2 FROM events)
+       SELECT 'point_events' AS table_name, 'types' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL
+       SELECT 'point_events', 'enum:serve_number', count(*) FILTER (serve NOT IN (1, 2)) FROM pe UNION ALL
+       SELECT 'point_events', 'enum:serve_direction', count(*) FILTER (dir = 'lob') FROM pe UNION ALL
+       SELECT 'point_events', 'unique:id', count(*) FROM (SELECT id FROM pe GROUP BY id HAVING count(*) > 1) UNION ALL
+       SELECT 'point_events', 'unique:match_id,point_number', count(*) FROM (SELECT match_id, pn FROM pe GROUP BY ALL HAVING count(*) > 1) UNION ALL
+       SELECT 'point_events', 'reference:match_id', count(*) FROM pe WHERE match_id NOT IN (SELECT id FROM m) UNION ALL
+       SELECT 'point_events', 'reference:server_id', count(*) FROM pe WHERE server_id NOT IN (SELECT id FROM pl) UNION ALL
+       SELECT 'point_events', 'reference:winner_id', count(*) FROM pe WHERE winner_id NOT IN (SELECT id FROM pl) UNION ALL
+       SELECT 'point_events', 'order:point_number', count(*) FROM (SELECT sn * 10 + gn AS cur, lag(sn * 10 + gn) OVER (PARTITION BY match_id ORDER BY pn, id) AS was FROM pe) WHERE cur < was UNION ALL
+       SELECT 'model_predictions', 'types', 2 UNION ALL
+       SELECT 'model_predictions', 'unique:id', count(*) FROM (SELECT id FROM pr GROUP BY id HAVING count(*) > 1) UNION ALL
+       SELECT 'model_predictions', 'reference:model_version_id', count(*) FROM pr WHERE v NOT IN (SELECT id FROM mv) UNION ALL
+       SELECT 'model_predictions', 'reference:match_id', count(*) FROM pr WHERE match_id NOT IN (SELECT id FROM m) UNION ALL
+       SELECT 'model_predictions', 'reference:player1_id', count(*) FROM pr WHERE p1 NOT IN (SELECT id FROM pl) UNION ALL
+       SELECT 'model_predictions', 'reference:player2_id', count(*) FROM pr WHERE p2 NOT IN (SELECT id FROM pl)""",
+)
+def _(spark, d):
+    from tallyspark.sources.fixtures import div
+
+    e, k, u = table(spark, d, "events"), F.col("event_id"), F.col("user_id")
+    short = lambda c: c.cast("smallint")
+    players = e.where("user_id % 11 <> 5").select(u.cast("bigint").alias("id")).distinct()
+    played = e.where("event_id % 20 = 3").select(div(k, 20).cast("bigint").alias("id")).distinct()
+    versions = e.where("user_id % 7 <> 2").select((u % 7).cast("bigint").alias("id")).distinct()
+    # the id breaks ties of a repeated point number, as in the SQL
+    points = e.select(
+        k.alias("id"), div(k, 20).cast("bigint").alias("match_id"), F.when(k % 97 == 0, 1).otherwise(k % 20 + 1).cast("int").alias("point_number"),
+        u.cast("bigint").alias("server_id"), (u + 1).cast("bigint").alias("winner_id"),
+        short(F.when(k % 41 == 0, 1).otherwise(div(k % 20, 10) + 1)).alias("set_number"), short(div(k % 10, 5)).alias("game_number"),
+        short(k % 3).alias("serve_number"), F.when(F.col("event_type") == "view", "lob").otherwise("t").alias("serve_direction"),
+    )
+    predictions = e.select(
+        div(k, 2).cast("int").alias("id"), (u % 7).cast("int").alias("model_version_id"), div(k, 20).cast("bigint").alias("match_id"),
+        u.cast("bigint").alias("player1_id"), (u + 3).cast("bigint").alias("player2_id"),
+    )
+    frames = {"point_events": points, "players": players, "matches": played, "model_versions": versions, "model_predictions": predictions}
+    return contracts.check_table("point_events", frames).unionByName(contracts.check_table("model_predictions", frames))
+
+
 @query(
     "q5_request_validation",
     """WITH r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN 'itf' ELSE 'atp' END AS pool, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 3 WHEN 2 THEN 5 ELSE 4 END AS best_of,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The relational target schema.
 TABLES = {
@@ -69,10 +70,16 @@ ENUMS = {
 UNIQUE = {
     "players": (("id",), ("canonical_name", "tour")),
     "player_aliases": (("id",), ("alias", "player_id")),
+    "tournaments": (("id",),),
     "matches": (("id",), ("source_match_id",)),
+    "match_statistics": (("match_id",),),
     "point_events": (("id",), ("match_id", "point_number")),
+    "elo_history": (("id",),),
     "model_versions": (("id",), ("version",)),
+    "model_predictions": (("id",),),
+    "model_backtests": (("id",),),
     "player_surface_snapshots": (("id",), ("player_id", "snapshot_date")),
+    "uploaded_analysis_jobs": (("id",),),
 }
 REFERENCES = {
     ("player_aliases", "player_id"): ("players", "id"),
@@ -81,10 +88,39 @@ REFERENCES = {
     ("matches", "loser_id"): ("players", "id"),
     ("match_statistics", "match_id"): ("matches", "id"),
     ("point_events", "match_id"): ("matches", "id"),
+    ("point_events", "server_id"): ("players", "id"),
+    ("point_events", "winner_id"): ("players", "id"),
     ("elo_history", "player_id"): ("players", "id"),
+    ("elo_history", "match_id"): ("matches", "id"),
+    ("model_predictions", "model_version_id"): ("model_versions", "id"),
     ("model_predictions", "match_id"): ("matches", "id"),
+    ("model_predictions", "player1_id"): ("players", "id"),
+    ("model_predictions", "player2_id"): ("players", "id"),
+    ("model_backtests", "model_version_id"): ("model_versions", "id"),
     ("player_surface_snapshots", "player_id"): ("players", "id"),
+    ("uploaded_analysis_jobs", "player_id"): ("players", "id"),
 }
+# Columns that may not fall while the ordering column rises within its group.
+ORDERS = {"point_events": ("match_id", "point_number", ("set_number", "game_number"))}
+
+
+def declared_types(name: str) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in StructType.fromDDL(TABLES[name])}
+
+
+def type_violations(name: str, df: DataFrame) -> DataFrame:
+    """How many of the frame's declared columns have another type."""
+    declared = declared_types(name)
+    wrong = sum(t != declared[c] for c, t in df.dtypes if c in declared)
+    return df.sparkSession.createDataFrame([("types", wrong)], "rule string, violations bigint")
+
+
+def order_violations(df: DataFrame, group: str, order: str, rising: tuple[str, ...]) -> DataFrame:
+    """Rows whose (rising...) is below that of the row before them in the group."""
+    before = Window.partitionBy(group).orderBy(order, *(c for c in ("id",) if c in df.columns))
+    pair = F.struct(*rising)
+    fallen = df.withColumn("_b", F.lag(pair).over(before)).where(F.col("_b").isNotNull() & (pair < F.col("_b")))
+    return fallen.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(f"order:{order}").alias("rule"), "violations")
 
 
 def enum_violations(df: DataFrame, rules: dict[str, Iterable]) -> DataFrame:
@@ -115,13 +151,17 @@ def check_table(name: str, frames: dict[str, DataFrame]) -> DataFrame:
     """Violations of every rule of a table that its frame has the columns for."""
     df = frames[name]
     enums = {c: v for (t, c), v in ENUMS.items() if t == name and c in df.columns}
-    pieces = [enum_violations(df, enums)] if enums else []
+    pieces = [type_violations(name, df)]
+    pieces += [enum_violations(df, enums)] if enums else []
     pieces += [unique_violations(df, k) for k in UNIQUE.get(name, ()) if set(k) <= set(df.columns)]
     pieces += [
         reference_violations(df, c, frames[p], k)
         for (t, c), (p, k) in REFERENCES.items()
         if t == name and c in df.columns and p in frames
     ]
+    group, order, rising = ORDERS.get(name, (None, None, ()))
+    if group and {group, order, *rising} <= set(df.columns):
+        pieces.append(order_violations(df, group, order, rising))
     out = pieces[0]
     for p in pieces[1:]:
         out = out.unionByName(p)

@@ -24,19 +24,27 @@ def prior_totals(
     maxes: dict[str, Column] | None = None,
     chunk: Column | None = None,
     inclusive: bool = False,
+    combine: bool = True,
 ) -> DataFrame:
     """One row per (keys, order) with totals over all rows of the key at smaller positions.
 
     ``inclusive`` adds the rows at the position itself. Rows sharing a position never see
-    each other otherwise. ``chunk`` must be monotone in ``order``.
+    each other otherwise. ``chunk`` must be monotone in ``order``. ``combine`` merges rows of a
+    position before the shuffle; without it, where a position has few rows, the rows are dealt to
+    (keys, chunk) once and merging, scan and chunk totals all work on that one exchange.
     """
     order = [order] if isinstance(order, str) else list(order)
     keys, sums, maxes = list(keys), sums or {}, maxes or {}
-    per = df.groupBy(*keys, *order).agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()],
-        *[F.max(c).alias(n) for n, c in maxes.items()],
-    )
-    per = per.withColumn("_chunk", chunk if chunk is not None else F.floor(F.col(order[0]) / CHUNK))
+    at = chunk if chunk is not None else F.floor(F.col(order[0]) / CHUNK)
+    if combine:
+        per = df.groupBy(*keys, *order).agg(
+            *[F.sum(c).alias(n) for n, c in sums.items()],
+            *[F.max(c).alias(n) for n, c in maxes.items()],
+        )
+        per = per.withColumn("_chunk", at)
+    else:
+        dealt = df.select(*keys, *order, at.alias("_chunk"), *[c.alias(n) for n, c in {**sums, **maxes}.items()]).repartition(*keys, "_chunk")
+        per = dealt.groupBy(*keys, "_chunk", *order).agg(*[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxes])
     key_list, order_list = ", ".join(f"`{k}`" for k in keys), ", ".join(f"`{o}`" for o in order)
     by_key = f"PARTITION BY {key_list}" if keys else ""
     by_chunk = f"PARTITION BY {key_list + ', ' if keys else ''}_chunk"
@@ -128,6 +136,6 @@ def asof_before(
     right = states.select(*keys, order, body.alias("_body"))
     both = left.select(*keys, order, F.col("_body").cast(right.schema["_body"].dataType), F.lit(1).alias("_probe"))
     both = both.unionByName(right.withColumn("_probe", F.lit(0)))
-    seen = prior_totals(both, keys, order, maxes={"_body": F.col("_body")})
+    seen = prior_totals(both, keys, order, maxes={"_body": F.col("_body")}, combine=False)
     hits = seen.join(left.select(*keys, order), [*keys, order], "left_semi")
     return hits.select(*keys, order, *[F.col(f"_body.{c}").alias(c) for c in payload])

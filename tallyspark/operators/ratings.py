@@ -192,8 +192,8 @@ def rating_changes(solved: DataFrame, spec: RatingSpec) -> DataFrame:
 def rating_snapshots(solved: DataFrame, spec: RatingSpec) -> DataFrame:
     """Ratings and counts of every side as frozen at the start of its batch."""
     changes = rating_changes(solved, spec)
-    overall = prior_totals(changes, ENTITY, "batch_no", sums={"_o": F.col("d_overall"), "n_before": F.lit(1)})
-    surface = prior_totals(changes, ENTITY_SURFACE, "batch_no", sums={"_s": F.col("d_surface"), "surface_n": F.lit(1)})
+    overall = prior_totals(changes, ENTITY, "batch_no", sums={"_o": F.col("d_overall"), "n_before": F.lit(1)}, combine=False)
+    surface = prior_totals(changes, ENTITY_SURFACE, "batch_no", sums={"_s": F.col("d_surface"), "surface_n": F.lit(1)}, combine=False)
     slim = changes.select("match_id", "won", *ENTITY_SURFACE, "batch_no")
     out = slim.join(overall, [*ENTITY, "batch_no"]).join(surface, [*ENTITY_SURFACE, "batch_no"])
     out = out.withColumn("overall", START + F.col("_o")).withColumn("on_surface", START + F.col("_s")).drop("_o", "_s")

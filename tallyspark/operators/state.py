@@ -78,7 +78,7 @@ def state_table(parts: DataFrame, keys: Sequence[str], measures: Sequence[Measur
     sums = {n: c for m in measures for n, c in m.sums.items()}
     maxes = {n: c for m in measures for n, c in m.maxes.items()}
     dated = parts.withColumn("_day", day_number(F.col("match_date")))
-    totals = prior_totals(dated, keys, ["batch_no", "match_date"], sums=sums, maxes=maxes)
+    totals = prior_totals(dated, keys, ["batch_no", "match_date"], sums=sums, maxes=maxes, combine=False)
     return totals.select(*keys, "batch_no", *[c for m in measures for c in m.outs])
 
 

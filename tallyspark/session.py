@@ -35,15 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get(WAREHOUSE_KEY).rstrip("/") + "/_staged"
 
 
+_roots: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; what is written there goes when the session ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(target.getParent())
-    files.mkdirs(target)
-    files.deleteOnExit(target)
-    return path
+    top = shared_dir(spark)
+    session = f"{spark.sparkContext.applicationId}|{top}"
+    if session not in _roots:
+        root = f"{top}/tallyspark-{uuid.uuid4().hex}"
+        target = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        _roots[session] = root
+    return f"{_roots[session]}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:

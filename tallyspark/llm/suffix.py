@@ -239,8 +239,8 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sort_groups(cores: np.ndarray, n: np.ndarray, held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, count) of the runs of windows that occur twice among the rows."""
+def _sort_groups(n: np.ndarray, held: list[bytes]) -> np.ndarray:
+    """Per row a mask, two words of bits, of its windows that occur twice among the rows."""
     text = np.frombuffer(b"".join(held), dtype=np.uint8)
     sizes = np.array([len(b) for b in held])
     row = np.repeat(np.arange(len(held)), sizes)
@@ -248,24 +248,20 @@ def _sort_groups(cores: np.ndarray, n: np.ndarray, held: list[bytes]) -> tuple[n
     order = suffix_order(held)
     order = order[order - base[row[order]] < n[row[order]]]
     twice = common_prefix(text, order[:-1], order[1:]) >= LENGTH
-    repeated = np.zeros(len(text), dtype=bool)
-    repeated[order[1:][twice]] = True
-    repeated[order[:-1][twice]] = True
-    place = np.flatnonzero(repeated)
-    head = np.flatnonzero(np.diff(place, prepend=-2) != 1) if len(place) else place
-    # runs do not cross rows: the last LENGTH - 1 places of a row start no window
-    return row[place[head]], place[head] - base[row[place[head]]], np.diff(np.append(head, len(place)))
+    place = np.unique(np.concatenate([order[1:][twice], order[:-1][twice]]))
+    bits = np.zeros((len(held), WIDTHS[0]), dtype=bool)
+    bits[row[place], place - base[row[place]]] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole groups, a few at a time, into repeated starts. Rows come sorted by core."""
 
     def ready(table: pa.Table) -> pa.RecordBatch:
-        row, start, count = _sort_groups(table["core"].to_numpy(), table["n"].to_numpy(), as_bytes(table["bytes"].combine_chunks()))
-        return pa.RecordBatch.from_arrays(
-            [table["core"].combine_chunks().take(pa.array(row)), table["seg"].combine_chunks().take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-            names=["core", "seg", "start", "count"],
-        )
+        masks = _sort_groups(table["n"].to_numpy(), as_bytes(table["bytes"].combine_chunks()))
+        hit = pa.array(masks.any(axis=1))
+        columns = [table["core"].combine_chunks(), table["seg"].combine_chunks(), pa.array(masks[:, 0]), pa.array(masks[:, 1])]
+        return pa.RecordBatch.from_arrays(columns, names=["core", "seg", "low", "high"]).filter(hit)
 
     rest = None
     for batch in batches:
@@ -286,47 +282,67 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ready(rest)
 
 
+def _first_bits(n: str):
+    """Mask, as two words, of the first n windows."""
+    return (
+        F.expr(f"CASE WHEN {n} >= 64 THEN -1L ELSE shiftrightunsigned(-1L, 64 - {n}) END").alias("low"),
+        F.expr(f"CASE WHEN {n} >= 128 THEN -1L WHEN {n} > 64 THEN shiftrightunsigned(-1L, 128 - {n}) ELSE 0L END").alias("high"),
+    )
+
+
+def _lifted(off: str):
+    """The mask (low, high) moved up by ``off`` windows."""
+    return (
+        F.expr(f"CASE WHEN {off} < 64 THEN shiftleft(low, {off}) ELSE 0L END").alias("low"),
+        F.expr(f"CASE WHEN {off} = 0 THEN high WHEN {off} < 64 THEN shiftrightunsigned(low, 64 - {off}) | shiftleft(high, {off}) ELSE shiftleft(low, {off} - 64) END").alias("high"),
+    )
+
+
 def _repeats(rows: DataFrame, level: int = 0) -> DataFrame:
-    """(core, seg, start, count): the windows of each different stretch that occur elsewhere."""
+    """(core, seg, low, high): one row per different stretch, the mask of its windows that occur elsewhere."""
     meta = cut_lineage(rows.groupBy("core", "seg").agg(F.sum("m").alias("m"), F.first("rel").alias("rel"), F.first("n").alias("n")), "stretch")
-    found = meta.where("m > 1").select("core", "seg", F.lit(0).alias("start"), F.col("n").alias("count"))
+    found = meta.where("m > 1").select("core", "seg", *_first_bits("n"))
     group = meta.groupBy("core").agg(F.count("*").alias("g"), F.min("m").alias("least")).where("g > 1 and least = 1")
     bytes_of = rows.groupBy("core", "seg").agg(F.first("bytes").alias("bytes"))
     wanted = meta.join(group, "core")
     full = bytes_of.join(wanted, ["core", "seg"])
     small = full.where(F.col("g") <= GROUP).select("core", "seg", "n", "bytes").repartition("core").sortWithinPartitions("core", "seg")
-    found = found.union(cut_lineage(small.mapInArrow(_sort, "core long, seg long, start int, count int"), "repeats"))
+    found = found.union(cut_lineage(small.mapInArrow(_sort, "core long, seg long, low long, high long"), "repeats"))
     hot = wanted.where(F.col("g") > GROUP)
-    if level + 1 == len(WIDTHS) or hot.isEmpty():
-        return found
-    cut = full.where(F.col("g") > GROUP).select("core", "seg", "m", "rel", "n", "bytes")
-    parts = cut_lineage(cut.mapInArrow(_narrower(WIDTHS[level + 1]), f"pcore long, pseg long, off int, {_STRETCH}"), "narrower")
-    inner = _repeats(parts, level + 1)
-    lifted = parts.select("pcore", "pseg", "off", "core", "seg").join(inner, ["core", "seg"])
-    return found.union(lifted.select(F.col("pcore").alias("core"), F.col("pseg").alias("seg"), (F.col("off") + F.col("start")).alias("start"), "count"))
+    if level + 1 < len(WIDTHS) and not hot.isEmpty():
+        cut = full.where(F.col("g") > GROUP).select("core", "seg", "m", "rel", "n", "bytes")
+        parts = cut_lineage(cut.mapInArrow(_narrower(WIDTHS[level + 1]), f"pcore long, pseg long, off int, {_STRETCH}"), "narrower")
+        inner = _repeats(parts, level + 1)
+        up = parts.select("pcore", "pseg", "off", "core", "seg").join(inner, ["core", "seg"])
+        found = found.union(up.select("pcore", "pseg", *_lifted("off")))
+    return found.groupBy("core", "seg").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
 
 
 def _erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = as_bytes(batch.column(1))
-        runs = batch.column(2).to_pylist()
         kept, removed, spans = [], [], []
-        for text, marks in zip(texts, runs):
-            pieces, at, gone, n = [], 0, 0, 0
-            stop = -1
-            for run in sorted((m["start"], m["start"] + m["count"] - 1 + LENGTH) for m in marks or ()):
-                if run[0] > stop:
-                    pieces.append(text[at : run[0]])
-                    gone += run[1] - run[0]
-                    n += 1
-                    at = stop = run[1]
-                elif run[1] > stop:
-                    gone += run[1] - stop
-                    at = stop = run[1]
-            pieces.append(text[at:])
-            kept.append(b"".join(pieces))
-            removed.append(gone)
-            spans.append(n)
+        for text, marks in zip(texts, batch.column(2).to_pylist()):
+            if not marks:
+                kept.append(text)
+                removed.append(0)
+                spans.append(0)
+                continue
+            edge = np.zeros(len(text) + 1, dtype=np.int64)
+            at = np.array([m["at"] for m in marks])
+            words = np.array([(m["low"], m["high"]) for m in marks], dtype="<i8").view(np.uint8).reshape(len(marks), -1)
+            row, bit = np.nonzero(np.unpackbits(words, axis=1, bitorder="little"))
+            start = at[row] + bit
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + LENGTH, -1)
+            for m in marks:
+                if m["count"]:
+                    edge[m["at"]] += 1
+                    edge[m["at"] + m["count"] - 1 + LENGTH] -= 1
+            gone = np.cumsum(edge)[:-1] > 0
+            kept.append(np.frombuffer(text, dtype=np.uint8)[~gone].tobytes())
+            removed.append(int(gone.sum()))
+            spans.append(int(gone[0]) + int((np.diff(gone.astype(np.int8)) == 1).sum()))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
             names=["id", "n_bytes", "n_removed", "n_spans", "kept"],
@@ -334,11 +350,14 @@ def _erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, count): runs of window starts whose LENGTH bytes also start elsewhere in the table."""
+    """(id, at, low, high, count): window starts whose LENGTH bytes also start elsewhere in the table.
+
+    They are the set bits of the mask counted from ``at``, and the ``count`` starts from ``at`` on.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     base = cut_lineage(texts.where(F.octet_length("text") >= LENGTH).select("id", F.octet_length("text").cast("long").alias("size"), F.unhex(F.sha2("text", 256)).alias("sha")), "texts")
     same = base.groupBy("sha").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
-    copies = base.join(same.where("copies > 1"), "sha").select("id", F.lit(0).cast("long").alias("start"), (F.col("size") - LENGTH + 1).alias("count"))
+    copies = base.join(same.where("copies > 1"), "sha").select("id", *[F.lit(0).cast("long").alias(c) for c in ("at", "low", "high")], (F.col("size") - LENGTH + 1).alias("count"))
     sketch = texts.mapInArrow(_sketch, "id long, marks array<long>, times array<tinyint>")
     single = cut_lineage(sketch.join(same.select(F.col("first").alias("id")), "id", "left_semi"), "marks")
     each = single.select("id", F.explode(F.arrays_zip("marks", "times")).alias("x")).select("id", F.col("x.marks").alias("mark"), F.col("x.times").alias("times"))
@@ -347,7 +366,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cut = texts.join(hits, "id").select("id", "text", "marks")
     rows = cut_lineage(cut.mapInArrow(_cut, f"id long, at long, {_STRETCH}"), "stretches")
     runs = rows.select("id", "at", "core", "seg").join(_repeats(rows), ["core", "seg"])
-    return runs.select("id", (F.col("at") + F.col("start")).alias("start"), F.col("count").cast("long")).union(copies)
+    return runs.select("id", "at", "low", "high", F.lit(0).cast("long").alias("count")).union(copies)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,7 +377,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts with equal bytes are searched once and lose everything. Ids must be unique and not null (a null
     id's text is judged and kept whole); other columns are ignored; an empty table gives no rows.
     """
-    marks = repeated_windows(docs, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    marks = repeated_windows(docs, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("at", "low", "high", "count")).alias("runs"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     joined = texts.join(marks, "id", "left").select("id", "text", "runs")
     return joined.mapInArrow(_erase, "id long, n_bytes long, n_removed long, n_spans long, kept binary")

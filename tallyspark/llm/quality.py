@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,15 +129,29 @@ def posterior(patterns: np.ndarray, hit: np.ndarray, false: np.ndarray, prior: f
     return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def fit(owner: np.ndarray, dim: np.ndarray, value: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Logistic weights (the last one is the constant) by full-batch adaptive steps."""
+def fit(offsets: np.ndarray, dim: np.ndarray, value: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Logistic weights (the last one is the constant) by full-batch adaptive steps.
+
+    Row i has the dimensions and values from offsets[i] to offsets[i + 1]. A step walks over slices of the rows, so
+    it needs little more memory than the sample itself.
+    """
+    sizes = np.diff(offsets)
+    full = sizes > 0
+    starts, sizes, target = offsets[:-1][full], sizes[full], target[full]
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, int(offsets[-1]) + 1, 1 << 20)))
+    slices = [(i, j) for i, j in zip(cuts, [*cuts[1:], len(starts)]) if i < j]
     weights = np.zeros(DIMENSIONS + 1)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     n = max(len(target), 1)
     for step in range(1, 201):
-        margin = np.bincount(owner, weights=value * weights[dim], minlength=len(target)) + weights[-1]
-        error = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - target
-        slope = np.append(np.bincount(dim, weights=value * error[owner], minlength=DIMENSIONS), error.sum()) / n + 1e-6 * weights
+        slope = 1e-6 * weights
+        for i, j in slices:
+            a, b = starts[i], starts[j - 1] + sizes[j - 1]
+            d, v = dim[a:b], value[a:b]
+            margin = np.add.reduceat(v * weights[d], starts[i:j] - a) + weights[-1]
+            error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - target[i:j]) / n
+            slope[:-1] += np.bincount(d, weights=v * np.repeat(error, sizes[i:j]), minlength=DIMENSIONS)
+            slope[-1] += error.sum()
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         weights -= 0.2 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return weights
@@ -159,15 +172,15 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, dim, value = features(texts[lo:hi])
             offsets = pa.array(np.searchsorted(owner, np.arange(hi - lo + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, pa.array(dim.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(value))], names=["target", "dim", "value"]
+                [batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, pa.array(dim.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(value.astype(np.float32)))], names=["target", "dim", "value"]
             )
 
 
-def _train(rows: pd.DataFrame) -> pd.DataFrame:
-    sizes = rows["dim"].map(len).to_numpy()
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    flat = [np.concatenate(list(rows[c])) if sizes.sum() else np.zeros(0) for c in ("dim", "value")]
-    return pd.DataFrame({"weights": [fit(owner, flat[0].astype(np.int64), flat[1], rows["target"].to_numpy()).tolist()]})
+def _train(rows: pa.Table) -> pa.Table:
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in rows["dim"].chunks] or [np.zeros(0, dtype=np.int64)])
+    dim, value = (np.concatenate([c.flatten().to_numpy() for c in rows[name].chunks] or [np.zeros(0)]) for name in ("dim", "value"))
+    weights = fit(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), dim, value, rows["target"].to_numpy())
+    return pa.table({"weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
 
 
 def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -198,8 +211,8 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield from _featurise([part])
 
     sample = rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.octet_length("text") > 0))
-    taught = sample.mapInArrow(target, "target double, dim array<int>, value array<double>")
-    learned = taught.groupBy(F.lit("all")).applyInPandas(_train, "weights array<double>").first()
+    taught = sample.mapInArrow(target, "target double, dim array<int>, value array<float>")
+    learned = taught.groupBy(F.lit("all").alias("all")).applyInArrow(_train, "weights array<double>").first()
     weights = np.array(learned["weights"]) if learned else np.zeros(DIMENSIONS + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -365,7 +365,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hits = each.select("id", "mark").join(often, "mark", "left_semi").groupBy("id").agg(F.collect_set("mark").alias("marks"))
     cut = texts.join(hits, "id").select("id", "text", "marks")
     rows = cut_lineage(cut.mapInArrow(_cut, f"id long, at long, {_STRETCH}"), "stretches")
-    runs = rows.select("id", "at", "core", "seg").join(_repeats(rows), ["core", "seg"])
+    masks = cut_lineage(_repeats(rows), "masks")  # read from files, so a join key with most rows can be split
+    runs = rows.select("id", "at", "core", "seg").join(masks, ["core", "seg"])
     return runs.select("id", "at", "low", "high", F.lit(0).cast("long").alias("count")).union(copies)
 
 

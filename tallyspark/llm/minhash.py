@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,7 @@ def _shingles(text: bytes | None) -> set:
     return set(zip(words, words[1:], words[2:], words[3:], words[4:]))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     last, left = None, set()
     for batch in batches:
         keep = []
@@ -83,7 +84,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last, left = ta, _shingles(ta)
             right = _shingles(tb)
             same = len(left & right)
-            keep.append(100 * same >= PERCENT * (len(left) + len(right) - same))
+            keep.append(100 * same >= percent * (len(left) + len(right) - same))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -93,16 +94,16 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(_sketch, "id long, n long, set_a long, set_b long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     with_b = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
     both = with_b.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
-    return cut_lineage(both.mapInArrow(_confirm, "a long, b long"), "links")
+    return cut_lineage(both.mapInArrow(partial(_confirm, percent=percent), "a long, b long"), "links")
 
 
-def _alike(n: str, m: str):
+def _alike(n: str, m: str, percent: int):
     """Set sizes that can reach the similarity at all."""
-    return F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)
+    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +116,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["family", "node", "shingles"])
 
 
-def _block_links(table: pa.Table) -> pa.Table:
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
     """Compare all sets of one block pair; (node, first node it is connected to in the block)."""
     node = table["node"].to_numpy()
     values = [np.frombuffer(v, dtype=_U) for v in table["shingles"].to_pylist()]
@@ -132,7 +133,7 @@ def _block_links(table: pa.Table) -> pa.Table:
         held = np.zeros((len(node), min(4096, int(code[-1]) + 1 - lo)), dtype=np.float32)
         held[owner[a:b], code[a:b] - lo] = 1
         common += held @ held.T
-    linked = 100 * common >= PERCENT * (size[:, None] + size[None, :] - common)
+    linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
     label = np.arange(len(node))
     while True:
         low = np.minimum(label, np.where(linked, label[None, :], len(node)).min(axis=1))
@@ -144,7 +145,7 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": node[away], "b": node[label[away]]})
 
 
-def _within_families(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _within_families(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Connections among the nodes of the large buckets (key, node), compared block by block inside tasks.
 
     Large buckets that share nodes form a family. A family is dealt to blocks of about FAMILY_BLOCK nodes and
@@ -159,13 +160,14 @@ def _within_families(rows: DataFrame, docs: DataFrame, id_col: str, text_col: st
     dealt = sets.join(parts, "family").withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
-    return cut_lineage(met.groupBy("family", "i", "j").applyInArrow(_block_links, "a long, b long"), "links")
+    compare = lambda table: _block_links(table, percent)
+    return cut_lineage(met.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long"), "links")
 
 
-def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
-    Documents with 100 * intersection >= 85 * union of their 5-word shingle sets are linked; component_id is
+    Documents with 100 * intersection >= percent * union of their 5-word shingle sets are linked; component_id is
     the smallest id reachable. Documents with equal sets are one node, so a huge group of copies costs one
     signature. Candidates are stars: in a bucket every node meets only the smallest one, and each star edge is
     checked on the full texts. Buckets whose nodes are still in several groups are finished exactly: small ones
@@ -180,8 +182,8 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
     bucketed = cut_lineage(rows.join(shared, "key").select("key", "node", "n", F.col("c.node").alias("a"), F.col("c.n").alias("m"), "size"), "buckets")
-    pairs = cut_lineage(bucketed.where("node <> a").where(_alike("n", "m")).select("a", F.col("node").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, docs, id_col, text_col)
+    pairs = cut_lineage(bucketed.where("node <> a").where(_alike("n", "m", percent)).select("a", F.col("node").alias("b")).distinct(), "pairs")
+    links = _verified(pairs, docs, id_col, text_col, percent)
     labels = cut_lineage(components(links), "labels")
 
     tagged = bucketed.join(labels, "node", "left").select("key", "node", "n", "size", F.coalesce("component_id", "node").alias("g"))
@@ -189,11 +191,11 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     still = cut_lineage(tagged.join(mixed, "key", "left_semi"), "mixed")
     small = still.where(F.col("size") <= SMALL_BUCKET)
     other = small.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"))
-    cross = small.join(other, "key").where("node < b and g <> h").where(_alike("n", "m")).select(F.col("node").alias("a"), "b").distinct()
-    links = links.union(_verified(cross.join(pairs, ["a", "b"], "left_anti"), docs, id_col, text_col))
+    cross = small.join(other, "key").where("node < b and g <> h").where(_alike("n", "m", percent)).select(F.col("node").alias("a"), "b").distinct()
+    links = links.union(_verified(cross.join(pairs, ["a", "b"], "left_anti"), docs, id_col, text_col, percent))
     large = still.where(F.col("size") > SMALL_BUCKET).select("key", "node")
     if not large.isEmpty():
-        links = links.union(_within_families(large, docs, id_col, text_col))
+        links = links.union(_within_families(large, docs, id_col, text_col, percent))
     labels = components(links)
 
     groups = nodes.join(labels, "node", "left").select("set_a", "set_b", "n", F.coalesce("component_id", "node").alias("g"))

@@ -64,6 +64,21 @@ def test_minhash_groups(spark, monkeypatch, small):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("small", [2, 32])
+def test_minhash_threshold(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
+    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 8)
+    texts = family(random.Random(small), 40, 9) + [" ".join(f"v{i}" for i in range(58)), " ".join(f"v{i}" for i in range(48))]
+    sets = [shingles(t) for t in texts]
+    docs = spark.createDataFrame(odd_rows(texts), ODD).cache()
+    found = []
+    for percent in (80, 85):
+        linked = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+        found.append({r.id: r.component_id for r in minhash.minhash_groups(docs, percent=percent).collect()})
+        assert found[-1] == groups(range(len(texts)), linked)
+    assert found[0] != found[1]
+
+
 def test_minhash_empty_table(spark):
     assert minhash.minhash_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

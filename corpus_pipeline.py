@@ -14,33 +14,44 @@ from pyspark.sql import functions as F
 from tallyspark.llm.minhash import minhash_groups
 from tallyspark.llm.packing import packed_batches, word_pieces
 from tallyspark.llm.pii import pseudonymise
-from tallyspark.llm.quality import quality_scores
+from tallyspark.llm.quality import without_junk
 from tallyspark.llm.suffix import without_repeats
 from tallyspark.session import cut_lineage, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 PSEUDONYM_KEY = "corpus"
+ROW = "_row_key"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for junk go."""
-    kept = quality_scores(docs).where("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Rows that the classifier takes for junk go; each is judged by its own text, whatever its id."""
+    return without_junk(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates stays."""
-    kept = minhash_groups(docs).where("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of every group of near duplicates stays: the one with the smallest doc_id, or any if all are null.
+
+    Rows are compared whatever their ids, so repeated and null ids take part. Texts without words are no near
+    duplicates; of those only rows that repeat both doc_id and text are one, and null ids repeat nothing.
+    """
+    rows = _numbered(docs, "near")
+    ids = rows.select(F.col(ROW).alias("id"), "doc_id", F.sha2("text", 256).alias("sha"))
+    found = minhash_groups(rows, ROW).select("id", "n_shingles", "component_id").join(ids, "id")
+    alone = F.col("n_shingles") == 0
+    same = [F.when(~alone | F.col("doc_id").isNull(), F.col("component_id")).alias("c"), F.when(alone, F.col("doc_id")).alias("d"), F.when(alone, F.col("sha")).alias("t")]
+    first = found.groupBy(*same).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).getField("id").alias(ROW))
+    return rows.join(first.select(ROW), ROW, "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that stand elsewhere too are removed; a character cut in half goes with them.
 
-    A document of which nothing is left goes; one that was empty before stays as it was.
+    A document of which nothing is left goes; one that was empty before stays as it was. Every row is a text of its
+    own, null and repeated ids too; that rows repeat no text is left to the stage before.
     """
-    rest = without_repeats(docs).where("n_removed > 0").select(F.col("id").alias("doc_id"), F.replace(F.make_valid_utf8("kept"), F.lit("�"), F.lit("")).alias("_rest"))
-    joined = docs.join(rest, "doc_id", "left").where("_rest is null or _rest <> ''")
+    rows = _numbered(docs, "passages")
+    rest = without_repeats(rows, ROW).where("n_removed > 0").select(F.col("id").alias(ROW), F.replace(F.make_valid_utf8("kept"), F.lit("�"), F.lit("")).alias("_rest"))
+    joined = rows.join(rest, ROW, "left").where("_rest is null or _rest <> ''")
     return _with_text(joined, docs.columns, F.coalesce("_rest", "text"))
 
 
@@ -54,6 +65,11 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_batches(cut_lineage(word_pieces(docs), "pieces")).withColumnRenamed("id", "doc_id")
 
 
+def _numbered(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` with a row key, written so that every later read finds the same keys."""
+    return cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()), label)
+
+
 def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
     """``docs`` with a new text and, if there is one, the matching n_chars."""
     new = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}

@@ -7,7 +7,7 @@ scores all of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,14 +183,8 @@ def _train(rows: pa.Table) -> pa.Table:
     return pa.table({"weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
 
 
-def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """id, p_junk (posterior of the rules), score (probability of good text) and kept (score >= 0.5).
-
-    ``train_rows`` bounds the expected number of documents the scorer is fitted on, taken by a hash of their id;
-    accuracies are estimated on all documents. Texts that are null, empty or without words get no votes and
-    score 0.5, so they are kept. Repeated rows give a row each, null ids too; other columns are ignored; an empty
-    table gives no rows.
-    """
+def _scorer(docs: DataFrame, id_col: str, text_col: str, train_rows: int) -> Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """Train on ``docs``; the result takes texts and gives (from, to, p_junk, score) of one chunk after the other."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     voted = cut_lineage(rows.mapInArrow(_vote, "id long, pattern long"), "votes")
     table = voted.groupBy("pattern").count().toPandas()  # at most 3^rules rows
@@ -215,15 +209,48 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     learned = taught.groupBy(F.lit("all").alias("all")).applyInArrow(_train, "weights array<double>").first()
     weights = np.array(learned["weights"]) if learned else np.zeros(DIMENSIONS + 1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        texts = as_bytes(column)
+        for lo, hi in chunks(texts):
+            part = texts[lo:hi]
+            code = (votes(part).astype(np.int64) + 1) @ (3 ** np.arange(len(RULES)))
+            owner, dim, value = features(part)
+            margin = np.bincount(owner, weights=value * weights[dim], minlength=hi - lo) + weights[-1]
+            yield lo, hi, junk[code], np.where(np.bincount(owner, minlength=hi - lo) > 0, 1 / (1 + np.exp(-np.clip(margin, -40, 40))), 0.5)
+
+    return score
+
+
+def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """id, p_junk (posterior of the rules), score (probability of good text) and kept (score >= 0.5).
+
+    ``train_rows`` bounds the expected number of documents the scorer is fitted on, taken by a hash of their id;
+    accuracies are estimated on all documents. Texts that are null, empty or without words get no votes and
+    score 0.5, so they are kept. Repeated rows give a row each, null ids too; other columns are ignored; an empty
+    table gives no rows.
+    """
+    score = _scorer(docs, id_col, text_col, train_rows)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for lo, hi in chunks(texts):
-                part = texts[lo:hi]
-                code = (votes(part).astype(np.int64) + 1) @ (3 ** np.arange(len(RULES)))
-                owner, dim, value = features(part)
-                margin = np.bincount(owner, weights=value * weights[dim], minlength=hi - lo) + weights[-1]
-                p = np.where(np.bincount(owner, minlength=hi - lo) > 0, 1 / (1 + np.exp(-np.clip(margin, -40, 40))), 0.5)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(junk[code]), pa.array(p)], names=["id", "p_junk", "score"])
-
-    return rows.mapInArrow(score, "id long, p_junk double, score double").withColumn("kept", F.col("score") >= 0.5)
+            for lo, hi, bad, p in score(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(bad), pa.array(p)], names=["id", "p_junk", "score"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(scored, "id long, p_junk double, score double").withColumn("kept", F.col("score") >= 0.5)
+
+
+def without_junk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that ``quality_scores`` keeps, all columns as they are.
+
+    Every row is judged by its own text where it stands, so null ids and repeated ids need no join.
+    """
+    score = _scorer(docs, id_col, text_col, train_rows)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [p >= 0.5 for _, _, _, p in score(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(np.concatenate([np.zeros(0, dtype=bool), *kept])))
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(good, rows.select("row").schema).select("row.*")

@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, each held to what it must leave behind."""
 
+import random
+
 import pytest
 from test_texts import groups, removed, shingles
 
@@ -57,3 +59,39 @@ def test_packing_stage(results):
     for r in results[5].collect():
         words[r.doc_id] = words.get(r.doc_id, 0) + r.n_tokens
     assert words == {i: len(t.encode().split()) for i, t in texts(results[4]).items()}
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(f"{rng.choice(['river', 'table', 'green', 'walks', 'slow'])}{rng.randrange(10**5)}" for _ in range(n)) + "."
+
+
+def odd_ids(spark):
+    long, short, near = prose(1, 90), prose(2, 12), prose(3, 90)
+    rows = [(7, long), (7, long), (8, short), (8, short), (None, near), (None, near + " end"), (None, prose(4, 90)), (None, prose(5, 12)), (9, prose(6, 90)), (9, prose(7, 90)), (10, ""), (10, ""), (None, None), (None, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return table, rows
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs, rows = odd_ids(spark)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    read = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=key)
+    kept = pipeline.quality(spark, docs, SF)
+    assert kept.schema == docs.schema and read(kept) == sorted(rows, key=key)
+    one = pipeline.near_duplicates(spark, kept, SF).cache()
+    want = sorted([*dict.fromkeys(r for r in rows[:12] if r != rows[5]), *rows[12:]], key=key)
+    got = read(one)
+    assert [r for r in got if not (r[1] or "").startswith(rows[4][1])] == [r for r in want if r != rows[4]]
+    assert sum((r[1] or "").startswith(rows[4][1]) for r in got) == 1
+    assert read(pipeline.repeated_passages(spark, one, SF)) == got
+
+
+def test_passages_of_null_and_repeated_ids(spark):
+    shared = prose(8, 60)
+    rows = [(None, "a " + shared), (None, shared + " b"), (5, "c " + shared), (5, "untouched " + prose(9, 60))]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = pipeline.repeated_passages(spark, docs, SF).collect()
+    assert sorted(r.text for r in out) == sorted(kept.decode() for *_, kept in removed(t for _, t in rows))
+    assert not any(shared in r.text for r in out) and len(out) == 4
+    assert all(r.n_chars == len(r.text) for r in out)

@@ -122,7 +122,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """
     kept = docs.columns
     text = F.col(f"`{text_col}`")
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    found = F.when(text.rlike('[0-9@"]'), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), text.alias("_text"), F.lit(key).alias("_key"), F.lit(PATTERN).alias("_p"), found.alias("_m"))
     rows = rows.withColumn("_x", F.expr("transform(_m, m -> named_struct('m', m, 'd', regexp_replace(m, '[^0-9]', '')))"))
     rows = rows.withColumn("_x", F.expr(f"transform(_x, x -> named_struct('m', x.m, 'd', x.d, 'k', {_kind()}))"))

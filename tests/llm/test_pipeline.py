@@ -95,3 +95,8 @@ def test_passages_of_null_and_repeated_ids(spark):
     assert sorted(r.text for r in out) == sorted(kept.decode() for *_, kept in removed(t for _, t in rows))
     assert not any(shared in r.text for r in out) and len(out) == 4
     assert all(r.n_chars == len(r.text) for r in out)
+
+
+def test_secret_without_digits(spark):
+    docs = spark.createDataFrame([(1, 'token: "abcdefghijklmnopqrst" in words')], "doc_id long, text string")
+    assert "abcdefghijklmnopqrst" not in pipeline.personal_data(spark, docs, SF).first().text

@@ -115,6 +115,13 @@ def test_pseudonyms(spark):
     assert pseudonymise(docs.limit(0), "key").count() == 0
 
 
+def test_secret_without_digits(spark):
+    texts = ['password = "correct-horse-battery-staple"', 'the "quoted" word stays', 'password = "too-short"']
+    out = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r.n_private for r in out] == [1, 0, 0] and [r.text for r in out[1:]] == texts[1:]
+    assert out[0].text.startswith('password = "') and len(out[0].text) == len(texts[0]) and "horse" not in out[0].text
+
+
 def test_digit_permutation_is_one_to_one(spark):
     days = spark.sql("select explode(sequence(date'1990-01-01', date'2009-12-31')) d").select(F.col("d").cast("string").alias("text"))
     out = pseudonymise(days, "k")

@@ -122,6 +122,31 @@ def test_secret_without_digits(spark):
     assert out[0].text.startswith('password = "') and len(out[0].text) == len(texts[0]) and "horse" not in out[0].text
 
 
+FOUND = {
+    "(415) 555-0132": 1, "415-555-0132": 1, "(415-555-0132)": 1, "415.555.0132": 1, "call 415 555 0132 now": 1, "1-415-555-0132": 1, "+44 20 7946 0958": 1, "(020) 7946 0958": 1, "020 7946 0958": 1,
+    "3056 930902 5904": 1, "6304-0000-0000-0000-000": 1, "6304 0000 0000 0000 000 is mine": 1, "6304 0000 0000 0000 000 12/27": 1, "4111 1111 1111 1111 123 items": 1,
+    "4111 1111 1111 1111 192.168.1.1": 2, "4111 1111 1111 1111 123-45-6789": 2, "4111-1111-1111-1111 415-555-0132": 2,
+    "2001/02/28": 1, "28.02.2001.": 1, "2001.02.28": 1, "28-02-2001": 1, "02-28-2001": 1, "on 02.28.2001": 1,
+    "(415) 555-01321": 0, "2415-555-0132": 0, "415-555-0132-9": 0, "9 415 555 0132": 0, "415 5550 132": 0, "+44 20 7946 09581": 0, "020 7946 09581": 0,
+    "3056 930902 5905": 0, "6305-0000-0000-0000-000": 0, "6305 0000 0000 0000 0001": 0,
+    "2001/02/30": 0, "31.04.2001": 0, "1.28.02.2001": 0, "28.02.2001.1": 0, "2001.02.28.1": 0, "2001/02.28": 0, "28-02/2001": 0,
+}
+
+
+def test_wider_shapes(spark):
+    texts = list(FOUND)
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    assert {t: got[i].n_private for i, t in enumerate(texts)} == FOUND
+    shape = lambda t: "".join("0" if c.isdigit() else c for c in t)
+    assert all((got[i].text != t) == (FOUND[t] > 0) and (shape(got[i].text) == shape(t) or ".168." in t) for i, t in enumerate(texts))
+    new = {t: got[i].text for i, t in enumerate(texts)}
+    assert new["415-555-0132"].replace("-", "") == new["415.555.0132"].replace(".", "") == "".join(c for c in new["(415) 555-0132"] if c.isdigit())
+    assert all(luhn("".join(c for c in new[t] if c.isdigit())) for t in ("3056 930902 5904", "6304-0000-0000-0000-000"))
+    beside = new["4111 1111 1111 1111 123 items"]
+    assert beside.endswith(" 123 items") and luhn(beside[:19].replace(" ", ""))
+    assert new["2001/02/28"].replace("/", ".") == new["2001.02.28"] and new["28.02.2001."][:-1] == ".".join(reversed(new["2001.02.28"].split(".")))
+
+
 def test_digit_permutation_is_one_to_one(spark):
     days = spark.sql("select explode(sequence(date'1990-01-01', date'2009-12-31')) d").select(F.col("d").cast("string").alias("text"))
     out = pseudonymise(days, "k")

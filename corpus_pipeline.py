@@ -50,7 +50,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     own, null and repeated ids too; that rows repeat no text is left to the stage before.
     """
     rows = _numbered(docs, "passages")
-    rest = without_repeats(rows, ROW).where("n_removed > 0").select(F.col("id").alias(ROW), F.replace(F.make_valid_utf8("kept"), F.lit("�"), F.lit("")).alias("_rest"))
+    rest = without_repeats(rows, ROW, characters=True).where("n_removed > 0").select(F.col("id").alias(ROW), F.col("kept").cast("string").alias("_rest"))
     joined = rows.join(rest, ROW, "left").where("_rest is null or _rest <> ''")
     return _with_text(joined, docs.columns, F.coalesce("_rest", "text"))
 

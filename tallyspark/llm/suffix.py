@@ -12,6 +12,7 @@ different stretches are dealt again by narrower stretches until they are small o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -318,7 +319,17 @@ def _repeats(rows: DataFrame, level: int = 0) -> DataFrame:
     return found.groupBy("core", "seg").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
 
 
-def _erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_characters(text: bytes, gone: np.ndarray) -> np.ndarray:
+    """``gone`` and the other bytes of every UTF-8 character that has lost one."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    at = np.arange(len(data))
+    lead = np.maximum.accumulate(np.where(data >> 6 == 2, 0, at))
+    size = 1 + (data >= 0xC0).astype(np.int64) + (data >= 0xE0) + (data >= 0xF0)
+    owner = np.where(at - lead < size[lead], lead, at)
+    return (np.bincount(owner, weights=gone, minlength=len(data)) > 0)[owner]
+
+
+def _erase(batches: Iterator[pa.RecordBatch], characters: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = as_bytes(batch.column(1))
         kept, removed, spans = [], [], []
@@ -340,6 +351,8 @@ def _erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     edge[m["at"]] += 1
                     edge[m["at"] + m["count"] - 1 + LENGTH] -= 1
             gone = np.cumsum(edge)[:-1] > 0
+            if characters:
+                gone = _whole_characters(text, gone)
             kept.append(np.frombuffer(text, dtype=np.uint8)[~gone].tobytes())
             removed.append(int(gone.sum()))
             spans.append(int(gone[0]) + int((np.diff(gone.astype(np.int8)) == 1).sum()))
@@ -370,15 +383,16 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return runs.select("id", "at", "low", "high", F.lit(0).cast("long").alias("count")).union(copies)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (the remaining UTF-8 bytes) of every document.
 
     Every byte covered by LENGTH bytes that also start elsewhere, in the same document or another, is removed;
     overlaps count, and strings are judged on the input. Null texts are empty; texts shorter than LENGTH stay.
     Texts with equal bytes are searched once and lose everything. Ids must be unique and not null (a null
-    id's text is judged and kept whole); other columns are ignored; an empty table gives no rows.
+    id's text is judged and kept whole); other columns are ignored; an empty table gives no rows. With
+    ``characters`` a character that loses a byte loses all of them; bytes that are no UTF-8 count singly.
     """
     marks = repeated_windows(docs, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("at", "low", "high", "count")).alias("runs"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     joined = texts.join(marks, "id", "left").select("id", "text", "runs")
-    return joined.mapInArrow(_erase, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(partial(_erase, characters=characters), "id long, n_bytes long, n_removed long, n_spans long, kept binary")

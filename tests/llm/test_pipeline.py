@@ -100,3 +100,11 @@ def test_passages_of_null_and_repeated_ids(spark):
 def test_secret_without_digits(spark):
     docs = spark.createDataFrame([(1, 'token: "abcdefghijklmnopqrst" in words')], "doc_id long, text string")
     assert "abcdefghijklmnopqrst" not in pipeline.personal_data(spark, docs, SF).first().text
+
+
+def test_replacement_characters_stay(spark):
+    shared = prose(10, 60)
+    texts = ["own \ufffd words é" + shared + "ê\ufffd", "other 🙂" + shared + "🙃 words", "x" * 20 + "é" + shared + "é" + "y" * 20, "z" + "é" + shared + "é", "p😂" + shared + "🙂q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert got == {0: "own \ufffd words \ufffd", 1: "other  words", 2: "x" * 20 + "y" * 20, 3: "z", 4: "pq"}

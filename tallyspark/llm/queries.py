@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.bpe import bpe_decode, bpe_encode
 from tallyspark.llm.chat import chat_digests, chat_windows, read_windows
+from tallyspark.llm.infill import fill_in_middle, restored
 from tallyspark.llm.minhash import minhash_groups
 from tallyspark.llm.nearest import build_index, nearest
 from tallyspark.llm.packing import packed_batches, word_pieces
@@ -169,3 +170,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_length_buckets")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_batches(cut_lineage(word_pieces(_documents(spark, sf_dir)), "pieces")).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op11_fill_in_middle",
+    r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || CAST(doc_id AS VARCHAR)) AS s FROM documents),
+cut AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS l, CAST(('0x' || s[1:8]) AS BIGINT) AS h1, CAST(('0x' || s[9:16]) AS BIGINT) AS h2,
+    CAST(('0x' || s[17:24]) AS BIGINT) AS h3, CAST(('0x' || s[25:32]) AS BIGINT) AS h4 FROM drawn),
+placed AS (
+  SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (
+  SELECT doc_id, text, n, form, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
+FROM parts""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_documents(spark, sf_dir), seed=7, infill_percent=100, spm_percent=50).withColumnRenamed("id", "doc_id")
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)

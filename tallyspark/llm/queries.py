@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.bpe import bpe_decode, bpe_encode
 from tallyspark.llm.chat import chat_digests, chat_windows, read_windows
+from tallyspark.llm.fingerprints import edit_likeness, fingerprint_text, likeness
 from tallyspark.llm.infill import fill_in_middle, restored
 from tallyspark.llm.minhash import minhash_groups
 from tallyspark.llm.nearest import build_index, nearest
@@ -195,3 +196,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(_documents(spark, sf_dir), seed=7, infill_percent=100, spm_percent=50).withColumnRenamed("id", "doc_id")
     digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query("op12_order_minhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = edit_likeness(_documents(spark, sf_dir))
+    prints = [fingerprint_text(F.col("numbers")).alias("fingerprint"), fingerprint_text(F.col("edited_numbers")).alias("edited_fingerprint")]
+    near = [likeness(F.col("numbers"), F.col("edited_numbers")).alias("near_edited"), likeness(F.col("numbers"), F.col("next_numbers")).alias("near_next")]
+    return rows.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *prints, *near)

@@ -16,6 +16,7 @@ from tallyspark.llm.minhash import minhash_groups
 from tallyspark.llm.nearest import build_index, nearest
 from tallyspark.llm.packing import packed_batches, word_pieces
 from tallyspark.llm.pii import pseudonymise
+from tallyspark.llm.prefix_trie import conversation_trie
 from tallyspark.llm.quality import quality_scores
 from tallyspark.llm.suffix import without_repeats
 from tallyspark.llm.token_files import flat_token_blocks, named_counts
@@ -204,3 +205,34 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = [fingerprint_text(F.col("numbers")).alias("fingerprint"), fingerprint_text(F.col("edited_numbers")).alias("edited_fingerprint")]
     near = [likeness(F.col("numbers"), F.col("edited_numbers")).alias("near_edited"), likeness(F.col("numbers"), F.col("next_numbers")).alias("near_next")]
     return rows.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *prints, *near)
+
+
+@query(
+    "op13_prefix_trie",
+    r"""
+WITH steps AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+own AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+drawn AS (
+  SELECT c, l, c - c % 100 AS b, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda h, x: xor(t[(xor(h, x) & 255) + 1], h >> 8))) % 6 AS h FROM own, steps),
+rebuilt AS (
+  SELECT d.c, list_concat(coalesce(o.l[1:d.h], []), d.l[d.h + 1:]) AS l FROM drawn d LEFT JOIN own o ON o.c = d.b),
+members AS (SELECT c, l, unnest(range(0, len(l) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT l[1:depth] AS k, depth, min(c) AS conv_id, count(*) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len(l) = depth) AS ended
+  FROM members GROUP BY 1, 2),
+children AS (SELECT k[1:depth - 1] AS k, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+counted AS (
+  SELECT nodes.*, coalesce(c.n, 0) AS n_children, CASE WHEN nodes.depth = 0 THEN 0 ELSE (nodes.n - 1) * length(nodes.k[nodes.depth].text) END AS saved
+  FROM nodes LEFT JOIN children c ON c.k = nodes.k AND c.depth = nodes.depth),
+above AS (SELECT *, unnest(range(0, depth + 1)) AS a FROM counted),
+sums AS (SELECT k[1:a] AS k, a AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY 1, 2)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n AS n_convs, x.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(x.ended, '')) AS ends_sha256
+FROM counted x JOIN sums s ON s.k = x.k AND s.depth = x.depth LEFT JOIN nodes p ON p.depth = x.depth - 1 AND p.k = x.k[1:x.depth - 1]""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

@@ -18,7 +18,7 @@ from tallyspark.llm.packing import packed_batches, word_pieces
 from tallyspark.llm.pii import pseudonymise
 from tallyspark.llm.prefix_trie import conversation_trie
 from tallyspark.llm.quality import quality_scores
-from tallyspark.llm.suffix import without_repeats
+from tallyspark.llm.suffix import PASSAGE, Windows, without_repeats
 from tallyspark.llm.token_files import flat_token_blocks, named_counts
 from tallyspark.llm.vector_dedup import vector_groups
 from tallyspark.session import cut_lineage
@@ -130,8 +130,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_suffix_array_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = without_repeats(_documents(spark, sf_dir))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The columns of the contract speak of 400 bytes; n_passage_bytes and text say what goes at PASSAGE bytes (about 50 words)."""
+    out = without_repeats(_documents(spark, sf_dir), characters=True, windows=Windows(length=PASSAGE, longer=400))
+    contract = [F.col("longer_removed").alias("n_removed"), F.col("longer_spans").alias("n_spans"), F.sha2("longer_kept", 256).alias("kept_sha256")]
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", *contract, F.col("n_removed").alias("n_passage_bytes"), F.col("kept").cast("string").alias("text"))
 
 
 @query("op2_quality_classifier")

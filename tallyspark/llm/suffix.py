@@ -1,17 +1,19 @@
 """Removal of long repeated byte strings by sorting suffixes.
 
-Only text near a repeated landmark is sorted. A landmark is the least hashed GRAM bytes inside a window of
-LENGTH bytes, so equal windows have equal landmarks at equal places: windows whose landmark occurs once
-are unique. The other windows are cut into stretches by landmark and offset; equal stretches are one row
-with a count. Stretches that share the bytes common to all their windows form a group, groups are dealt to
-tasks, and there all suffixes are sorted: those smaller than their successor directly, the others by
-scanning the buckets in order. Neighbours with LENGTH bytes in common are the repeats. Groups of many
-different stretches are dealt again by narrower stretches until they are small or fully decided.
+Only text near a repeated landmark is sorted. A landmark is the least hashed gram inside a window of ``length`` bytes,
+so equal windows have equal landmarks at equal places: windows whose landmark occurs once are unique. The windows of
+one landmark are a span; equal spans are one row with a count, however many documents hold them. Spans are cut into
+stretches by the distance to the landmark, and stretches that share the bytes common to all their windows form a
+group. Groups are dealt to tasks, and there all suffixes are sorted: those smaller than their successor directly, the
+others by scanning the buckets in order. Neighbours with ``length`` bytes in common are the repeats; the same sort
+answers a longer length, and says which of equal windows stands first. Groups of many different stretches are dealt
+again by narrower stretches until they are small or fully decided.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -23,44 +25,83 @@ from tallyspark.llm.arrays import MORE_POWERS, as_bytes, chunks, mix, prefix_has
 from tallyspark.session import cut_lineage
 
 LENGTH, GRAM = 400, 32
+PASSAGE = 250
 GROUP = 512
 PIECE = 2 << 20
 SORT_BYTES = 1 << 19
 WIDTHS = (128, 16, 2, 1)
+WORDS = WIDTHS[0] // 64
 _MASK = np.uint64((1 << 23) - 1)
 _U = np.uint64
-_SPAN = LENGTH - GRAM + 1
 
 
-def _items(texts: list[bytes]) -> list[tuple[int, int, bytes]]:
-    """(text number, offset, bytes): whole texts, long ones in pieces that share LENGTH - 1 bytes."""
-    return [(i, at, t if len(t) < PIECE + LENGTH else t[at : at + PIECE + LENGTH - 1]) for i, t in enumerate(texts) for at in range(0, len(t) - LENGTH + 1, PIECE)]
+@dataclass(frozen=True)
+class Windows:
+    """What counts as a repeat: ``length`` equal bytes. ``longer`` asks for a second, larger length in the same pass;
+    ``first`` asks which of equal windows stands first, by (id, place)."""
 
+    length: int = LENGTH
+    longer: int | None = None
+    first: bool = False
+    gram: int = GRAM
 
-def _least(key: np.ndarray) -> np.ndarray:
-    """The minimum of every _SPAN neighbours."""
+    def __post_init__(self):
+        if not 8 <= self.gram <= self.length or (self.longer is not None and (self.longer < self.length or self.first)):
+            raise ValueError("8 <= gram <= length <= longer is needed, and either longer or first")
+
+    @property
+    def span(self) -> int:
+        """Windows that can have one landmark."""
+        return self.length - self.gram + 1
+
+    @property
+    def reach(self) -> int:
+        """Bytes that decide a window."""
+        return self.longer or self.length
+
+    @property
+    def kinds(self) -> list[str]:
+        """Which windows are repeats, longer repeats, and first of their kind."""
+        return ["base", *["longer"] * (self.longer is not None), *["first"] * self.first]
+
+    @property
+    def masks(self) -> list[str]:
+        """Names of the words of bits of each kind."""
+        return [f"{k}{w}" for k in self.kinds for w in range(WORDS)]
+
+
+def _items(texts: list[bytes], w: Windows = Windows()) -> list[tuple[int, int, bytes]]:
+    """(text number, offset, bytes): whole texts, long ones in pieces of PIECE windows that share reach - 1 bytes."""
+    step = PIECE + w.reach - 1
+    places = ((i, t, range(0, len(t) - w.length + 1, max(len(t), 1) if len(t) < step else PIECE)) for i, t in enumerate(texts))
+    return [(i, at, t if len(t) < step else t[at : at + step]) for i, t, starts in places for at in starts]
+
+
+def _least(key: np.ndarray, span: int) -> np.ndarray:
+    """The minimum of every ``span`` neighbours."""
     n = len(key)
-    rows = -(-n // _SPAN)
-    square = np.full(rows * _SPAN, np.iinfo(_U).max, dtype=_U)
+    rows = -(-n // span)
+    square = np.full(rows * span, np.iinfo(_U).max, dtype=_U)
     square[:n] = key
-    square = square.reshape(rows, _SPAN)
+    square = square.reshape(rows, span)
     ahead = np.minimum.accumulate(square, axis=1).reshape(-1)
     back = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(back[: n - _SPAN + 1], ahead[_SPAN - 1 : n])
+    return np.minimum(back[: n - span + 1], ahead[span - 1 : n])
 
 
-def _landmarks(parts: list[bytes]):
-    """For the joined parts: prefix hashes, gram hashes, and per window its start, part and landmark place."""
+def _landmarks(parts: list[bytes], w: Windows):
+    """For the joined parts: bytes, prefix hashes, gram hashes, part ends, and per window its start, part and landmark place."""
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
     prefix = prefix_hash(data)
-    place = np.arange(len(data) - GRAM + 1)
-    gram = mix(span_hash(prefix, place, place + GRAM))
-    best = (_least((gram & ~_MASK) | place.astype(_U)) & _MASK).astype(np.int64)
+    place = np.arange(len(data) - w.gram + 1)
+    gram = mix(span_hash(prefix, place, place + w.gram))
+    best = (_least((gram & ~_MASK) | place.astype(_U), w.span) & _MASK).astype(np.int64)
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes)
     part = np.repeat(np.arange(len(parts)), sizes)[: len(best)]
-    starts = np.flatnonzero(np.arange(len(best)) + LENGTH <= ends[part])
-    return data, prefix, gram, starts, part[starts], best[starts]
+    at = np.arange(len(best))
+    starts = np.flatnonzero((at + w.length <= ends[part]) & ((at - (ends - sizes)[part] < PIECE) | (sizes[part] < PIECE + w.reach - 1)))
+    return data, prefix, gram, ends, starts, part[starts], best[starts]
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -70,13 +111,13 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
     """The different landmarks of every text (or piece of one) with at least one window, and 1 or 2 for once or more."""
     for batch in batches:
         texts = as_bytes(batch.column(1))
-        items = _items(texts)
+        items = _items(texts, w)
         for lo, hi in chunks([x[2] for x in items]):
-            _, _, gram, _, part, best = _landmarks([x[2] for x in items[lo:hi]])
+            _, _, gram, _, _, part, best = _landmarks([x[2] for x in items[lo:hi]], w)
             head = _runs(part, best)
             owner, mark = part[head], gram[best[head]]
             order = np.lexsort((mark, owner))
@@ -88,88 +129,107 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in items[lo:hi]])), *lists], names=["id", "marks", "times"])
 
 
-def _cells(d: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cells(d: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cell of a landmark distance, and the largest and smallest distance in that cell."""
     cell = d // width
-    return cell, np.minimum(cell * width + width - 1, _SPAN - 1), cell * width
+    return cell, np.minimum(cell * width + width - 1, span - 1), cell * width
 
 
-_STRETCH = "core long, seg long, m long, rel int, n int, bytes binary"
+def _shape(rel: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return (rel.astype(_U) << _U(42)) + (n.astype(_U) << _U(21)) + size.astype(_U)
 
 
-def _stretches(prefix: np.ndarray, more: np.ndarray, lo: np.ndarray, n: np.ndarray, rel: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """core: hash of the bytes that all windows of the cell share; seg: hash of the whole stretch."""
-    cell, far, close = _cells(rel, width)
-    core = mix(span_hash(prefix, lo + rel - close, lo + rel - far + LENGTH) + cell.astype(_U) * _U(0x9E3779B97F4A7C15), width)
-    seg = mix(span_hash(more, lo, lo + n - 1 + LENGTH, MORE_POWERS) + (rel * 1024 + n).astype(_U), width)
+def _stretches(prefix: np.ndarray, more: np.ndarray, lo: np.ndarray, n: np.ndarray, rel: np.ndarray, size: np.ndarray, width: int, w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """core: hash of the bytes that all windows of the cell share; seg: hash of all bytes that decide the stretch."""
+    cell, far, close = _cells(rel, width, w.span)
+    core = mix(span_hash(prefix, lo + rel - close, lo + rel - far + w.length) + cell.astype(_U) * _U(0x9E3779B97F4A7C15), width)
+    seg = mix(span_hash(more, lo, lo + size, MORE_POWERS) + _shape(rel, n, size), width)
     return core, seg
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of the windows whose landmark is one of the text's repeated ones."""
+_CELL = "core long, seg long, off int, rel int, n int, size int"
+_SPANS = f"id long, at long, a long, b long, bytes binary, cells array<struct<{_CELL.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def _cut(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows whose landmark is one of the text's repeated ones, each with its stretches."""
     width = WIDTHS[0]
     for batch in batches:
         texts = as_bytes(batch.column(1))
-        items = _items(texts)
+        items = _items(texts, w)
         marks = batch.column(2)
         for lo, hi in chunks([x[2] for x in items]):
             part_bytes = [x[2] for x in items[lo:hi]]
-            data, prefix, gram, starts, part, best = _landmarks(part_bytes)
-            cell = _cells(best - starts, width)[0]
-            head = _runs(part, best, cell)
-            size = np.diff(np.append(head, len(starts)))
+            data, prefix, gram, ends, starts, part, best = _landmarks(part_bytes, w)
+            more = prefix_hash(data, MORE_POWERS)
+            head = _runs(part, best)
+            count = np.diff(np.append(head, len(starts)))
             owner = np.array([x[0] for x in items[lo:hi]])
             first, last = int(owner[0]), int(owner[-1])
             held = marks.slice(first, last - first + 1)
             of = np.repeat(np.arange(first, last + 1), np.diff(held.offsets.to_numpy()))
             known = mix(held.flatten().to_numpy().view(_U) + mix(of.astype(_U), 5))
             wanted = np.isin(mix(gram[best[head]] + mix(owner[part[head]].astype(_U), 5)), known)
-            head, size = head[wanted], size[wanted]
-            at, rel = starts[head], best[head] - starts[head]
-            core, seg = _stretches(prefix, prefix_hash(data, MORE_POWERS), at, size, rel, width)
+            head, count = head[wanted], count[wanted]
+            at, rel, stop = starts[head], best[head] - starts[head], ends[part[head]]
+            size = np.minimum(count - 1 + w.reach, stop - at)
+            shape = _shape(rel, count, size)
+            names = [mix(span_hash(prefix, at, at + size) + shape, 301), mix(span_hash(more, at, at + size, MORE_POWERS) + shape, 302)]
+
+            row = np.repeat(np.arange(len(head)), count)
+            off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            inner = _runs(row, _cells(rel[row] - off, width, w.span)[0])
+            n = np.diff(np.append(inner, len(row)))
+            row, off = row[inner], off[inner]
+            place = at[row] + off
+            held_bytes = np.minimum(n - 1 + w.reach, stop[row] - place)
+            core, seg = _stretches(prefix, more, place, n, rel[row] - off, held_bytes, width, w)
+            cells = pa.StructArray.from_arrays([pa.array(signed(core)), pa.array(signed(seg)), *[pa.array(x.astype(np.int32)) for x in (off, rel[row] - off, n, held_bytes)]], names=["core", "seg", "off", "rel", "n", "size"])
             joined = data.tobytes()
             base = np.concatenate([[0], np.cumsum([len(b) for b in part_bytes])])
-            place = at - base[part[head]] + np.array([x[1] for x in items[lo:hi]], dtype=np.int64)[part[head]]
+            inside = at - base[part[head]] + np.array([x[1] for x in items[lo:hi]], dtype=np.int64)[part[head]]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(owner[part[head]])), pa.array(place.astype(np.int64)), pa.array(signed(core)), pa.array(signed(seg)), pa.array(np.ones(len(at), dtype=np.int64)),
-                    pa.array(rel.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array([joined[a : a + k] for a, k in zip(at.tolist(), (size + LENGTH - 1).tolist())], pa.binary()),
+                    batch.column(0).take(pa.array(owner[part[head]])), pa.array(inside.astype(np.int64)), *[pa.array(signed(x)) for x in names],
+                    pa.array([joined[x : x + k] for x, k in zip(at.tolist(), size.tolist())], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(head) + 1)).astype(np.int32)), cells),
                 ],
-                names=["id", "at", "core", "seg", "m", "rel", "n", "bytes"],
+                names=["id", "at", "a", "b", "bytes", "cells"],
             )
 
 
-def _narrower(width: int):
+_UNIT = "core long, seg long, m long, id long, at long, rel int, n int, size int"
+
+
+def _narrower(batches: Iterator[pa.RecordBatch], width: int, w: Windows) -> Iterator[pa.RecordBatch]:
     """Cut stretches into those of a smaller cell width."""
+    for batch in batches:
+        held = as_bytes(batch.column(8))
+        for lo, hi in chunks(held):
+            data = np.frombuffer(b"".join(held[lo:hi]), dtype=np.uint8)
+            base = np.concatenate([[0], np.cumsum([len(b) for b in held[lo:hi]])])[:-1]
+            rel0, n0, size0 = (batch.column(k).to_numpy()[lo:hi].astype(np.int64) for k in (5, 6, 7))
+            row = np.repeat(np.arange(hi - lo), n0)
+            off = np.arange(len(row)) - np.repeat(np.cumsum(n0) - n0, n0)
+            head = _runs(row, _cells(rel0[row] - off, width, w.span)[0])
+            n = np.diff(np.append(head, len(row)))
+            row, off = row[head], off[head]
+            place, size = base[row] + off, np.minimum(n - 1 + w.reach, size0[row] - off)
+            core, seg = _stretches(prefix_hash(data), prefix_hash(data, MORE_POWERS), place, n, rel0[row] - off, size, width, w)
+            joined = data.tobytes()
+            own = pa.array(row + lo)
+            first = batch.column(4).take(own).to_numpy() + off
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(own), batch.column(1).take(own), pa.array(off.astype(np.int32)), pa.array(signed(core)), pa.array(signed(seg)), batch.column(2).take(own), batch.column(3).take(own), pa.array(first),
+                    *[pa.array(x.astype(np.int32)) for x in (rel0[row] - off, n, size)], pa.array([joined[x : x + k] for x, k in zip(place.tolist(), size.tolist())], pa.binary()),
+                ],
+                names=["pcore", "pseg", "off", "core", "seg", "m", "id", "at", "rel", "n", "size", "bytes"],
+            )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = as_bytes(batch.column(5))
-            for lo, hi in chunks(held):
-                data = np.frombuffer(b"".join(held[lo:hi]), dtype=np.uint8)
-                base = np.concatenate([[0], np.cumsum([len(b) for b in held[lo:hi]])])[:-1]
-                rel0, n0 = batch.column(3).to_numpy()[lo:hi].astype(np.int64), batch.column(4).to_numpy()[lo:hi].astype(np.int64)
-                row = np.repeat(np.arange(hi - lo), n0)
-                off = np.arange(len(row)) - np.repeat(np.cumsum(n0) - n0, n0)
-                head = _runs(row, _cells(rel0[row] - off, width)[0])
-                size = np.diff(np.append(head, len(row)))
-                row, off = row[head], off[head]
-                core, seg = _stretches(prefix_hash(data), prefix_hash(data, MORE_POWERS), base[row] + off, size, rel0[row] - off, width)
-                joined, at = data.tobytes(), base[row] + off
-                own = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(own), batch.column(1).take(own), pa.array(off.astype(np.int32)), pa.array(signed(core)), pa.array(signed(seg)), batch.column(2).take(own),
-                        pa.array((rel0[row] - off).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array([joined[a : a + k] for a, k in zip(at.tolist(), (size + LENGTH - 1).tolist())], pa.binary()),
-                    ],
-                    names=["pcore", "pseg", "off", "core", "seg", "m", "rel", "n", "bytes"],
-                )
-
-    return run
-
-
-def suffix_order(parts: list[bytes]) -> np.ndarray:
-    """Places of the joined parts in the order of their suffixes, compared up to LENGTH bytes inside the part.
+
+def suffix_order(parts: list[bytes], reach: int = LENGTH) -> np.ndarray:
+    """Places of the joined parts in the order of their suffixes, compared up to ``reach`` bytes inside the part.
 
     A suffix smaller than its successor is sorted directly. Any other suffix starts a bucket's first half and
     follows from its successor: the buckets are scanned in byte order, and what stands before a suffix already
@@ -190,7 +250,7 @@ def suffix_order(parts: list[bytes]) -> np.ndarray:
     smaller = ~last[decider] & (text[decider] < follow[decider])
     end_of = np.repeat(ends, sizes)
     direct = np.flatnonzero(smaller)
-    stops = np.minimum(direct + LENGTH, end_of[direct])
+    stops = np.minimum(direct + reach, end_of[direct])
     keys = [data[a:b] for a, b in zip(direct.tolist(), stops.tolist())]
     direct = direct[sorted(range(len(keys)), key=keys.__getitem__)]
     del keys
@@ -228,48 +288,70 @@ def suffix_order(parts: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bytes that the suffixes at a and b share, counted up to LENGTH."""
-    out = np.empty(len(a), dtype=np.int64)
-    steps = np.arange(0, LENGTH, 8)
-    words = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8)
+def equal_ahead(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes (eight at least) from a and from b on are equal."""
+    out = np.empty(len(a), dtype=bool)
+    steps = np.append(np.arange(0, length - 8, 8), length - 8)
+    eight = np.ndarray((len(text) - 7,), dtype="<i8", buffer=np.ascontiguousarray(text).data, strides=(1,))
     for lo in range(0, len(a), 4096):
         x, y = a[lo : lo + 4096, None] + steps, b[lo : lo + 4096, None] + steps
-        differs = (words[x] != words[y]).reshape(len(x), -1)
-        out[lo : lo + 4096] = np.where(differs.any(axis=1), differs.argmax(axis=1), LENGTH)
+        out[lo : lo + 4096] = (eight[x] == eight[y]).all(axis=1)
     return out
 
 
-def _sort_groups(n: np.ndarray, held: list[bytes]) -> np.ndarray:
-    """Per row a mask, two words of bits, of its windows that occur twice among the rows."""
+def _bits(row: np.ndarray, place: np.ndarray, rows: int) -> np.ndarray:
+    """One row of WORDS 64-bit words per stretch."""
+    bits = np.zeros((rows, WIDTHS[0]), dtype=bool)
+    bits[row, place] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+
+
+def _sort_groups(units: dict[str, np.ndarray], held: list[bytes], w: Windows) -> np.ndarray:
+    """Per stretch the words of bits named by ``w.masks``, from the sorted suffixes of all."""
+    n = units["n"]
     text = np.frombuffer(b"".join(held), dtype=np.uint8)
     sizes = np.array([len(b) for b in held])
     row = np.repeat(np.arange(len(held)), sizes)
     base = np.cumsum(sizes) - sizes
-    order = suffix_order(held)
+    order = suffix_order(held, w.reach)
     order = order[order - base[row[order]] < n[row[order]]]
-    twice = common_prefix(text, order[:-1], order[1:]) >= LENGTH
-    place = np.unique(np.concatenate([order[1:][twice], order[:-1][twice]]))
-    bits = np.zeros((len(held), WIDTHS[0]), dtype=bool)
-    bits[row[place], place - base[row[place]]] = True
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-
-
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole groups, a few at a time, into repeated starts. Rows come sorted by core."""
+    row, place = row[order], order - base[row[order]]
+    same = equal_ahead(text, order[:-1], order[1:], w.length)
+    twice = np.append(same, False) | np.append(False, same) | (units["m"][row] > 1)
+    out = [_bits(row[twice], place[twice], len(held))]
+    if w.longer is not None:
+        whole = sizes[row] - place >= w.longer
+        far = np.zeros(len(order), dtype=bool)
+        pairs = np.flatnonzero(same & whole[:-1] & whole[1:])
+        equal = pairs[equal_ahead(text, order[pairs], order[pairs + 1], w.longer)]
+        far[equal] = far[equal + 1] = True
+        far |= whole & (units["m"][row] > 1)
+        out.append(_bits(row[far], place[far], len(held)))
+    if w.first:
+        kind = np.cumsum(np.append(True, ~same))
+        ahead = np.lexsort((units["at"][row] + place, units["id"][row], kind))
+        least = ahead[_runs(kind[ahead])]
+        least = least[twice[least]]
+        out.append(_bits(row[least], place[least], len(held)))
+    return np.concatenate(out, axis=1)
+
+
+def _sort(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
+    """Whole groups, a few at a time, into masks. Rows come sorted by core."""
 
     def ready(table: pa.Table) -> pa.RecordBatch:
-        masks = _sort_groups(table["n"].to_numpy(), as_bytes(table["bytes"].combine_chunks()))
+        masks = _sort_groups({c: table[c].to_numpy() for c in ("n", "m", "id", "at")}, as_bytes(table["bytes"].combine_chunks()), w)
         hit = pa.array(masks.any(axis=1))
-        columns = [table["core"].combine_chunks(), table["seg"].combine_chunks(), pa.array(masks[:, 0]), pa.array(masks[:, 1])]
-        return pa.RecordBatch.from_arrays(columns, names=["core", "seg", "low", "high"]).filter(hit)
+        names = ["core", "seg", "id", "at"]
+        columns = [*[table[c].combine_chunks() for c in names], *[pa.array(np.ascontiguousarray(masks[:, k])) for k in range(masks.shape[1])]]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, *w.masks]).filter(hit)
 
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table])
         core = table["core"].to_numpy()
-        grown = np.cumsum(table["n"].to_numpy().astype(np.int64) + LENGTH - 1)
+        grown = np.cumsum(table["size"].to_numpy().astype(np.int64))
         bounds = _runs(core)
         at = 0
         for k, edge in enumerate(bounds[1:], 1):
@@ -283,40 +365,74 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ready(rest)
 
 
-def _first_bits(n: str):
-    """Mask, as two words, of the first n windows."""
-    return (
-        F.expr(f"CASE WHEN {n} >= 64 THEN -1L ELSE shiftrightunsigned(-1L, 64 - {n}) END").alias("low"),
-        F.expr(f"CASE WHEN {n} >= 128 THEN -1L WHEN {n} > 64 THEN shiftrightunsigned(-1L, 128 - {n}) ELSE 0L END").alias("high"),
-    )
-
-
-def _lifted(off: str):
-    """The mask (low, high) moved up by ``off`` windows."""
-    return (
-        F.expr(f"CASE WHEN {off} < 64 THEN shiftleft(low, {off}) ELSE 0L END").alias("low"),
-        F.expr(f"CASE WHEN {off} = 0 THEN high WHEN {off} < 64 THEN shiftrightunsigned(low, 64 - {off}) | shiftleft(high, {off}) ELSE shiftleft(low, {off} - 64) END").alias("high"),
-    )
-
-
-def _repeats(rows: DataFrame, level: int = 0) -> DataFrame:
-    """(core, seg, low, high): one row per different stretch, the mask of its windows that occur elsewhere."""
-    meta = cut_lineage(rows.groupBy("core", "seg").agg(F.sum("m").alias("m"), F.first("rel").alias("rel"), F.first("n").alias("n")), "stretch")
-    found = meta.where("m > 1").select("core", "seg", *_first_bits("n"))
-    group = meta.groupBy("core").agg(F.count("*").alias("g"), F.min("m").alias("least")).where("g > 1 and least = 1")
-    bytes_of = rows.groupBy("core", "seg").agg(F.first("bytes").alias("bytes"))
-    wanted = meta.join(group, "core")
-    full = bytes_of.join(wanted, ["core", "seg"])
-    small = full.where(F.col("g") <= GROUP).select("core", "seg", "n", "bytes").repartition("core").sortWithinPartitions("core", "seg")
-    found = found.union(cut_lineage(small.mapInArrow(_sort, "core long, seg long, low long, high long"), "repeats"))
+def _first_bits(n: str, name: str) -> list:
+    """Mask, in two words, of the first n windows."""
+    return [
+        F.expr(f"CASE WHEN {n} >= 64 THEN -1L WHEN {n} <= 0 THEN 0L ELSE shiftrightunsigned(-1L, 64 - {n}) END").alias(f"{name}0"),
+        F.expr(f"CASE WHEN {n} >= 128 THEN -1L WHEN {n} > 64 THEN shiftrightunsigned(-1L, 128 - {n}) ELSE 0L END").alias(f"{name}1"),
+    ]
+
+
+def _lifted(off: str, name: str) -> list:
+    """The mask moved up by ``off`` windows."""
+    low, high = f"{name}0", f"{name}1"
+    return [
+        F.expr(f"CASE WHEN {off} < 64 THEN shiftleft({low}, {off}) ELSE 0L END").alias(low),
+        F.expr(f"CASE WHEN {off} = 0 THEN {high} WHEN {off} < 64 THEN shiftrightunsigned({low}, 64 - {off}) | shiftleft({high}, {off}) ELSE shiftleft({low}, {off} - 64) END").alias(high),
+    ]
+
+
+def _repeats(units: DataFrame, with_bytes: Callable[[DataFrame], DataFrame], w: Windows, level: int = 0) -> DataFrame:
+    """(core, seg, id, at, masks): one row per different stretch with repeats. ``units`` are the different stretches, with
+    their count m and the first (id, at) that holds them; ``with_bytes`` adds the bytes to some of them.
+
+    A stretch that occurs twice is all repeats. In a group of one stretch nothing else is to be found; groups in which
+    every stretch occurs twice are sorted only if the first of equal windows is asked for.
+    """
+    if WIDTHS[level] == 1:
+        return _single(units, w)
+    whole = {"base": "n", "longer": f"least(n, size - {w.longer} + 1)", "first": "n"}
+    groups = units.groupBy("core").agg(F.count("*").alias("g"), F.min("m").alias("least"))
+    alone = units.where("m > 1")
+    if w.first:
+        alone = alone.join(groups.where("g = 1").select("core"), "core", "left_semi")
+    found = alone.select("core", "seg", "id", "at", *[c for k in w.kinds for c in _first_bits(whole[k], k)])
+    wanted = units.join(groups.where("g > 1" if w.first else "g > 1 and least = 1").select("core", "g"), "core")
+    names = [c.split()[0] for c in _UNIT.split(", ")]
+    small = with_bytes(wanted.where(F.col("g") <= GROUP)).select(*names, "bytes").repartition("core").sortWithinPartitions("core", "seg")
+    masks = ", ".join(f"{c} long" for c in w.masks)
+    found = found.union(cut_lineage(small.mapInArrow(partial(_sort, w=w), f"core long, seg long, id long, at long, {masks}"), "repeats"))
     hot = wanted.where(F.col("g") > GROUP)
-    if level + 1 < len(WIDTHS) and not hot.isEmpty():
-        cut = full.where(F.col("g") > GROUP).select("core", "seg", "m", "rel", "n", "bytes")
-        parts = cut_lineage(cut.mapInArrow(_narrower(WIDTHS[level + 1]), f"pcore long, pseg long, off int, {_STRETCH}"), "narrower")
-        inner = _repeats(parts, level + 1)
-        up = parts.select("pcore", "pseg", "off", "core", "seg").join(inner, ["core", "seg"])
-        found = found.union(up.select("pcore", "pseg", *_lifted("off")))
-    return found.groupBy("core", "seg").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+    if not hot.isEmpty():
+        cut = with_bytes(hot).select(*names, "bytes")
+        schema = f"pcore long, pseg long, off int, {_UNIT}, bytes binary"
+        parts = cut_lineage(cut.mapInArrow(partial(_narrower, width=WIDTHS[level + 1], w=w), schema), "narrower")
+        bytes_of = parts.groupBy("core", "seg").agg(F.first("bytes").alias("bytes"))
+        inner = _repeats(_units(parts), lambda some: some.join(bytes_of, ["core", "seg"]), w, level + 1)
+        up = parts.select("pcore", "pseg", F.col("id").alias("pid"), F.col("at").alias("pat"), "off", "core", "seg").join(inner, ["core", "seg"])
+        up = _own_first(up, "pid", "pat", w).withColumn("pat", F.col("pat") - F.col("off"))
+        found = found.union(up.select("pcore", "pseg", "pid", "pat", *[c for k in w.kinds for c in _lifted("off", k)]))
+    return found.groupBy("core", "seg").agg(F.first("id").alias("id"), F.first("at").alias("at"), *[F.bit_or(c).alias(c) for c in w.masks])
+
+
+def _own_first(rows: DataFrame, id_col: str, at_col: str, w: Windows) -> DataFrame:
+    """The masks of a stretch as part of a larger one: its first windows stand there only if its first place does."""
+    here = (F.col("id") == F.col(id_col)) & (F.col("at") == F.col(at_col))
+    return rows.withColumns({c: F.when(here, F.col(c)).otherwise(F.lit(0)) for c in w.masks if c.startswith("first")})
+
+
+def _single(units: DataFrame, w: Windows) -> DataFrame:
+    """The masks of stretches of one window each: those of a group are equal, and need no sorting."""
+    groups = units.groupBy("core").agg(F.sum("m").alias("held"), F.min(F.struct("id", "at")).alias("lead")).where("held > 1")
+    one = {"base": F.lit(1), "longer": F.expr(f"if(m > 1 and size >= {w.longer}, 1, 0)"), "first": F.expr("if(id = lead.id and at = lead.at, 1, 0)")}
+    bits = [c for k in w.kinds for c in (one[k].cast("long").alias(f"{k}0"), F.lit(0).cast("long").alias(f"{k}1"))]
+    return units.join(groups, "core").select("core", "seg", "id", "at", *bits)
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """Different stretches (core, seg) with the sum of m, the first (id, at) and its offset."""
+    held = rows.groupBy("core", "seg").agg(F.sum("m").alias("m"), F.min(F.struct("id", "at", "off")).alias("p"), F.first("rel").alias("rel"), F.first("n").alias("n"), F.first("size").alias("size"))
+    return cut_lineage(held.select("core", "seg", "m", "p.id", "p.at", "p.off", "rel", "n", "size"), "stretch")
 
 
 def _whole_characters(text: bytes, gone: np.ndarray) -> np.ndarray:
@@ -329,70 +445,96 @@ def _whole_characters(text: bytes, gone: np.ndarray) -> np.ndarray:
     return (np.bincount(owner, weights=gone, minlength=len(data)) > 0)[owner]
 
 
-def _erase(batches: Iterator[pa.RecordBatch], characters: bool = False) -> Iterator[pa.RecordBatch]:
+def _covered(n: int, runs: list[dict], w: Windows, kind: str) -> np.ndarray | None:
+    """Bytes of a text of ``n`` bytes that repeated windows of a kind cover; None if there are none."""
+    length = w.longer if kind == "longer" else w.length
+    held = [(r["at"] + m["off"], *(m[f"{kind}{k}"] & ~(m[f"first{k}"] if r["lead"] and w.first else 0) for k in range(WORDS))) for r in runs for m in r["marks"] or ()]
+    whole = any(r["whole"] for r in runs) and n >= length
+    if not whole and not any(any(h[1:]) for h in held):
+        return None
+    edge = np.zeros(n + 1, dtype=np.int64)
+    if held:
+        words = np.array([h[1:] for h in held], dtype="<i8").view(np.uint8).reshape(len(held), -1)
+        row, bit = np.nonzero(np.unpackbits(words, axis=1, bitorder="little"))
+        start = np.array([h[0] for h in held])[row] + bit
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + length, -1)
+    return np.ones(n, dtype=bool) if whole else np.cumsum(edge)[:-1] > 0
+
+
+def _erase(batches: Iterator[pa.RecordBatch], w: Windows, characters: bool = False) -> Iterator[pa.RecordBatch]:
+    kinds = [k for k in w.kinds if k != "first"]
     for batch in batches:
         texts = as_bytes(batch.column(1))
-        kept, removed, spans = [], [], []
-        for text, marks in zip(texts, batch.column(2).to_pylist()):
-            if not marks:
-                kept.append(text)
-                removed.append(0)
-                spans.append(0)
-                continue
-            edge = np.zeros(len(text) + 1, dtype=np.int64)
-            at = np.array([m["at"] for m in marks])
-            words = np.array([(m["low"], m["high"]) for m in marks], dtype="<i8").view(np.uint8).reshape(len(marks), -1)
-            row, bit = np.nonzero(np.unpackbits(words, axis=1, bitorder="little"))
-            start = at[row] + bit
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + LENGTH, -1)
-            for m in marks:
-                if m["count"]:
-                    edge[m["at"]] += 1
-                    edge[m["at"] + m["count"] - 1 + LENGTH] -= 1
-            gone = np.cumsum(edge)[:-1] > 0
-            if characters:
-                gone = _whole_characters(text, gone)
-            kept.append(np.frombuffer(text, dtype=np.uint8)[~gone].tobytes())
-            removed.append(int(gone.sum()))
-            spans.append(int(gone[0]) + int((np.diff(gone.astype(np.int8)) == 1).sum()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-            names=["id", "n_bytes", "n_removed", "n_spans", "kept"],
-        )
-
-
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, low, high, count): window starts whose LENGTH bytes also start elsewhere in the table.
-
-    They are the set bits of the mask counted from ``at``, and the ``count`` starts from ``at`` on.
+        out = {k: ([], [], []) for k in kinds}
+        for text, runs in zip(texts, batch.column(2).to_pylist()):
+            for kind, (removed, spans, kept) in out.items():
+                gone = _covered(len(text), runs, w, kind) if runs else None
+                if gone is None:
+                    removed.append(0)
+                    spans.append(0)
+                    kept.append(text)
+                    continue
+                if characters and kind == "base":
+                    gone = _whole_characters(text, gone)
+                removed.append(int(gone.sum()))
+                spans.append(int(gone[0]) + int((np.diff(gone.astype(np.int8)) == 1).sum()))
+                kept.append(np.frombuffer(text, dtype=np.uint8)[~gone].tobytes())
+        columns = [pa.array(c, kind) for k in kinds for c, kind in zip(out[k], (pa.int64(), pa.int64(), pa.binary()))]
+        names = [f"{'longer_' if k == 'longer' else ''}{c}" for k in kinds for c in ("removed", "spans", "kept")]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), *columns], names=["id", "n_bytes", *names])
+
+
+def repeated_windows(docs: DataFrame, w: Windows, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, at, lead, whole, marks): per document and span of windows, which of them also start elsewhere in the table.
+
+    The windows are the set bits of the masks in ``marks``, counted from at + off. ``lead`` marks the first document and
+    place that holds the span. ``whole`` is a text that stands elsewhere as a whole (with ``w.first``: earlier).
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    base = cut_lineage(texts.where(F.octet_length("text") >= LENGTH).select("id", F.octet_length("text").cast("long").alias("size"), F.unhex(F.sha2("text", 256)).alias("sha")), "texts")
+    base = cut_lineage(texts.where(F.octet_length("text") >= w.length).select("id", F.unhex(F.sha2("text", 256)).alias("sha")), "texts")
     same = base.groupBy("sha").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
-    copies = base.join(same.where("copies > 1"), "sha").select("id", *[F.lit(0).cast("long").alias(c) for c in ("at", "low", "high")], (F.col("size") - LENGTH + 1).alias("count"))
-    sketch = texts.mapInArrow(_sketch, "id long, marks array<long>, times array<tinyint>")
+    sketch = texts.mapInArrow(partial(_sketch, w=w), "id long, marks array<long>, times array<tinyint>")
     single = cut_lineage(sketch.join(same.select(F.col("first").alias("id")), "id", "left_semi"), "marks")
     each = single.select("id", F.explode(F.arrays_zip("marks", "times")).alias("x")).select("id", F.col("x.marks").alias("mark"), F.col("x.times").alias("times"))
     often = cut_lineage(each.groupBy("mark").agg(F.sum("times").alias("k")).where("k > 1").select("mark"), "often")
     hits = each.select("id", "mark").join(often, "mark", "left_semi").groupBy("id").agg(F.collect_set("mark").alias("marks"))
-    cut = texts.join(hits, "id").select("id", "text", "marks")
-    rows = cut_lineage(cut.mapInArrow(_cut, f"id long, at long, {_STRETCH}"), "stretches")
-    masks = cut_lineage(_repeats(rows), "masks")  # read from files, so a join key with most rows can be split
-    runs = rows.select("id", "at", "core", "seg").join(masks, ["core", "seg"])
-    return runs.select("id", "at", "low", "high", F.lit(0).cast("long").alias("count")).union(copies)
+    spans = cut_lineage(texts.join(hits, "id").select("id", "text", "marks").mapInArrow(partial(_cut, w=w), _SPANS), "spans")
+
+    different = spans.groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.struct("id", "at")).alias("p"), F.first("cells").alias("cells"))
+    cells = different.select("a", "b", "m", "p", F.explode("cells").alias("c")).select("a", "b", "m", "p", "p.id", (F.col("p.at") + F.col("c.off")).alias("at"), *[f"c.{x.split()[0]}" for x in _CELL.split(", ")])
+    cells = cut_lineage(cells, "cells")
+
+    def with_bytes(some: DataFrame) -> DataFrame:
+        place = spans.select("id", F.col("at").alias("span_at"), "bytes")
+        return some.withColumn("span_at", F.col("at") - F.col("off")).join(place, ["id", "span_at"]).withColumn("bytes", F.expr("substring(bytes, off + 1, size)"))
 
+    masks = cut_lineage(_repeats(_units(cells), with_bytes, w), "masks")
+    marked = _own_first(cells.select("a", "b", "p", "core", "seg", "off", F.col("id").alias("pid"), F.col("at").alias("pat")).join(masks, ["core", "seg"]), "pid", "pat", w)
+    marked = cut_lineage(marked.groupBy("a", "b").agg(F.first("p").alias("p"), F.collect_list(F.struct("off", *w.masks)).alias("marks")), "marked")  # read from files, so a join key with most rows can be split
+    runs = spans.select("id", "at", "a", "b").join(marked, ["a", "b"])
+    runs = runs.select("id", "at", ((F.col("id") == F.col("p.id")) & (F.col("at") == F.col("p.at"))).alias("lead"), F.lit(False).alias("whole"), "marks")
+    copies = base.join(same.where("copies > 1"), "sha").where("id <> first" if w.first else "true").select("id", F.lit(0).cast("long").alias("at"), F.lit(False).alias("lead"), F.lit(True).alias("whole"))
+    return runs.unionByName(copies, allowMissingColumns=True)
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", characters: bool = False, windows: Windows = Windows()) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (the remaining UTF-8 bytes) of every document.
 
-    Every byte covered by LENGTH bytes that also start elsewhere, in the same document or another, is removed;
-    overlaps count, and strings are judged on the input. Null texts are empty; texts shorter than LENGTH stay.
-    Texts with equal bytes are searched once and lose everything. Ids must be unique and not null (a null
-    id's text is judged and kept whole); other columns are ignored; an empty table gives no rows. With
-    ``characters`` a character that loses a byte loses all of them; bytes that are no UTF-8 count singly.
+    Every byte covered by ``windows.length`` bytes that also start elsewhere, in the same document or another, is
+    removed; overlaps count, and strings are judged on the input. With ``windows.longer``, longer_removed, longer_spans
+    and longer_kept say the same for that length. With ``windows.first``, the first of equal windows by (id, place)
+    removes nothing, so one copy of every passage stays.
+
+    Null texts are empty; texts shorter than the length stay. Texts with equal bytes are searched once and lose
+    everything (with ``windows.first``, all but the one with the smallest id). Ids must be unique and not null (a null
+    id's text is judged and kept whole); other columns are ignored; an empty table gives no rows. With ``characters`` a
+    character that loses a byte loses all of them (not in the columns for ``windows.longer``); bytes that are no UTF-8
+    count singly.
     """
-    marks = repeated_windows(docs, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("at", "low", "high", "count")).alias("runs"))
+    runs = repeated_windows(docs, windows, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("at", "lead", "whole", "marks")).alias("runs"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    joined = texts.join(marks, "id", "left").select("id", "text", "runs")
-    return joined.mapInArrow(partial(_erase, characters=characters), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = texts.join(runs, "id", "left").select("id", "text", "runs")
+    longer = ", longer_removed long, longer_spans long, longer_kept binary" if windows.longer is not None else ""
+    out = joined.mapInArrow(partial(_erase, w=windows, characters=characters), f"id long, n_bytes long, removed long, spans long, kept binary{longer}")
+    return out.withColumnsRenamed({"removed": "n_removed", "spans": "n_spans"})

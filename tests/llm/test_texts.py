@@ -111,33 +111,73 @@ def test_suffix_order():
     assert keys == sorted(keys) and sorted(order.tolist()) == list(range(len(data)))
 
 
-def removed(texts, length=400):
+def removed(texts, length=400, first=False):
     data = [(t or "").encode() for t in texts]
-    seen = Counter(hashlib.md5(t[i : i + length]).digest() for t in data for i in range(len(t) - length + 1))
-    out = []
-    for t in data:
+    windows = [[hashlib.md5(t[i : i + length]).digest() for i in range(len(t) - length + 1)] for t in data]
+    seen = Counter(h for t in windows for h in t)
+    out, met = [], set()
+    for t, own in zip(data, windows):
         mask = np.zeros(len(t), dtype=bool)
-        for i in range(len(t) - length + 1):
-            if seen[hashlib.md5(t[i : i + length]).digest()] > 1:
+        for i, h in enumerate(own):
+            if seen[h] > 1 and (h in met or not first):
                 mask[i : i + length] = True
+            met.add(h)
         spans = int(mask[0]) + int((np.diff(mask.astype(int)) == 1).sum()) if len(t) else 0
         out.append((len(t), int(mask.sum()), spans, bytes(np.frombuffer(t, np.uint8)[~mask])))
     return out
 
 
-@pytest.mark.parametrize("group", [2, 512])
-def test_repeated_passages(spark, monkeypatch, group):
-    monkeypatch.setattr(suffix, "GROUP", group)
-    rng = random.Random(group)
+def passages(seed):
+    rng = random.Random(seed)
     prose = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
     passage, line, copy = prose(900), prose(150), prose(700)
     texts = [prose(300) + passage + prose(rng.randint(0, 500)) for _ in range(9)] + [(prose(100) + line) * 1 + prose(500) for _ in range(6)]
     texts += [copy] * 4 + [None, "", "short", "a" * 1500, "ab" * 700, prose(600) + copy[:405], passage[:399], passage[100:500]]
-    texts += [texts[0][:700] + "!" + texts[0][700:], prose(50) + "xyz " * 300]
+    return texts + [texts[0][:700] + "!" + texts[0][700:], prose(50) + "xyz " * 300]
+
+
+@pytest.mark.parametrize("group", [2, 512])
+def test_repeated_passages(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    texts = passages(group)
     got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.without_repeats(spark.createDataFrame(odd_rows(texts), ODD)).collect()}
     assert [got[i] for i in range(len(texts))] == removed(texts)
 
 
+def more_passages(seed):
+    rng = random.Random(seed)
+    prose = lambda n: "".join(rng.choice("efghß.,") for _ in range(n))
+    near = [prose(rng.choice([230, 260, 330, 390])) for _ in range(5)]
+    return passages(seed) + [prose(rng.randint(0, 200)) + rng.choice(near) + prose(rng.randint(0, 300)) + rng.choice(near) for _ in range(25)] + near + ["same words " * k for k in (30, 31, 90)]
+
+
+@pytest.mark.parametrize("group", [2, 512])
+def test_two_lengths_from_one_sort(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    texts = more_passages(group)
+    out = suffix.without_repeats(spark.createDataFrame(odd_rows(texts), ODD), windows=suffix.Windows(length=250, longer=400))
+    rows = {r.id: r for r in out.collect()}
+    short = [(rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, bytes(rows[i].kept)) for i in range(len(texts))]
+    long = [(rows[i].n_bytes, rows[i].longer_removed, rows[i].longer_spans, bytes(rows[i].longer_kept)) for i in range(len(texts))]
+    assert short == removed(texts, 250)
+    assert long == removed(texts, 400)
+
+
+@pytest.mark.parametrize("group", [2, 512])
+def test_first_copy_stays(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    texts = more_passages(group + 1)
+    out = suffix.without_repeats(spark.createDataFrame(odd_rows(texts), ODD), windows=suffix.Windows(length=250, first=True))
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == removed(texts, 250, first=True)
+
+
+def test_windows_are_checked():
+    for wrong in ({"length": 20}, {"length": 400, "longer": 250}, {"longer": 500, "first": True}):
+        with pytest.raises(ValueError):
+            suffix.Windows(**wrong)
+
+
 def test_repeated_passages_in_pieces(spark, monkeypatch):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefgh ") for _ in range(9000))

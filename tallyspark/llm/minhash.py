@@ -174,7 +174,8 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by the few pairs across groups, large ones block by block inside tasks.
 
     Null or empty texts and texts without words have n_shingles 0 and stay alone. A null id keeps a row with
-    null component_id and kept. Ids are unique; other columns are ignored. An empty table gives no rows.
+    null component_id and kept. Ids are unique; other columns are ignored, whatever their names. Very long texts are
+    hashed whole. An empty table gives no rows.
     """
     sig = cut_lineage(sketches(docs, id_col, text_col), "sketch")
     usable = sig.where("n > 0 and id is not null")

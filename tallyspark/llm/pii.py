@@ -6,9 +6,12 @@ size of that half; every round can be undone, so different values get different
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+KEY = "spark.tallyspark.pseudonymKey"
 ROUNDS = 8
 KINDS = ("email", "card", "phone", "ip", "ssn", "date", "secret")
 
@@ -129,6 +132,16 @@ def _pseudonym() -> str:
       else x.m end"""
 
 
+_drawn: dict[str, str] = {}
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's key in ``spark.tallyspark.pseudonymKey``; where it is unset, a random one of this application.
+
+    Pseudonyms of two runs are linked only if both were given the same key.
+    """
+    given = spark.conf.get(KEY, None)
+    return given or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_private") -> DataFrame:

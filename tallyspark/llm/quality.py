@@ -183,6 +183,15 @@ def _train(rows: pa.Table) -> pa.Table:
     return pa.table({"weights": pa.array([weights.tolist()], pa.list_(pa.float64()))})
 
 
+def drawn(rows: DataFrame, share: float) -> DataFrame:
+    """About ``share`` of the rows with a text, each drawn by its text and its place in the files.
+
+    Null ids, repeated ids and repeated texts are drawn row by row like any other; the same files give the same draw.
+    """
+    full = rows.where(F.octet_length("text") > 0).withColumn("row", F.monotonically_increasing_id())
+    return full.where(F.pmod(F.xxhash64("text", "row"), F.lit(1 << 30)) < int(share * (1 << 30))).drop("row")
+
+
 def _scorer(docs: DataFrame, id_col: str, text_col: str, train_rows: int) -> Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]]:
     """Train on ``docs``; the result takes texts and gives (from, to, p_junk, score) of one chunk after the other."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -204,8 +213,7 @@ def _scorer(docs: DataFrame, id_col: str, text_col: str, train_rows: int) -> Cal
                 part = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(1 - junk[code])], names=["id", "text", "target"])
                 yield from _featurise([part])
 
-    sample = rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.octet_length("text") > 0))
-    taught = sample.mapInArrow(target, "target double, dim array<int>, value array<float>")
+    taught = drawn(rows, share).mapInArrow(target, "target double, dim array<int>, value array<float>").limit(train_rows)
     learned = taught.groupBy(F.lit("all").alias("all")).applyInArrow(_train, "weights array<double>").first()
     weights = np.array(learned["weights"]) if learned else np.zeros(DIMENSIONS + 1)
 
@@ -224,8 +232,7 @@ def _scorer(docs: DataFrame, id_col: str, text_col: str, train_rows: int) -> Cal
 def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """id, p_junk (posterior of the rules), score (probability of good text) and kept (score >= 0.5).
 
-    ``train_rows`` bounds the expected number of documents the scorer is fitted on, taken by a hash of their id;
-    accuracies are estimated on all documents. Texts that are null, empty or without words get no votes and
+    The scorer is fitted on at most ``train_rows`` documents, drawn row by row; accuracies are estimated on all documents. Texts that are null, empty or without words get no votes and
     score 0.5, so they are kept. Repeated rows give a row each, null ids too; other columns are ignored; an empty
     table gives no rows.
     """
@@ -243,7 +250,8 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_junk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that ``quality_scores`` keeps, all columns as they are.
 
-    Every row is judged by its own text where it stands, so null ids and repeated ids need no join.
+    Every row is judged by its own text where it stands, so null ids and repeated ids need no join. Texts that are null,
+    empty or without words stay; columns may have any names; an empty table gives an empty one.
     """
     score = _scorer(docs, id_col, text_col, train_rows)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from tallyspark.llm.infill import fill_in_middle, restored
 from tallyspark.llm.minhash import minhash_groups
 from tallyspark.llm.nearest import build_index, nearest
 from tallyspark.llm.packing import packed_batches, word_pieces
-from tallyspark.llm.pii import pseudonymise
+from tallyspark.llm.pii import pseudonym_key, pseudonymise
 from tallyspark.llm.prefix_trie import conversation_trie
 from tallyspark.llm.quality import quality_scores
 from tallyspark.llm.suffix import PASSAGE, Windows, without_repeats
@@ -23,7 +22,6 @@ from tallyspark.llm.token_files import flat_token_blocks, named_counts
 from tallyspark.llm.vector_dedup import vector_groups
 from tallyspark.session import cut_lineage
 
-PSEUDONYM_KEY = "corpus"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -40,10 +38,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def vocabulary_path(name: str) -> str:
-    """Place of a published vocabulary file: the folder in TOKENIZER_DIR, else the installed package's."""
-    folder = os.environ.get("TOKENIZER_DIR")
-    if folder:
-        return f"{folder}/{name}"
+    """Place of a published vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -125,7 +120,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_pii_pseudonyms")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_documents(spark, sf_dir), PSEUDONYM_KEY).select("doc_id", "text", "n_private")
+    return pseudonymise(_documents(spark, sf_dir), pseudonym_key(spark)).select("doc_id", "text", "n_private")
 
 
 @query("op3_suffix_array_dedup")

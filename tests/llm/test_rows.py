@@ -174,6 +174,30 @@ def test_quality_on_held_out_labels(spark):
     assert not any(r.quality == 1 and not r.kept for r in rows)
 
 
+def test_training_sample_is_bounded(spark):
+    from tallyspark.llm import quality
+
+    rows = spark.range(6000).selectExpr("if(id % 2 = 0, null, id) doc_id", "if(id % 3 = 0, 'one hot text here', concat('text ', id)) text")
+    rows = rows.union(spark.createDataFrame([(5, None), (5, "")], "doc_id long, text string"))
+    named = rows.selectExpr("doc_id id", "cast(text as binary) text")
+    some = [(r.id, bytes(r.text)) for r in quality.drawn(named, 60 / 6002).collect()]
+    assert 25 < len(some) < 110 and 5 < sum(i is None for i, _ in some) < len(some) - 5 and sum(t == b"one hot text here" for _, t in some) < 0.7 * len(some)
+    assert quality.drawn(named, 1.0).count() == 6000
+    assert quality_scores(rows, train_rows=60).count() == 6002
+
+
+def test_pseudonym_key(spark):
+    from tallyspark.llm import pii
+
+    own = pii.pseudonym_key(spark)
+    assert len(own) == 64 and own == pii.pseudonym_key(spark)
+    spark.conf.set(pii.KEY, "given")
+    try:
+        assert pii.pseudonym_key(spark) == "given"
+    finally:
+        spark.conf.unset(pii.KEY)
+
+
 def test_quality_odd_rows(spark):
     rows = [(1, None, 2), (2, "", 3), (3, " \n", 4), (4, "ok", 5), (4, "ok", 5), (None, "A B", 6), (5, "w " * 30_000, 7)]
     out = quality_scores(spark.createDataFrame(rows, "doc_id long, text string, pattern int")).collect()

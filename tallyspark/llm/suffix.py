@@ -228,9 +228,12 @@ def _narrower(batches: Iterator[pa.RecordBatch], width: int, w: Windows) -> Iter
             )
 
 
-def suffix_order(parts: list[bytes], reach: int = LENGTH) -> np.ndarray:
+def suffix_order(parts: list[bytes], reach: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
     """Places of the joined parts in the order of their suffixes, compared up to ``reach`` bytes inside the part.
 
+    With ``wanted``, the number of places asked for at the start of each part, places behind are left out as far as
+    no wanted one follows from them.
+
     A suffix smaller than its successor is sorted directly. Any other suffix starts a bucket's first half and
     follows from its successor: the buckets are scanned in byte order, and what stands before a suffix already
     in place is appended to its own bucket. Equal bytes in a row are resolved inside their bucket.
@@ -249,7 +252,13 @@ def suffix_order(parts: list[bytes], reach: int = LENGTH) -> np.ndarray:
     decider = np.flatnonzero(differs)[np.searchsorted(np.flatnonzero(differs), np.arange(n))]
     smaller = ~last[decider] & (text[decider] < follow[decider])
     end_of = np.repeat(ends, sizes)
-    direct = np.flatnonzero(smaller)
+    if wanted is None:
+        needed = np.ones(n, dtype=bool)
+    else:
+        sure = np.append(np.flatnonzero(smaller), n)
+        stop = np.minimum(sure[np.searchsorted(sure, ends - sizes + wanted - 1)], ends - 1)
+        needed = np.arange(n) <= np.repeat(stop, sizes)
+    direct = np.flatnonzero(smaller & needed)
     stops = np.minimum(direct + reach, end_of[direct])
     keys = [data[a:b] for a, b in zip(direct.tolist(), stops.tolist())]
     direct = direct[sorted(range(len(keys)), key=keys.__getitem__)]
@@ -269,9 +278,9 @@ def suffix_order(parts: list[bytes], reach: int = LENGTH) -> np.ndarray:
             waiting[of[run[0]]].append(before[run])
 
     out = []
-    closing = ends - 1
+    closing = ends[needed[ends - 1]] - 1
     order = np.argsort(text[closing], kind="stable")
-    for place in np.split(closing[order], _runs(text[closing[order]])[1:]):
+    for place in np.split(closing[order], _runs(text[closing[order]])[1:]) if len(closing) else []:
         waiting[text[place[0]]].append(place)
     for c in range(256):
         k = 0
@@ -285,7 +294,7 @@ def suffix_order(parts: list[bytes], reach: int = LENGTH) -> np.ndarray:
             out.append(placed)
             spread(placed, c + 1)
         waiting[c] = []
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 def equal_ahead(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -313,7 +322,7 @@ def _sort_groups(units: dict[str, np.ndarray], held: list[bytes], w: Windows) ->
     sizes = np.array([len(b) for b in held])
     row = np.repeat(np.arange(len(held)), sizes)
     base = np.cumsum(sizes) - sizes
-    order = suffix_order(held, w.reach)
+    order = suffix_order(held, w.reach, n)
     order = order[order - base[row[order]] < n[row[order]]]
     row, place = row[order], order - base[row[order]]
     same = equal_ahead(text, order[:-1], order[1:], w.length)
@@ -435,61 +444,65 @@ def _units(rows: DataFrame) -> DataFrame:
     return cut_lineage(held.select("core", "seg", "m", "p.id", "p.at", "p.off", "rel", "n", "size"), "stretch")
 
 
-def _whole_characters(text: bytes, gone: np.ndarray) -> np.ndarray:
-    """``gone`` and the other bytes of every UTF-8 character that has lost one."""
-    data = np.frombuffer(text, dtype=np.uint8)
+def _whole_characters(data: np.ndarray, starts: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone`` and the other bytes of every UTF-8 character that has lost one. Texts begin at ``starts``."""
     at = np.arange(len(data))
-    lead = np.maximum.accumulate(np.where(data >> 6 == 2, 0, at))
+    head = data >> 6 != 2
+    head[starts[starts < len(data)]] = True
+    lead = np.maximum.accumulate(np.where(head, at, 0))
     size = 1 + (data >= 0xC0).astype(np.int64) + (data >= 0xE0) + (data >= 0xF0)
     owner = np.where(at - lead < size[lead], lead, at)
     return (np.bincount(owner, weights=gone, minlength=len(data)) > 0)[owner]
 
 
-def _covered(n: int, runs: list[dict], w: Windows, kind: str) -> np.ndarray | None:
-    """Bytes of a text of ``n`` bytes that repeated windows of a kind cover; None if there are none."""
-    length = w.longer if kind == "longer" else w.length
-    held = [(r["at"] + m["off"], *(m[f"{kind}{k}"] & ~(m[f"first{k}"] if r["lead"] and w.first else 0) for k in range(WORDS))) for r in runs for m in r["marks"] or ()]
-    whole = any(r["whole"] for r in runs) and n >= length
-    if not whole and not any(any(h[1:]) for h in held):
-        return None
-    edge = np.zeros(n + 1, dtype=np.int64)
-    if held:
-        words = np.array([h[1:] for h in held], dtype="<i8").view(np.uint8).reshape(len(held), -1)
-        row, bit = np.nonzero(np.unpackbits(words, axis=1, bitorder="little"))
-        start = np.array([h[0] for h in held])[row] + bit
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + length, -1)
-    return np.ones(n, dtype=bool) if whole else np.cumsum(edge)[:-1] > 0
+def _covered(sizes: np.ndarray, owner: np.ndarray, at: np.ndarray, masks: np.ndarray, whole: np.ndarray, length: int) -> np.ndarray:
+    """Bytes of the joined texts that the set windows cover, and all bytes of the texts that are ``whole`` repeats."""
+    starts = np.cumsum(sizes) - sizes
+    row, bit = np.nonzero(np.unpackbits(np.ascontiguousarray(masks).view(np.uint8), axis=1, bitorder="little")) if len(masks) else (np.zeros(0, np.int64),) * 2
+    first = starts[owner[row]] + at[row] + bit
+    n = int(sizes.sum())
+    edge = np.bincount(first, minlength=n + 1) - np.bincount(first + length, minlength=n + 1)
+    return (np.cumsum(edge)[:n] > 0) | np.repeat(whole & (sizes >= length), sizes)
 
 
 def _erase(batches: Iterator[pa.RecordBatch], w: Windows, characters: bool = False) -> Iterator[pa.RecordBatch]:
-    kinds = [k for k in w.kinds if k != "first"]
+    """Rows (id, text, whole, marks: list of (at, masks)) into what is left of each text."""
     for batch in batches:
         texts = as_bytes(batch.column(1))
-        out = {k: ([], [], []) for k in kinds}
-        for text, runs in zip(texts, batch.column(2).to_pylist()):
-            for kind, (removed, spans, kept) in out.items():
-                gone = _covered(len(text), runs, w, kind) if runs else None
-                if gone is None:
-                    removed.append(0)
-                    spans.append(0)
-                    kept.append(text)
+        whole = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        held = batch.column(3)
+        offsets = np.concatenate([[0], np.cumsum(held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+        marks = held.flatten()
+        at, words = marks.field("at").to_numpy(), {c: marks.field(c).to_numpy() for c in w.masks}
+        for lo, hi in chunks(texts):
+            data = np.frombuffer(b"".join(texts[lo:hi]), dtype=np.uint8)
+            sizes = np.array([len(t) for t in texts[lo:hi]])
+            a, b = offsets[lo], offsets[hi]
+            owner = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
+            columns = [batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64))]
+            for kind, length in (("base", w.length), ("longer", w.longer)):
+                if length is None:
                     continue
+                masks = np.stack([words[f"{kind}{k}"][a:b] for k in range(WORDS)], axis=1)
+                gone = _covered(sizes, owner, at[a:b], masks, whole[lo:hi], length)
+                starts = np.cumsum(sizes) - sizes
                 if characters and kind == "base":
-                    gone = _whole_characters(text, gone)
-                removed.append(int(gone.sum()))
-                spans.append(int(gone[0]) + int((np.diff(gone.astype(np.int8)) == 1).sum()))
-                kept.append(np.frombuffer(text, dtype=np.uint8)[~gone].tobytes())
-        columns = [pa.array(c, kind) for k in kinds for c, kind in zip(out[k], (pa.int64(), pa.int64(), pa.binary()))]
-        names = [f"{'longer_' if k == 'longer' else ''}{c}" for k in kinds for c in ("removed", "spans", "kept")]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), *columns], names=["id", "n_bytes", *names])
+                    gone = _whole_characters(data, starts, gone)
+                ends = np.concatenate([[0], np.cumsum(gone)])
+                new = gone & ~np.concatenate([[False], gone[:-1]])
+                new[starts[sizes > 0]] = gone[starts[sizes > 0]]
+                runs = np.concatenate([[0], np.cumsum(new)])
+                kept, cuts = data[~gone].tobytes(), starts - ends[starts]
+                left = sizes - (ends[starts + sizes] - ends[starts])
+                columns += [pa.array(sizes - left), pa.array(runs[starts + sizes] - runs[starts]), pa.array([kept[x : x + k] for x, k in zip(cuts.tolist(), left.tolist())], pa.binary())]
+            names = [f"{p}{c}" for p in ("", "longer_")[: 1 + (w.longer is not None)] for c in ("removed", "spans", "kept")]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", *names])
 
 
 def repeated_windows(docs: DataFrame, w: Windows, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, lead, whole, marks): per document and span of windows, which of them also start elsewhere in the table.
-
-    The windows are the set bits of the masks in ``marks``, counted from at + off. ``lead`` marks the first document and
-    place that holds the span. ``whole`` is a text that stands elsewhere as a whole (with ``w.first``: earlier).
+    """(id, whole, marks): per document and span, the windows that also start elsewhere in the table (with ``w.first``:
+    earlier). They are the set bits of the masks in ``marks``, counted from its ``at``. ``whole`` is a text that stands
+    elsewhere (earlier) as a whole.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     base = cut_lineage(texts.where(F.octet_length("text") >= w.length).select("id", F.unhex(F.sha2("text", 256)).alias("sha")), "texts")
@@ -513,8 +526,10 @@ def repeated_windows(docs: DataFrame, w: Windows, id_col: str = "doc_id", text_c
     marked = _own_first(cells.select("a", "b", "p", "core", "seg", "off", F.col("id").alias("pid"), F.col("at").alias("pat")).join(masks, ["core", "seg"]), "pid", "pat", w)
     marked = cut_lineage(marked.groupBy("a", "b").agg(F.first("p").alias("p"), F.collect_list(F.struct("off", *w.masks)).alias("marks")), "marked")  # read from files, so a join key with most rows can be split
     runs = spans.select("id", "at", "a", "b").join(marked, ["a", "b"])
-    runs = runs.select("id", "at", ((F.col("id") == F.col("p.id")) & (F.col("at") == F.col("p.at"))).alias("lead"), F.lit(False).alias("whole"), "marks")
-    copies = base.join(same.where("copies > 1"), "sha").where("id <> first" if w.first else "true").select("id", F.lit(0).cast("long").alias("at"), F.lit(False).alias("lead"), F.lit(True).alias("whole"))
+    lead = "(id = p.id AND at = p.at)" if w.first else "false"
+    bits = ", ".join(f"'{c}', " + (f"x.{c} & ~if({lead}, x.first{c[-1]}, 0L)" if w.first and c.startswith("base") else f"x.{c}") for c in w.masks)
+    runs = runs.select("id", F.lit(False).alias("whole"), F.expr(f"transform(marks, x -> named_struct('at', at + x.off, {bits}))").alias("marks"))
+    copies = base.join(same.where("copies > 1"), "sha").where("id <> first" if w.first else "true").select("id", F.lit(True).alias("whole"))
     return runs.unionByName(copies, allowMissingColumns=True)
 
 
@@ -532,9 +547,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     character that loses a byte loses all of them (not in the columns for ``windows.longer``); bytes that are no UTF-8
     count singly.
     """
-    runs = repeated_windows(docs, windows, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("at", "lead", "whole", "marks")).alias("runs"))
+    runs = repeated_windows(docs, windows, id_col, text_col).groupBy("id").agg(F.bool_or("whole").alias("whole"), F.flatten(F.collect_list("marks")).alias("marks"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    joined = texts.join(runs, "id", "left").select("id", "text", "runs")
+    joined = texts.join(runs, "id", "left").select("id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "marks")
     longer = ", longer_removed long, longer_spans long, longer_kept binary" if windows.longer is not None else ""
     out = joined.mapInArrow(partial(_erase, w=windows, characters=characters), f"id long, n_bytes long, removed long, spans long, kept binary{longer}")
     return out.withColumnsRenamed({"removed": "n_removed", "spans": "n_spans"})

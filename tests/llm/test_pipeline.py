@@ -155,5 +155,6 @@ def test_replacement_characters_stay(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.text for r in pipeline.repeated_passages(spark, docs, SF).collect()}
     want = {i: kept.decode("utf-8", "ignore") for i, (*_, kept) in enumerate(removed(texts, 250, first=True))}
+    assert want.pop(5) == "p😂q" and got.pop(5) == "pq"  # two halves left over are no character
     assert got == want and want[0] == texts[0] and want[1].startswith("own \ufffd words ") and want[1].endswith("\ufffd")
     assert any(kept.decode("utf-8", "ignore").encode() != kept for *_, kept in removed(texts, 250, first=True))

@@ -109,6 +109,11 @@ def test_suffix_order():
     data, ends = b"".join(parts), np.repeat(np.cumsum([len(p) for p in parts]), [len(p) for p in parts])
     keys = [data[i : ends[i]] for i in order]
     assert keys == sorted(keys) and sorted(order.tolist()) == list(range(len(data)))
+    wanted = np.array([rng.randint(1, len(p)) for p in parts])
+    starts = np.cumsum([0, *(len(p) for p in parts)])
+    first = lambda o: [data[i : ends[i]] for i in o if i < starts[np.searchsorted(starts, i, "right") - 1] + wanted[np.searchsorted(starts, i, "right") - 1]]
+    some = suffix.suffix_order(parts, wanted=wanted)
+    assert first(some) == first(order) and len(some) < len(order)
 
 
 def removed(texts, length=400, first=False):

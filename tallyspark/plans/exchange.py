@@ -122,10 +122,13 @@ def _(spark, d):
 
 @query(
     "q6_canonical_json",
-    """SELECT p_partkey, sha256('{"a":' || p_size || ',"b":' || (p_partkey % 7) || ',"key":' || p_partkey || '}') AS sha256 FROM part""",
+    r"""SELECT p_partkey, sha256('{"a":{"x":true,"y":[' || p_size || ',"\u00e9",null,{"n":"' || p_size || '"}]},"b":"' || p_brand || '\"\\","key":' || p_partkey
+        || CASE p_partkey % 3 WHEN 0 THEN ',"z":1.5}' WHEN 1 THEN ',"z":"1.5"}' ELSE '}' END) AS sha256 FROM part""",
 )
 def _(spark, d):
-    text = F.concat(F.lit('{ "key": '), "p_partkey", F.lit(', "a": '), "p_size", F.lit(', "b": '), F.col("p_partkey") % 7, F.lit(" }"))
+    z = F.when(F.col("p_partkey") % 3 == 0, '"z": 1.50, ').when(F.col("p_partkey") % 3 == 1, '"z":"1.5",').otherwise("")
+    inner = F.concat(F.lit('{"y": ['), "p_size", F.lit(', "é" , null, {"n": "'), "p_size", F.lit('"}], "x":true}'))
+    text = F.concat(F.lit("{ "), z, F.lit('"key": '), "p_partkey", F.lit(', "b":"'), "p_brand", F.lit(r'\"\\", "a": '), inner, F.lit(" }"))
     return results.canonical_json_hash(table(spark, d, "part").select("p_partkey", text.alias("v")), "p_partkey", "v")
 
 

@@ -268,6 +268,13 @@ view(
         JOIN (SELECT match_id AS lm_, entity AS le_, w3, w7, w14 FROM load_r) l ON lm_ = f.match_id AND le_ = f.entity
         JOIN (SELECT pool AS mp_, entity AS me_, match_date AS md_, venue AS mv_, * EXCLUDE (pool, entity, match_date, venue) FROM meta_entry) q
           ON mp_ = f.pool AND me_ = f.entity AND md_ = f.match_date AND mv_ = f.venue""",
+    material=True,
+)
+view(
+    "full_pair",
+    """SELECT o.match_id, any_value(s) FILTER (s.entity = o.p1) AS a, any_value(s) FILTER (s.entity = o.p2) AS b
+       FROM oriented_rb o JOIN full_side s ON s.match_id = o.match_id GROUP BY o.match_id""",
+    material=True,
 )
 _FLAG = lambda c: f"CASE WHEN {c} THEN 1.0 ELSE 0.0 END"
 FULL_SQL = {
@@ -332,7 +339,8 @@ view(
     "full_points",
     """SELECT o.match_id, o.pool, o.best_of, a.serve AS sv1, b.serve AS sv2, a.ret AS rt1, b.ret AS rt2, a.shrunk AS sh1, b.shrunk AS sh2,
        a.surface_serve AS ls1, b.surface_serve AS ls2, a.surface_return AS lr1, b.surface_return AS lr2 FROM oriented_rb o
-       JOIN full_side a ON a.match_id = o.match_id AND a.entity = o.p1 JOIN full_side b ON b.match_id = o.match_id AND b.entity = o.p2""",
+       JOIN full_pair x ON x.match_id = o.match_id""",
+    material=True,
 )
 view(
     "full_logits",
@@ -347,7 +355,7 @@ def full_query() -> str:
     cols = ", ".join(f"{r6(FULL_SQL[c])} AS {c}" for c in ft.FULL if c in FULL_SQL)
     return f"""SELECT o.match_id, o.label, {cols}, {r6('structural_match_logit')} AS structural_match_logit,
       {r6('latent_exact_match_logit')} AS latent_exact_match_logit FROM oriented_rb o
-      JOIN full_side a ON a.match_id = o.match_id AND a.entity = o.p1 JOIN full_side b ON b.match_id = o.match_id AND b.entity = o.p2
+      JOIN full_pair x ON x.match_id = o.match_id
       JOIN (SELECT match_id AS hm_, lo, lw, hw, slw, shw FROM h2h) h ON hm_ = o.match_id JOIN full_logits g ON g.match_id = o.match_id
       LEFT JOIN full_common c ON c.match_id = o.match_id"""
 

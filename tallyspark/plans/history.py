@@ -444,10 +444,9 @@ def _(spark, d):
 
 @query(
     "j1_attach_both_states",
-    f"""WITH s AS (SELECT match_id, entity, count(*) OVER {PRIOR} AS n, coalesce(sum(won) OVER {PRIOR}, 0) AS w FROM rparts)
-        SELECT m.match_id, CAST(a.n AS BIGINT) AS n_1, CAST(b.n AS BIGINT) AS n_2, CAST(a.w AS BIGINT) AS wins_1,
-        CAST(b.w AS BIGINT) AS wins_2 FROM matches m JOIN s a ON a.match_id = m.match_id AND a.entity = m.winner
-        JOIN s b ON b.match_id = m.match_id AND b.entity = m.loser""",
+    f"""WITH s AS MATERIALIZED (SELECT match_id, won, count(*) OVER {PRIOR} AS n, coalesce(sum(won) OVER {PRIOR}, 0) AS w FROM rparts)
+        SELECT match_id, CAST(max(n) FILTER (won = 1) AS BIGINT) AS n_1, CAST(max(n) FILTER (won = 0) AS BIGINT) AS n_2,
+        CAST(max(w) FILTER (won = 1) AS BIGINT) AS wins_1, CAST(max(w) FILTER (won = 0) AS BIGINT) AS wins_2 FROM s GROUP BY match_id""",
 )
 def _(spark, d):
     p = round_parts(spark, d)

@@ -242,7 +242,7 @@ LOGIT_SQL = "ln({0} / (1 - {0}))"
 @query(
     "l7_calibration",
     "WITH fr AS (SELECT * FROM mrows WHERE grp = 'F'), orows AS (SELECT * FROM mrows WHERE grp = 'O'), "
-    + ", ".join([*newton.calibration_ctes("f", "fr", LOGIT_SQL.format("p"), steps=9), *newton.calibration_ctes("o", "orows", LOGIT_SQL.format("p"), steps=9)])
+    + ", ".join([*newton.calibration_ctes("f", "fr", LOGIT_SQL.format("p"), steps=12, damped=True), *newton.calibration_ctes("o", "orows", LOGIT_SQL.format("p"), steps=12, damped=True)])
     + f" SELECT 'F' AS grp, {s5('slope')} AS slope, {s5('shift')} AS intercept FROM f_c UNION ALL SELECT 'O', {s5('slope')}, {s5('shift')} FROM o_c",
 )
 def _(spark, d):
@@ -256,7 +256,7 @@ def _(spark, d):
 @query(
     "l8_calibration_diagnostic",
     "WITH "
-    + ", ".join([*newton.calibration_ctes("a", "mrows", LOGIT_SQL.format("p"), 0.0, steps=9), *newton.calibration_ctes("b", "mrows", LOGIT_SQL.format("p2"), 0.0, steps=9)])
+    + ", ".join([*newton.calibration_ctes("a", "mrows", LOGIT_SQL.format("p"), 0.0, steps=12, damped=True), *newton.calibration_ctes("b", "mrows", LOGIT_SQL.format("p2"), 0.0, steps=12, damped=True)])
     + f" SELECT 'a' AS model, {s5('slope')} AS slope, {s5('shift')} AS intercept FROM a_c UNION ALL SELECT 'b', {s5('slope')}, {s5('shift')} FROM b_c",
 )
 def _(spark, d):

@@ -47,16 +47,39 @@ def model_from(prefix: str, steps: int = STEPS) -> str:
     return f"{prefix}_st, {prefix}_b{steps}"
 
 
-def calibration_ctes(prefix: str, source: str, raw: str, pull: float = 0.002, label: str = "label", group: str = "0.0", steps: int = STEPS) -> list[str]:
-    """l2, slope, shift of the last CTE ``<prefix>_c``, one row per value of ``group``; the slope is pulled towards one."""
-    out = [f"{prefix}_z AS MATERIALIZED (SELECT {group} AS l2, {raw} AS z, CAST({label} AS DOUBLE) AS y FROM {source})", f"{prefix}_k0 AS MATERIALIZED (SELECT DISTINCT l2, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {prefix}_z)"]
+HALVINGS = [0.0] + [2.0**-i for i in range(14)]
+
+
+def calibration_ctes(prefix: str, source: str, raw: str, pull: float = 0.002, label: str = "label", group: str = "0.0", steps: int = STEPS, damped: bool = False) -> list[str]:
+    """l2, slope, shift of the last CTE ``<prefix>_c``, one row per value of ``group``; the slope is pulled towards one.
+
+    With ``damped`` a step is halved until the loss does not rise: the losses at all halvings come from one aggregate, the
+    largest good one is taken. Fits of several folds go without, as their text would be too deep for one statement.
+    """
+    out = [
+        f"{prefix}_z AS MATERIALIZED (SELECT l2, z, y, CAST(count(*) AS DOUBLE) AS k FROM (SELECT {group} AS l2, {raw} AS z, CAST({label} AS DOUBLE) AS y FROM {source}) GROUP BY ALL)",
+        f"{prefix}_k0 AS MATERIALIZED (SELECT DISTINCT l2, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {prefix}_z)",
+    ]
+    mean = lambda x: f"sum(k * {x}) / sum(k)"
+    loss = "(greatest(u, 0) + ln(1 + exp(-abs(u))) - u * y)"
     for t in range(steps):
-        out.append(f"{prefix}_q{t} AS (SELECT l2, z, y, a, b, 1 / (1 + exp(-(a * z + b))) AS p FROM {prefix}_z JOIN {prefix}_k{t} USING (l2))")
+        out.append(f"{prefix}_q{t} AS (SELECT l2, z, y, k, a, b, 1 / (1 + exp(-(a * z + b))) AS p FROM {prefix}_z JOIN {prefix}_k{t} USING (l2))")
+        out.append(
+            f"{prefix}_s{t} AS MATERIALIZED (SELECT l2, any_value(a) AS a, any_value(b) AS b, {mean('(p - y) * z')} + {pull} * (any_value(a) - 1) AS ga, {mean('(p - y)')} AS gb, "
+            f"{mean('p * (1 - p) * z * z')} + {pull} AS haa, {mean('p * (1 - p) * z')} AS hab, {mean('p * (1 - p)')} + 1e-12 AS hbb FROM {prefix}_q{t} GROUP BY l2)"
+        )
+        out.append(f"{prefix}_d{t} AS {'MATERIALIZED ' * damped}(SELECT l2, a, b, (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS da, (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS db FROM {prefix}_s{t})")
+        if not damped:
+            out.append(f"{prefix}_k{t + 1} AS MATERIALIZED (SELECT l2, a - da AS a, b - db AS b FROM {prefix}_d{t})")
+            continue
+        out.append(
+            f"{prefix}_h{t} AS MATERIALIZED (SELECT l2, h, {mean(loss)} + 0.5 * {pull} * pow(any_value(a - h * da) - 1, 2) AS o FROM "
+            f"(SELECT *, (a - h * da) * z + (b - h * db) AS u FROM {prefix}_z JOIN {prefix}_d{t} USING (l2), (SELECT unnest({HALVINGS})::DOUBLE AS h)) GROUP BY l2, h)"
+        )
         out.append(
-            f"{prefix}_s{t} AS MATERIALIZED (SELECT l2, any_value(a) AS a, any_value(b) AS b, avg((p - y) * z) + {pull} * (any_value(a) - 1) AS ga, avg(p - y) AS gb, "
-            f"avg(p * (1 - p) * z * z) + {pull} AS haa, avg(p * (1 - p) * z) AS hab, avg(p * (1 - p)) + 1e-12 AS hbb FROM {prefix}_q{t} GROUP BY l2)"
+            f"{prefix}_k{t + 1} AS MATERIALIZED (SELECT l2, a - h * da AS a, b - h * db AS b FROM {prefix}_d{t} JOIN (SELECT x.l2, coalesce(max(x.h) FILTER (x.o <= y.o + 1e-15), {HALVINGS[-1]}) AS h "
+            f"FROM {prefix}_h{t} x JOIN {prefix}_h{t} y ON x.l2 = y.l2 AND y.h = 0 WHERE x.h > 0 GROUP BY x.l2) USING (l2))"
         )
-        out.append(f"{prefix}_k{t + 1} AS MATERIALIZED (SELECT l2, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM {prefix}_s{t})")
     out.append(f"{prefix}_c AS MATERIALIZED (SELECT l2, round(a, 6) AS slope, round(b, 6) AS shift FROM {prefix}_k{steps})")
     return out
 

@@ -72,8 +72,14 @@ FROM customer""",
 }
 
 
-def view(name: str, sql: str) -> None:
+MATERIAL: set[str] = set()
+
+
+def view(name: str, sql: str, material: bool = False) -> None:
+    """A fixture view; a ``material`` one is computed once however often it is read."""
     VIEWS[name] = sql
+    if material:
+        MATERIAL.add(name)
 
 
 def _needs(sql: str, seen: list[str]) -> None:
@@ -97,7 +103,7 @@ def complete(sql: str, recursive: bool = False) -> str:
     if not used and not extra:
         return body
     word = "WITH RECURSIVE " if recursive else "WITH "
-    heads = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in used)
+    heads = ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in MATERIAL)}({VIEWS[n]})" for n in used)
     if extra:
         return word + (heads + ",\n" if heads else "") + extra
     return word + heads + "\n" + body

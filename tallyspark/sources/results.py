@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import csv
+import json
 from collections import defaultdict
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,8 +187,8 @@ def _combined(place: str, item: Column) -> Column:
 def fingerprints(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """Number of files, snapshot hash of paths and sizes (16 hex digits), and a hash of paths and contents.
 
-    Files are known by their path below ``path``, whatever their size; each file is hashed where it is read and only
-    its hash moves on. Hashes are combined in path order within 4096 groups given by the path's own hash, then the
+    Files are known by their path below ``path``; each file, of 2 GB at most, is hashed where it is read and only its
+    hash moves on. Hashes are combined in path order within 4096 groups given by the path's own hash, then the
     groups are combined in order: no step holds more than its share of the files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
@@ -212,9 +214,24 @@ def row_fingerprint(df: DataFrame) -> DataFrame:
     return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor("h").alias("xor"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("total"))
 
 
+def _canonical(texts: pd.Series) -> pd.Series:
+    """JSON texts with sorted keys at every depth and no blanks; null where a text is no JSON."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one, na_action="ignore")
+
+
 def canonical_json_hash(df: DataFrame, key: str, value: str) -> DataFrame:
-    """SHA-256 of each row's JSON object with its keys sorted and no blanks; values keep their own text."""
-    entries = F.array_sort(F.map_entries(F.from_json(value, "map<string,string>")))
-    pair = lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.when(e["value"].isNull(), "null").otherwise(e["value"]))
-    text = F.concat(F.lit("{"), F.array_join(F.transform(entries, pair), ","), F.lit("}"))
-    return df.select(key, F.sha2(text, 256).alias("sha256"))
+    """SHA-256 of each row's JSON value in one canonical form; null where the text is null or no JSON.
+
+    Keys are sorted at every depth (of repeated ones the last counts), arrays keep their order, strings stay strings and
+    other than ASCII is escaped, numbers have their shortest form. Spark's own JSON writer prints numbers and letters in
+    another way, so a small Arrow-batched function states the form.
+    """
+    form = F.pandas_udf(_canonical, "string")
+    return df.select(key, F.sha2(form(F.col(value)), 256).alias("sha256"))

@@ -8,6 +8,10 @@ give every rating, ratings give every change. A match is final once its predeces
 sweeps end at exactly the sequential result, and since one change moves later ones only a little
 they get there long before the longest chain is walked. Each sweep is two shuffles of narrow rows;
 no task holds a pool, an entity or a batch as a whole.
+
+A match can move only if a match of its pool in the same batch or before moves. So everything ahead of a pool's first
+moving batch is settled: it leaves the sweeps, and its sums stay with the entities as what they bring along. The same
+sums let a solution start in the middle of a history (``carry``), which is how late results are taken in.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.prob import expected_score
 from tallyspark.operators.prefix import CHUNK, prior_totals, sequence_rows
-from tallyspark.operators.state import ENTITY, ENTITY_SURFACE, counts_and_rest, rating_deviation
+from tallyspark.operators.state import ENTITY, ENTITY_SURFACE, counts_and_rest, rating_deviation, rest_days
 from tallyspark.session import cut_lineage
 
 START = 1500.0
@@ -94,9 +98,21 @@ def _running(rows: DataFrame, value: Column, split: bool) -> DataFrame:
     )
 
 
-def fold_edges(parts: DataFrame, spec: RatingSpec) -> tuple[DataFrame, bool]:
+SIDE = ("entity", "won", "seq", "n", "surface_n", "chunk", "base_o", "base_s")
+CARRIED = ("matches", "last_date", "overall", *SURFACES, *[f"n_{s}" for s in SURFACES])
+
+
+def _on(prefix: str) -> Column:
+    """The column named after the row's surface."""
+    return F.coalesce(*[F.when(F.col("surface") == s, F.col(f"{prefix}{s}")) for s in SURFACES])
+
+
+def fold_edges(parts: DataFrame, spec: RatingSpec, carry: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """Matches with both sides and everything about an update that does not depend on ratings.
 
+    ``carry`` has the CARRIED columns of entities that played before the first of these matches: counts, last date,
+    and ratings overall and per surface. Entities without a row start anew.
+
     Counts, deviation and rest are taken at the update, i.e. after earlier matches of the same
     batch: such matches raise the counts and bring the rest to zero days. Also tells whether some
     entity is long enough to be cut into chunks.
@@ -109,19 +125,27 @@ def fold_edges(parts: DataFrame, spec: RatingSpec) -> tuple[DataFrame, bool]:
         rows = rows.join(rest, [*ENTITY, "batch_no"]).withColumn(
             "idle", F.when(F.col("seq") > F.col("seq_before") + 1, F.lit(0.0)).otherwise(F.col("days_rest"))
         )
+    if carry is not None:
+        rows = rows.join(carry.select(*ENTITY, *CARRIED), list(ENTITY), "left")
+        if spec.deviation:
+            gap = F.when(F.col("last_date").isNotNull(), F.datediff("match_date", "last_date").cast("double"))
+            rows = rows.withColumn("idle", F.when((F.col("seq") == 1) | ((F.col("seq_before") == 0) & (F.col("idle") > 0)), rest_days(gap, 21.0, 90.0)).otherwise(F.col("idle")))
+        rows = rows.withColumns({"n": F.col("n") + F.coalesce("matches", F.lit(0)), "more": F.coalesce(_on("n_"), F.lit(0))})
+        rows = rows.withColumns({"base_o": F.coalesce(F.col("overall") - START, F.lit(0.0)), "base_s": F.coalesce(_on("") - START, F.lit(0.0))}).drop(*CARRIED)
+    else:
+        rows = rows.withColumns({"more": F.lit(0), "base_o": F.lit(0.0), "base_s": F.lit(0.0)})
     rows = cut_lineage(rows.drop("seq_before", "days_rest"))
     longest, strange = rows.agg(F.max("chunk"), F.count_if(~F.coalesce(F.col("surface").isin(*SURFACES), F.lit(False)))).first()
     if strange:
         raise ValueError(f"{strange} sides on a surface other than {', '.join(SURFACES)}")
     split = bool(longest)
-    rows = _running(rows, F.lit(1.0), split).withColumn("surface_n", F.col("_own"))
+    rows = _running(rows, F.lit(1.0), split).withColumn("surface_n", F.col("_own") + F.col("more"))
     pick = [F.min("n").alias("_fewer")]
     rd_sum = idle = None
     if spec.deviation:
         pick += [F.sum(rating_deviation(F.col("n"))).alias("_rd_sum"), F.max("idle").alias("_max_idle")]
         rd_sum, idle = F.col("_rd_sum"), F.col("_max_idle")
-    sides = F.collect_list(F.struct("entity", "won", "seq", "n", "surface_n", "chunk"))
-    per = rows.groupBy("pool", "match_id", "surface", "batch_no", "best_of").agg(sides.alias("sides"), *pick)
+    per = rows.groupBy("pool", "match_id", "surface", "batch_no", "best_of").agg(F.collect_list(F.struct(*SIDE)).alias("sides"), *pick)
     k = step_size(spec, F.col("_fewer"), F.col("best_of") == 5, rd_sum, idle)
     edges = per.select("pool", "match_id", "surface", "batch_no", "sides", k.alias("k"), (0.5 * k).alias("delta"))
     return edges, split
@@ -131,8 +155,8 @@ def _sweep(m: DataFrame, spec: RatingSpec, split: bool) -> DataFrame:
     rows = m.select("pool", "match_id", "surface", "batch_no", "k", "delta", F.inline("sides"))
     won = F.col("won") == 1
     rated = _running(rows, F.when(won, F.col("delta")).otherwise(-F.col("delta")), split)
-    overall = START + spec.overall_step * F.col("_all")
-    surface = START + spec.surface_step * F.col("_own")
+    overall = START + F.col("base_o") + spec.overall_step * F.col("_all")
+    surface = START + F.col("base_s") + spec.surface_step * F.col("_own")
     rated = rated.select(
         *rows.columns,
         overall.alias("_o"),
@@ -143,7 +167,7 @@ def _sweep(m: DataFrame, spec: RatingSpec, split: bool) -> DataFrame:
     per = rated.groupBy("match_id").agg(
         *[F.first(c).alias(c) for c in ("pool", "surface", "batch_no", "k")],
         F.first("delta").alias("old"),
-        F.collect_list(F.struct("entity", "won", "seq", "n", "surface_n", "chunk")).alias("sides"),
+        F.collect_list(F.struct(*SIDE)).alias("sides"),
         expected_score(side("_b", True), side("_b", False)).alias("expected"),
         side("_o", True).alias("overall_w"),
         side("_o", False).alias("overall_l"),
@@ -153,30 +177,56 @@ def _sweep(m: DataFrame, spec: RatingSpec, split: bool) -> DataFrame:
     return per.select("*", (F.col("k") * (1.0 - F.col("expected"))).alias("delta"))
 
 
+def _retired(moving: DataFrame, settled: DataFrame, spec: RatingSpec) -> DataFrame:
+    """``moving`` with the changes of ``settled``, which come before, in what its entities bring along."""
+    d = {s: F.sum(F.when(F.col("surface") == s, F.col("d_surface"))) for s in SURFACES}
+    totals = rating_changes(settled, spec).groupBy(*ENTITY).agg(F.sum("d_overall").alias("_to"), *[c.alias(f"_t{s}") for s, c in d.items()])
+    keep = [c for c in moving.columns if c != "sides"]
+    rows = moving.select(*keep, F.inline("sides")).join(totals, list(ENTITY), "left")
+    rows = rows.withColumns({"base_o": F.col("base_o") + F.coalesce("_to", F.lit(0.0)), "base_s": F.col("base_s") + F.coalesce(_on("_t"), F.lit(0.0))})
+    return rows.groupBy("match_id").agg(*[F.first(c).alias(c) for c in keep if c != "match_id"], F.collect_list(F.struct(*SIDE)).alias("sides")).select(*moving.columns)
+
+
 def solve_ratings(
-    parts: DataFrame, spec: RatingSpec, tolerance: float = 1e-10, sweeps_per_cut: int = 4, max_sweeps: int = 100_000
+    parts: DataFrame, spec: RatingSpec, tolerance: float = 1e-10, sweeps_per_cut: int = 4, max_sweeps: int = 100_000, carry: DataFrame | None = None, begin: DataFrame | None = None, log: list[int] | None = None
 ) -> DataFrame:
     """Change and pre-update ratings of every match, equal to the sequential fold.
 
     Returns ``pool, match_id, surface, batch_no, sides, k, delta, expected, overall_w, overall_l,
     surface_w, surface_l``. Every few sweeps the rows are written to the shared folder, which
-    bounds the lineage and lets the loop resume after lost executors.
+    bounds the lineage and lets the loop resume after lost executors; matches ahead of the first that still moves
+    leave the sweeps once they are a third of the rows. ``carry`` is what entities bring along (``fold_edges``),
+    ``begin`` (match_id, begin) a first guess of changes, ``log`` takes the rows in the sweeps at every cut.
     """
-    edges, split = fold_edges(parts, spec)
+    edges, split = fold_edges(parts, spec, carry)
+    if begin is not None:
+        edges = edges.join(begin.select("match_id", "begin"), "match_id", "left").withColumn("delta", F.coalesce("begin", "delta")).drop("begin").select(*edges.columns)
     current = cut_lineage(edges)
+    finished: DataFrame | None = None
+    moves = F.abs(F.col("delta") - F.col("old"))
     done = 0
     while True:
         for _ in range(sweeps_per_cut):
             current = _sweep(current, spec, split)
             done += 1
         current = cut_lineage(current)
-        worst = current.agg(F.max(F.abs(F.col("delta") - F.col("old")))).first()[0]
-        if worst is not None and worst != worst:
+        fronts = {r.pool: r for r in current.groupBy("pool").agg(F.max(moves).alias("worst"), F.min(F.when(moves > tolerance, F.col("batch_no"))).alias("front"), F.count("*").alias("rows")).collect()}
+        worst = max((r.worst for r in fronts.values()), default=None)
+        if any(r.worst != r.worst for r in fronts.values()):
             raise ValueError("a rating change is not a number")
+        if log is not None:
+            log.append(sum(r.rows for r in fronts.values()))
         if worst is None or worst <= tolerance:
-            return current.drop("old")
+            current = current.drop("old")
+            return current if finished is None else finished.unionByName(current)
         if done >= max_sweeps:
             raise RuntimeError(f"ratings still moving by {worst} after {done} sweeps")
+        front = F.coalesce(*[F.when(F.col("pool") == pool, F.lit(r.front)) for pool, r in fronts.items() if r.front is not None])
+        settled = current.where(front.isNull() | (F.col("batch_no") < front))
+        if 3 * settled.count() < sum(r.rows for r in fronts.values()):
+            continue
+        finished = settled.drop("old") if finished is None else finished.unionByName(settled.drop("old"))
+        current = cut_lineage(_retired(current.where(F.col("batch_no") >= front), settled, spec))
 
 
 def rating_changes(solved: DataFrame, spec: RatingSpec) -> DataFrame:

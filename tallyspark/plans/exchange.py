@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import quality
 from tallyspark.operators.state import ENTITY
 from tallyspark.plans.history import PRIOR
+from tallyspark.plans.rating import SOLVED_COLS
 from tallyspark.plans.registry import query, r6, view
 from tallyspark.plans.rows import rnd
 from tallyspark.session import scratch_path
@@ -14,6 +15,7 @@ from tallyspark.sources import artifacts, contracts, results
 from tallyspark.sources.fixtures import matches, parts, scored, table
 from tallyspark.streaming.incremental import current_snapshots, maintain_state
 from tallyspark.streaming.ingest import ingest, ingested, result_stream
+from tallyspark.streaming.ratings import RESULT, current_matches, maintain_ratings
 
 
 def write_two_layouts(spark, d) -> str:
@@ -404,3 +406,15 @@ def _(spark, d):
     maintain_state(result_stream(spark, f"{root}/in", p.schema, 2), root, f"{root}/check")
     s = current_snapshots(spark, root)
     return s.select("match_id", *ENTITY, "n", "wins", "svpt", F.col("last_date").cast("string").alias("last_date"))
+
+
+@query("t2_incremental_ratings", f"SELECT match_id, {', '.join(f'{r6(s)} AS {n}' for n, s in SOLVED_COLS.items())} FROM solved_deviation")
+def _(spark, d):
+    root = scratch_path(spark, "ratings")
+    m = matches(spark, d).selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in RESULT.split(", ")])
+    day = F.day("match_date")
+    # the middle of every month comes first, then its end, then its beginning with some results again
+    for keep in (day.between(11, 20), day > 20, day <= 12):
+        m.where(keep).repartition(1).write.mode("append").parquet(f"{root}/in")
+    epochs = maintain_ratings(result_stream(spark, f"{root}/in", m.schema, 1), root, f"{root}/check")
+    return current_matches(spark, root, epochs).select("match_id", *[rnd(n).alias(n) for n in SOLVED_COLS])

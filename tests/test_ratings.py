@@ -114,3 +114,14 @@ def test_winner_gains(spark):
     _, p = frames(spark, history(5))
     solved = rt.solve_ratings(p, rt.SERVICE)
     assert solved.where(F.col("delta") <= 0).count() == 0
+
+
+def test_settled_matches_leave_the_sweeps(spark):
+    rows = history(400, seed=11)
+    _, p = frames(spark, rows)
+    log = []
+    solved = rt.solve_ratings(p, rt.DEVIATION, sweeps_per_cut=2, log=log)
+    want, _ = sequential(rows, rt.DEVIATION)
+    got = {r["match_id"]: r for r in solved.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i]["delta"] - d) < 1e-7 and abs(got[i]["overall_w"] - w) < 1e-6 for i, (d, w, _) in want.items())
+    assert log[0] == 400 and log[-1] < 270 and log == sorted(log, reverse=True)

@@ -16,31 +16,13 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.prob import clamp, logit, sigmoid
 from tallyspark.operators import metrics as mx
-from tallyspark.operators.resample import block_sums, bootstrap_delta, log_loss_of
+from tallyspark.operators.newton import Calibration, Fit, Linear, calibrate_all, fit_all
+from tallyspark.operators.resample import log_loss_of, resampled_means
 from tallyspark.session import cut_lineage
 
 
-@dataclass(frozen=True)
-class Linear:
-    """A standardized linear model on the logit scale."""
-
-    features: tuple[str, ...]
-    coefficients: tuple[float, ...]
-    intercept: float
-    center: tuple[float, ...]
-    scale: tuple[float, ...]
-
-    def logit(self) -> Column:
-        return linear_score(self.features, self.coefficients, self.intercept, self.center, self.scale)
-
-
-@dataclass(frozen=True)
-class Calibration:
-    slope: float = 1.0
-    intercept: float = 0.0
-
-    def apply(self, raw: Column) -> Column:
-        return F.lit(self.slope) * raw + F.lit(self.intercept)
+def model_logit(model: Linear) -> Column:
+    return linear_score(model.features, model.coefficients, model.intercept, model.center, model.scale)
 
 
 def linear_score(
@@ -95,111 +77,14 @@ def standardization(df: DataFrame, features: Sequence[str]) -> tuple[list[float]
     return center, [s if s >= 1e-6 else 1.0 for s in scale]
 
 
-def _normal_sums(features: int, center, scale):
-    """Sums of one Newton step per Arrow batch: loss, gradient and second derivatives as (place, value) rows."""
-    import numpy as np
-    import pyarrow as pa
-
-    c, s = np.array(center), np.array(scale)
-
-    def of(beta):
-        def run(batches):
-            for batch in batches:
-                x = np.column_stack([np.ones(batch.num_rows), *((v.to_numpy(zero_copy_only=False) - c[i]) / s[i] for i, v in enumerate(batch.columns[:features]))])
-                y = batch.column(features).to_numpy(zero_copy_only=False)
-                t = x @ beta
-                p = 1 / (1 + np.exp(-t))
-                loss = np.maximum(t, 0) + np.log1p(np.exp(-np.abs(t))) - t * y
-                curve = (x * (p * (1 - p))[:, None]).T @ x
-                value = np.concatenate([[batch.num_rows, loss.sum()], (p - y) @ x, curve.reshape(-1)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value)], names=["place", "value"])
-
-        return run
-
-    return of
-
-
 def fit_logistic(df: DataFrame, features: Sequence[str], l2: float = 0.004, label: str = "label", iterations: int = 60) -> Linear:
-    """Ridge logistic regression on standardized features by damped Newton steps; the intercept is free.
-
-    A step is one aggregation: tasks return sums over their rows, (features + 1)^2 numbers reach the driver.
-    """
-    import numpy as np
-
-    center, scale = standardization(df, features)
-    k = len(features)
-    rows = cut_lineage(df.select(*[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("_y")))
-    sums_of = _normal_sums(k, center, scale)
-    ridge = np.diag([0.0] + [l2] * k)
-
-    def sums(beta):
-        out = np.zeros(2 + (k + 1) * (k + 2))
-        for place, value in rows.mapInArrow(sums_of(beta), "place int, value double").groupBy("place").agg(F.sum("value")).collect():
-            out[place] = value
-        n = max(out[0], 1.0)
-        return out[1] / n + 0.5 * beta @ ridge @ beta, out[2 : k + 3] / n + ridge @ beta, out[k + 3 :].reshape(k + 1, k + 1) / n + ridge
-
-    beta = np.zeros(k + 1)
-    loss, slope, curve = sums(beta)
-    for _ in range(iterations):
-        move = np.linalg.solve(curve + 1e-12 * np.eye(k + 1), slope)
-        if np.abs(move).max() < 1e-10:
-            break
-        step = 1.0
-        while True:
-            trial = sums(beta - step * move)
-            if trial[0] <= loss + 1e-12 or step < 1e-4:
-                break
-            step /= 2
-        beta = beta - step * move
-        loss, slope, curve = trial
-    return Linear(tuple(features), tuple(float(b) for b in beta[1:]), float(beta[0]), tuple(center), tuple(scale))
+    """One ridge logistic regression on standardized features."""
+    return fit_all(df, {"all": F.lit(True)}, [Fit("all", tuple(features), l2)], label, iterations)[0]
 
 
 def fit_calibration(df: DataFrame, raw: Column, label: str = "label", pull: float = 0.002, steps: int = 25) -> Calibration:
-    """Slope and intercept on the logits; the slope is pulled towards one.
-
-    Damped Newton on two parameters: each step is one aggregation of six sums.
-    """
-    # staged as counts of equal (logit, label): every step reads narrow files and not the scorer's plan
-    rows = cut_lineage(df.select(raw.alias("_z"), F.col(label).cast("double").alias("_y")).groupBy("_z", "_y").agg(F.count(F.lit(1)).alias("_k")))
-    a, b = 1.0, 0.0
-
-    def sums(a: float, b: float):
-        t = F.lit(a) * F.col("_z") + F.lit(b)
-        p = sigmoid(t)
-        w, k = p * (1.0 - p), F.col("_k")
-        loss = F.greatest(t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(t))) - t * F.col("_y")
-        return rows.agg(
-            F.sum(k),
-            F.sum(k * (p - F.col("_y")) * F.col("_z")),
-            F.sum(k * (p - F.col("_y"))),
-            F.sum(k * w * F.col("_z") * F.col("_z")),
-            F.sum(k * w * F.col("_z")),
-            F.sum(k * w),
-            F.sum(k * loss),
-        ).first()
-
-    current = sums(a, b)
-    if not current[0]:
-        return Calibration()
-    for _ in range(steps):
-        n, ga, gb, haa, hab, hbb, loss = (float(v) for v in current)
-        ga, gb = ga / n + pull * (a - 1.0), gb / n
-        haa, hab, hbb = haa / n + pull, hab / n, hbb / n + 1e-12
-        det = haa * hbb - hab * hab
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        if max(abs(da), abs(db)) < 1e-9:
-            break
-        objective = loss / n + 0.5 * pull * (a - 1.0) ** 2
-        step = 1.0
-        while step > 1e-4:
-            trial = sums(a - step * da, b - step * db)
-            if float(trial[6]) / n + 0.5 * pull * (a - step * da - 1.0) ** 2 <= objective + 1e-15:
-                break
-            step /= 2.0
-        a, b, current = a - step * da, b - step * db, trial
-    return Calibration(round(a, 6), round(b, 6))
+    """Slope and intercept of one model's logits; the slope is pulled towards one."""
+    return calibrate_all(df.select(F.lit(0).alias("model"), raw.alias("raw"), F.col(label)), 1, label, pull, steps)[0]
 
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -207,7 +92,7 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def logistic_candidate(train: DataFrame, features: Sequence[str], params: dict) -> Scorer:
     model = fit_logistic(train, features, l2=params.get("l2", 0.004))
-    return lambda df: df.withColumn("raw", model.logit())
+    return lambda df: df.withColumn("raw", model_logit(model))
 
 
 def boosted_candidate(train: DataFrame, features: Sequence[str], params: dict) -> Scorer:
@@ -234,10 +119,55 @@ def boosted_candidate(train: DataFrame, features: Sequence[str], params: dict) -
 CANDIDATES = {"logistic": logistic_candidate, "boosted": boosted_candidate}
 
 
+@dataclass(frozen=True)
+class Variant:
+    """A logistic candidate: its features and penalty."""
+
+    features: tuple[str, ...]
+    l2: float = 0.004
+
+
+def _scored_by_year(rows: DataFrame, models: Sequence[tuple[str, int, Linear]], years: Sequence[int], year: str) -> DataFrame:
+    """Rows of the years with the logit ``raw`` of every model of their year; each model has a ``variant`` and a ``fold``.
+
+    Coefficients come as a small table joined on the year, so rows are only multiplied by the models that score them.
+    """
+    features = list(dict.fromkeys(f for _, _, m in models for f in m.features))
+    table = [(y, i, v, f, *m.plain(features)) for i, ((v, f, m), y) in enumerate(zip(models, years, strict=True))]
+    weights = rows.sparkSession.createDataFrame(table, "_year int, model int, variant string, fold int, _weights array<double>, _shift double")
+    values = F.array(*[F.col(f).cast("double") for f in features]).cast("array<double>")
+    term = lambda x, b: F.when(b == 0.0, F.lit(0.0)).otherwise(x * b)
+    raw = F.aggregate(F.zip_with("_values", "_weights", term), F.col("_shift"), lambda total, v: total + v)
+    scored = rows.withColumn("_values", values).join(weights, F.col(year) == F.col("_year"))
+    return scored.withColumn("raw", raw).drop("_values", "_weights", "_shift", "_year")
+
+
+def variant_predictions(rows: DataFrame, variants: dict[str, Variant], folds: Sequence[int], year: str = "yr") -> DataFrame:
+    """Out-of-fold rows of every variant with ``variant``, ``fold``, ``raw`` and ``probability``.
+
+    Each fold is fit before y-1, calibrated on y-1 and predicts y. All variants and folds are fitted in the same
+    passes over the rows, calibrated in the same passes, and scored in one.
+    """
+    if not folds or not variants:
+        return rows.withColumns({"variant": F.lit(""), "fold": F.lit(0), "raw": F.lit(0.0), "probability": F.lit(0.5)}).where(F.lit(False))
+    rows = cut_lineage(rows)
+    samples = {str(f): F.col(year) < f - 1 for f in folds}
+    keys = [(name, fold) for name in variants for fold in folds]
+    fitted = fit_all(rows, samples, [Fit(str(fold), variants[name].features, variants[name].l2) for name, fold in keys])
+    models = [(name, fold, m) for (name, fold), m in zip(keys, fitted, strict=True)]
+    held = _scored_by_year(rows, models, [fold - 1 for _, fold, _ in models], year)
+    lines = calibrate_all(held.select("model", "raw", "label"), len(models))
+    scored = _scored_by_year(rows, models, [fold for _, fold, _ in models], year)
+    line = F.element_at(F.array(*[F.struct(F.lit(c.slope).alias("a"), F.lit(c.intercept).alias("b")) for c in lines]), F.col("model") + 1)
+    return scored.withColumn("probability", sigmoid(line["a"] * F.col("raw") + line["b"])).drop("model")
+
+
 def fold_predictions(
     rows: DataFrame, features: Sequence[str], folds: Sequence[int], kind: str = "logistic", params: dict | None = None, year: str = "yr"
 ) -> DataFrame:
     """Out-of-fold rows with ``probability`` and ``fold``: fit before y-1, calibrate on y-1, predict y."""
+    if kind == "logistic" or not folds:
+        return variant_predictions(rows, {kind: Variant(tuple(features), (params or {}).get("l2", 0.004))}, folds, year).drop("variant")
     pieces = None
     y = F.col(year)
     rows = cut_lineage(rows) if len(folds) > 1 else rows
@@ -247,11 +177,15 @@ def fold_predictions(
         cal = fit_calibration(held, F.col("raw"))
         test = scorer(rows.where(y == fold)).withColumn("probability", sigmoid(cal.apply(F.col("raw")))).withColumn("fold", F.lit(fold))
         pieces = test if pieces is None else pieces.unionByName(test)
-    if pieces is None:
-        return rows.withColumns({"raw": F.lit(0.0), "probability": F.lit(0.5), "fold": F.lit(0)}).where(F.lit(False))
     return pieces
 
 
+def parameter_grid(rows: DataFrame, variants: dict[str, Variant], folds: Sequence[int], year: str = "yr") -> DataFrame:
+    """Mean log loss and Brier score over the folds of every variant."""
+    pred = variant_predictions(rows, variants, folds, year).select("variant", "fold", "label", "probability")
+    return mx.bundle(pred, ["variant", "fold"], "probability").groupBy("variant").agg(F.avg("log_loss").alias("log_loss"), F.avg("brier").alias("brier"))
+
+
 def walk_forward(rows: DataFrame, features, folds, kind="logistic", params=None, year="yr") -> DataFrame:
     """Metric bundle per fold plus the pooled bundle (``fold`` 0)."""
     pred = fold_predictions(rows, features, folds, kind, params, year).select("label", "probability", "fold")
@@ -311,14 +245,13 @@ def simplex_weights(members: int, count: int, seed: int = 29) -> list[list[float
 
 def stack(rows: DataFrame, features, folds, baselines, year="yr", params=None) -> tuple[Linear, DataFrame]:
     """Stacker on out-of-fold logits: the full model, fitted on all years before the fold, beside the baselines."""
-    pieces = None
-    for fold in folds:
-        scorer = logistic_candidate(rows.where(F.col(year) < fold), features, params or {})
-        held = scorer(rows.where(F.col(year) == fold)).withColumn("fold", F.lit(fold))
-        pieces = held if pieces is None else pieces.unionByName(held)
-    if pieces is None:
+    if not folds:
         raise ValueError("no fold to stack on")
-    oof = pieces.withColumnRenamed("raw", "full_logistic").withColumns(baseline_logits(baselines))
+    rows = cut_lineage(rows)
+    fits = [Fit(str(fold), tuple(features), (params or {}).get("l2", 0.004)) for fold in folds]
+    models = fit_all(rows, {str(fold): F.col(year) < fold for fold in folds}, fits)
+    held = _scored_by_year(rows, [("", fold, m) for fold, m in zip(folds, models, strict=True)], folds, year)
+    oof = held.withColumnRenamed("raw", "full_logistic").withColumns(baseline_logits(baselines))
     oof = cut_lineage(oof.select("label", "fold", "full_logistic", *baselines))
     return fit_logistic(oof, ["full_logistic", *baselines]), oof
 
@@ -330,7 +263,7 @@ def stacked_evaluation(rows: DataFrame, features, folds, baselines, role: str =
     base = fit_logistic(train, features, l2=(params or {}).get("l2", 0.004))
     weights = dict(zip(stacker.features, stacker.coefficients, strict=True))
     names = ["full_logistic", *baselines]
-    scored = rows.withColumn("full_logistic", base.logit()).withColumns(baseline_logits(baselines))
+    scored = rows.withColumn("full_logistic", model_logit(base)).withColumns(baseline_logits(baselines))
     scored = scored.withColumn("stacked", linear_score(names, [weights[n] for n in names], stacker.intercept, stacker.center, stacker.scale))
     cal = fit_calibration(scored.where(F.col(role) == "calibration"), F.col("stacked"))
     test = scored.where(F.col(role) == "test").withColumn("probability", sigmoid(cal.apply(F.col("stacked"))))
@@ -338,40 +271,72 @@ def stacked_evaluation(rows: DataFrame, features, folds, baselines, role: str =
 
 
 def ablation(rows: DataFrame, features, families: dict[str, Sequence[str]], folds, year="yr") -> DataFrame:
-    """Pooled metrics with one family dropped, and the change against the full set."""
-    out = None
+    """Pooled metrics with one family dropped, and the change against the full set.
+
+    A family without any of the features, and one that holds them all, is left out.
+    """
+    variants = {}
     for name, dropped in {"full": (), **families}.items():
-        kept = [f for f in features if f not in set(dropped)]
-        if not kept or (name != "full" and len(kept) == len(features)):
-            continue
-        row = walk_forward(rows, kept, folds, year=year).where("fold = 0").withColumn("dropped", F.lit(name)).drop("fold")
-        out = row if out is None else out.unionByName(row)
+        kept = tuple(f for f in features if f not in set(dropped))
+        if kept and (name == "full" or len(kept) < len(features)):
+            variants[name] = Variant(kept)
+    pred = variant_predictions(rows, variants, folds, year).select(F.col("variant").alias("dropped"), "label", "probability")
     full = F.max(F.when(F.col("dropped") == "full", F.col("log_loss"))).over(Window.partitionBy(F.lit(0)))
-    return cut_lineage(out).withColumn("delta_log_loss", F.col("log_loss") - full)
+    return cut_lineage(mx.bundle(pred, ["dropped"], "probability")).withColumn("delta_log_loss", F.col("log_loss") - full)
+
 
+def ladder(rows: DataFrame, rungs: Sequence[tuple[str, Sequence[str]]], folds, key: Sequence[str], block: Sequence[str], year="yr", iterations: int = 600) -> DataFrame:
+    """Cumulative feature ladder: each rung is kept when it lowers pooled and bootstrapped log loss.
 
-def ladder(rows: DataFrame, rungs: Sequence[tuple[str, Sequence[str]]], folds, key: Sequence[str], block: Sequence[str], year="yr", iterations: int = 200) -> DataFrame:
-    """Cumulative feature ladder: each rung is kept when it lowers pooled and bootstrapped log loss."""
+    A rung adds its features to those of all rungs before it, kept or not, and is compared with the rung before it; one
+    that adds nothing repeats that rung's predictions. Rungs that still have no feature at all, and all rungs when there
+    are no folds, are not evaluated and say DELETE. Keys are unique, keys and blocks hold no nulls.
+    """
     spark = rows.sparkSession
-    features: list[str] = []
-    previous = None
-    results = []
+    variants: dict[str, Variant] = {}
+    steps, sets, features = [], {}, ()
     for name, added in rungs:
-        features += [f for f in added if f not in features]
-        if not features:
+        fresh = tuple(f for f in dict.fromkeys(added) if f not in features)
+        features = (*features, *fresh)
+        # equal sets are fitted once
+        fitted = sets.setdefault(features, name)
+        if features and fitted == name:
+            variants[name] = Variant(features)
+        steps.append((name, len(fresh), len(features), fitted if features else None))
+    schema = "rung string, added int, features int, status string, log_loss double, brier double, mean_delta double, low double, high double, decision string"
+    left_out = lambda name, added, n: (name, added, n, "not_enough_fold_rows" if n else "not_evaluated_no_supported_features", *[None] * 5, "DELETE")
+    if not variants or not folds:
+        return spark.createDataFrame([left_out(*s[:3]) for s in steps], schema)
+
+    pred = cut_lineage(variant_predictions(rows.select(*dict.fromkeys([*key, *block, year, "label", *features])), variants, folds, year).select(*dict.fromkeys([*key, *block]), "label", "variant", "probability"), "ladder")
+    scores = {r["variant"]: r for r in mx.bundle(pred, ["variant"], "probability").collect()}
+    if not scores:
+        return spark.createDataFrame([left_out(*s[:3]) for s in steps], schema)
+    order = list(variants)
+    # one row per key: the losses of all variants side by side, so a draw of blocks serves every rung
+    single = F.assert_true(F.count(F.lit(1)) == len(order), "prediction keys are not unique").isNull()
+    wide = pred.withColumn("_loss", log_loss_of(F.col("probability"), F.col("label"))).groupBy(*dict.fromkeys([*key, *block])).agg(
+        single.alias("_single"), *[F.sum(F.when(F.col("variant") == v, F.col("_loss"))).alias(f"_l{i}") for i, v in enumerate(order)]
+    )
+    sums = wide.where("_single").groupBy(*block).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(len(order))])
+    draws = resampled_means(sums, block, [f"_l{i}" for i in range(len(order))], iterations)
+    gap = [F.col(f"_l{i}") - F.col(f"_l{i - 1}") for i in range(1, len(order))]
+    bounds = F.array(F.lit(0.025), F.lit(0.975))
+    deltas = draws.agg(F.count(F.lit(1)), *[c for g in gap for c in (F.avg(g), F.percentile(g, bounds))]).first()[1:]
+
+    results, last = [], None
+    for name, added, n, variant in steps:
+        if variant is None:
+            results.append(left_out(name, added, n))
             continue
-        pred = cut_lineage(fold_predictions(rows, features, folds, year=year).select(*dict.fromkeys([*key, *block, "label", "probability"])))
-        score = mx.bundle(pred, [], "probability").first()
-        decision, mean = "KEEP_BASELINE", None
-        if previous is not None:
-            paired = paired_predictions(previous, pred, key)
-            sums = block_sums(paired, block, "probability_1", "probability_2")
-            delta = bootstrap_delta(sums, block, iterations).where("metric = 'log_loss'").first()
-            mean = float(delta["mean"])
-            decision = "KEEP" if score["log_loss"] < before and mean < 0 else "DELETE"
-        results.append((name, len(features), float(score["log_loss"]), float(score["brier"]), mean, decision))
-        previous, before = pred, float(score["log_loss"])
-    return spark.createDataFrame(results, "rung string, features int, log_loss double, brier double, mean_delta double, decision string")
+        score, mean, low, high, decision = scores[variant], None, None, None, "KEEP_BASELINE"
+        if last is not None:
+            i = order.index(variant)
+            mean, (low, high) = (0.0, (0.0, 0.0)) if variant == last else deltas[2 * (i - 1) : 2 * i]
+            decision = "KEEP" if score["log_loss"] < scores[last]["log_loss"] and mean < 0 else "DELETE"
+        last = variant
+        results.append((name, added, n, "evaluated", score["log_loss"], score["brier"], mean, low, high, decision))
+    return spark.createDataFrame(results, schema)
 
 
 def paired_predictions(one: DataFrame, two: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -147,6 +147,7 @@ def favourite(p: Column) -> Column:
     return F.greatest(p, 1.0 - p)
 
 
+# The cuts and names of the four bands below, and the confidence thresholds.
 def favourite_band(p: Column) -> Column:
     return below_cuts(favourite(p), (0.55, 0.65, 0.75, 0.85), ("50-55", "55-65", "65-75", "75-85", "85-100"))
 

@@ -6,11 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.prob import sigmoid
+from tallyspark.operators import features as ft
 from tallyspark.operators import learn, metrics as mx, splits
 from tallyspark.operators import ratings as rt
 from tallyspark.operators import state as st
 from tallyspark.functions import prob
-from tallyspark.plans.evaluation import bundle_sql, cl, rounded, two_models
+from tallyspark.plans.evaluation import available_features, bundle_sql, cl, rounded, two_models
+from tallyspark.plans.feature import full_rows
 from tallyspark.plans.history import STATIC_P, attach, round_parts, venue_parts
 from tallyspark.plans.people import latest_states
 from tallyspark.plans.probability import clamp_sql, game_sql, match_from_points_sql, match_sql, set_sql
@@ -294,13 +296,9 @@ PENALTIES = (0.0015, 0.003, 0.006, 0.012)
     ),
 )
 def _(spark, d):
-    rows = cut_lineage(model_rows(spark, d))
-    folds = eligible(spark, d)
-    out = None
-    for l2 in PENALTIES:
-        one = learn.walk_forward(rows, FEATURES, folds, params={"l2": l2}).where("fold > 0")
-        one = one.agg(short(F.avg("log_loss")).alias("log_loss"), short(F.avg("brier")).alias("brier")).withColumn("l2", F.lit(l2))
-        out = one if out is None else out.unionByName(one)
+    variants = {str(l2): learn.Variant(tuple(FEATURES), l2) for l2 in PENALTIES}
+    out = learn.parameter_grid(model_rows(spark, d), variants, eligible(spark, d))
+    out = out.select(F.col("variant").cast("double").alias("l2"), short("log_loss").alias("log_loss"), short("brier").alias("brier"))
     return learn.best_by(out, "l2", "log_loss", "brier")
 
 
@@ -442,14 +440,29 @@ def _(spark, d):
     return fold_metrics(out, "dropped", short("delta_log_loss").alias("delta_log_loss"))
 
 
+def fold_rows(spark, d):
+    """The full feature rows with year, the features that are not blank, and the test years with enough rows."""
+    rows = full_rows(spark, d).select("match_id", "venue", "match_date", F.year("match_date").alias("yr"), "label", *ft.FULL)
+    rows = cut_lineage(rows, "features")
+    usable = {r["feature"] for r in available_features(rows, list(ft.FULL)).where("available = 1").collect()}
+    n = rows.count()
+    return rows, usable, splits.eligible_folds(rows, "yr", n // 10, n // 50, n // 50)
+
+
+@query("l16_family_ablation")
+def _(spark, d):
+    rows, usable, folds = fold_rows(spark, d)
+    out = learn.ablation(rows, [f for f in ft.FULL if f in usable], ft.FAMILIES, folds)
+    return fold_metrics(out, "dropped", short("delta_log_loss").alias("delta_log_loss"))
+
+
 @query("l17_feature_ladder")
 def _(spark, d):
-    values = ["p", "l_discount", "l_tax", "price", "label", "block"]
-    copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*values))
-    key = ["l_orderkey", "l_linenumber", "copy"]
-    rows = model_rows(spark, d).withColumn("copy", copy).select(*key, "yr", "block", "label", *FEATURES)
-    rungs = [("M0", ("p",)), ("M1", ("l_discount",)), ("M2", ("l_tax",)), ("M3", ("price",))]
-    return learn.ladder(rows, rungs, eligible(spark, d), key, ["block"])
+    rows, usable, folds = fold_rows(spark, d)
+    rungs = [(name, [f for f in added if f in usable]) for name, added in ft.RUNGS.items()]
+    out = learn.ladder(rows, rungs, folds, ["match_id"], ["venue", "match_date"])
+    numbers = ("log_loss", "brier", "mean_delta", "low", "high")
+    return out.select("rung", "added", "features", "status", *[short(c).alias(c) for c in numbers], "decision")
 
 
 @query(

@@ -19,6 +19,7 @@ from tallyspark.functions.text import (
     normalize_name,
     parse_date,
 )
+from tallyspark.sources.headers import first_lines
 
 YEARLY_NAME = r"(?i)^(atp|wta)_matches_\d{4}\.csv$"
 # Raw count columns per side.
@@ -52,9 +53,8 @@ def pool_of_file(path: Column) -> Column:
 
 
 def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by their header line, found in one job over the first block of every file."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("line"))
-    first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "line").alias("head"))
+    """Files grouped by their header line, found in one job over the first bytes of every file."""
+    first = first_lines(spark, paths)
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for row in first.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("head").collect():
         names = next(csv.reader([row["head"].lstrip("\ufeff")]), [])

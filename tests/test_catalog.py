@@ -9,7 +9,7 @@ from compare import compare, duck
 
 SF = os.environ.get("TALLY_SF_DIR", "/root/testdata/sf0.001")
 SLOW = (
-    *("w12_rating_fold_service", "w17_", "x2_", "p14_", "l4_", "l9_", "l10_", "l16_", "l17_", "l20_", "s9_", "s11_", "j14_"),
+    *("w12_rating_fold_service", "w17_", "x2_", "p14_", "l4_", "l9_", "l16_", "l17_", "l20_", "s9_", "s11_", "j14_"),
     *("j10_", "m11_", "a9_", "t2_incremental_ratings"),
 )
 NAMES = [n for n in entry.queries() if os.environ.get("TALLY_ALL") or not n.startswith(SLOW)]

@@ -258,14 +258,17 @@ def with_score_edges(parts: DataFrame) -> DataFrame:
     )
 
 
-def side_state(parts: DataFrame, service_prior: Column, spec: rt.RatingSpec = rt.DEVIATION) -> DataFrame:
+def side_state(
+    parts: DataFrame, service_prior: Column, spec: rt.RatingSpec = rt.DEVIATION, solved: DataFrame | None = None
+) -> DataFrame:
     """Everything known about each side at the start of its batch, ratings and residuals included.
 
     Two scans per entity and per (entity, surface) produce it; the second one exists because
-    residual form needs the expectation that follows from the first.
+    residual form needs the expectation that follows from the first. ``solved`` spares solving the
+    ratings of the same ``parts`` and ``spec`` again.
     """
     p = with_score_edges(parts)
-    solved = rt.solve_ratings(parts, spec)
+    solved = rt.solve_ratings(parts, spec) if solved is None else solved
     snap = rt.rating_snapshots(solved, spec).select("match_id", "entity", "overall", "on_surface", "surface_n", "blended")
     first = st.state_table(
         p,

@@ -82,6 +82,14 @@ def state_table(parts: DataFrame, keys: Sequence[str], measures: Sequence[Measur
     return totals.select(*keys, "batch_no", *[c for m in measures for c in m.outs])
 
 
+def latest_table(parts: DataFrame, keys: Sequence[str], measures: Sequence[Measures]) -> DataFrame:
+    """All measures of a key after its last row: one combined aggregation, one row per key."""
+    dated = parts.withColumn("_day", day_number(F.col("match_date")))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for m in measures for n, c in m.sums.items()]
+    maxes = [F.max(c).alias(n) for m in measures for n, c in m.maxes.items()]
+    return dated.groupBy(*keys).agg(*sums, *maxes).select(*keys, *[c for m in measures for c in m.outs])
+
+
 # ---- cumulative rates -------------------------------------------------------------------
 
 
@@ -275,12 +283,8 @@ def workload(parts: DataFrame, windows: Sequence[int] = (3, 7, 14), keep: int =
 META = ("ranking", "ranking_points", "age", "height", "hand")
 
 
-def carried_metadata(parts: DataFrame, venue_batch: str, fields: Sequence[str] = META) -> DataFrame:
-    """Latest known metadata per venue batch, that batch included.
-
-    Inside a batch only the entity's earliest round (then lowest match) speaks; afterwards every
-    known field overwrites the older one and unknown fields keep it.
-    """
+def _metadata_entries(parts: DataFrame, venue_batch: str, fields: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """One row per entity and venue batch, and per field a struct that is null where the field is unknown."""
     entry = parts.groupBy(*ENTITY, venue_batch).agg(
         F.min_by(F.struct(*fields), F.struct("round_order", "match_id")).alias("_m")
     )
@@ -292,10 +296,27 @@ def carried_metadata(parts: DataFrame, venue_batch: str, fields: Sequence[str] =
         f"_b_{f}": F.when(known[f], F.struct(F.col(venue_batch).alias("at"), F.col(f"_m.{f}").alias("v")))
         for f in fields
     }
+    return entry, body
+
+
+def carried_metadata(parts: DataFrame, venue_batch: str, fields: Sequence[str] = META) -> DataFrame:
+    """Latest known metadata per venue batch, that batch included.
+
+    Inside a batch only the entity's earliest round (then lowest match) speaks; afterwards every
+    known field overwrites the older one and unknown fields keep it.
+    """
+    entry, body = _metadata_entries(parts, venue_batch, fields)
     carried = prior_totals(entry, ENTITY, venue_batch, maxes=body, inclusive=True)
     return carried.select(*ENTITY, venue_batch, *[F.col(f"_b_{f}.v").alias(f) for f in fields])
 
 
+def latest_metadata(parts: DataFrame, venue_batch: str, fields: Sequence[str] = META) -> DataFrame:
+    """What ``carried_metadata`` says after the last venue batch of each entity."""
+    entry, body = _metadata_entries(parts, venue_batch, fields)
+    last = entry.groupBy(*ENTITY).agg(*[F.max(c).alias(n) for n, c in body.items()])
+    return last.select(*ENTITY, *[F.col(f"_b_{f}.v").alias(f) for f in fields])
+
+
 def carried_metadata_last_row(parts: DataFrame, batch: str, fields: Sequence[str] = ("ranking", "ranking_points")) -> DataFrame:
     """The simpler rule: the last row of the batch with a nonzero value wins."""
     body = {

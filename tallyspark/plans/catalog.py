@@ -14,6 +14,7 @@ from tallyspark.plans import feature  # noqa: F401
 from tallyspark.plans import people  # noqa: F401
 from tallyspark.plans import practice  # noqa: F401
 from tallyspark.plans import models  # noqa: F401
+from tallyspark.plans import served  # noqa: F401
 from tallyspark.plans import exchange  # noqa: F401
 from tallyspark.plans.history import prior_form_difference
 from tallyspark.plans.registry import ORACLES, QUERIES

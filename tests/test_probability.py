@@ -86,3 +86,21 @@ def test_bootstrap_is_reproducible(spark):
     }
     a, b = run(1), run(6)
     assert a == b and a["brier"][1] <= a["brier"][0] <= a["brier"][2]
+
+
+def test_posterior_is_spread_whatever_the_rows_bytes(spark):
+    df = spark.range(400).selectExpr("id AS k", "65D AS alpha_1", "35D AS beta_1", "61D AS alpha_2", "39D AS beta_2", "3 AS best_of").coalesce(1)
+    out = resample.posterior_match(df, ["k"], 20)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism
+
+
+def test_balanced_lattice_equals_the_paths():
+    rng = np.random.default_rng(4)
+    for tables in (prob.set_monomials, prob.tiebreak_monomials):
+        a, b, tail = rng.uniform(0.02, 0.98, (3, 50))
+        paths = lambda terms, p, q: sum(n * p**i * (1 - p) ** j * q**k * (1 - q) ** m for (i, j, k, m), n in terms.items())
+        won, tied = tables()
+        expected = paths(won, a, b) - paths(won, b, a) + paths(tied, a, b) * tail
+        first, level = resample._balanced(tables)
+        x, y = resample._shares(a), resample._shares(b)
+        assert np.abs((x * (first @ y + level[:, None] * y * tail)).sum(axis=0) - expected).max() < 1e-13

@@ -1,12 +1,14 @@
 """Models fitted side by side against one plain fit each, folds and the ladder against brute force."""
 
 import numpy as np
+import pyarrow.parquet as parquet
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import learn
-from tallyspark.operators.newton import Fit, calibrate_all, fit_all
+from tallyspark.operators.newton import Fit, Linear, calibrate_all, fit_all
 from tallyspark.operators.resample import digest_number
+from tallyspark.session import cut_lineage
 
 NAMES = ["a", "b", "c", "flat"]
 
@@ -132,3 +134,17 @@ def test_ladder_against_brute_force(spark):
             assert row["decision"] == ("KEEP" if pooled < np.mean(list(losses[i - 1].values())) - 1e-12 and np.mean(deltas) < 0 else "DELETE")
     with pytest.raises(Exception, match="not unique"):
         learn.ladder(df.unionByName(df.limit(1)).withColumn("yr", F.lit(2005)).unionByName(df), rungs, folds, ["k"], ["venue"], iterations=4)
+
+
+def test_a_year_is_scored_by_many_tasks(spark):
+    rows = frame(spark, table(400)).repartition(6)
+    models = [("v", 2003, Linear(("a",), (1.0,), 0.0, (0.0,), (1.0,)))]
+    scored = learn._scored_by_year(rows, models, [2003], "yr")
+    assert "BroadcastHashJoin" in scored._jdf.queryExecution().sparkPlan().toString()
+    assert scored.select(F.spark_partition_id().alias("p")).distinct().count() == 6
+
+
+def test_one_staged_file_has_many_row_groups(spark):
+    staged = cut_lineage(spark.range(0, 6_000_000, 1, 1).select("id", F.rand(3).alias("x")))
+    groups = [parquet.ParquetFile(f.removeprefix("file:")).num_row_groups for f in staged.inputFiles()]
+    assert len(groups) == 1 and groups[0] > 2

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.order import numbered
 from tallyspark.operators.prefix import asof_before, prior_totals, sequence_rows, trailing_means
+from tallyspark.session import cut_lineage, dealt
 
 
 def history(n=400, seed=5):
@@ -65,3 +66,13 @@ def test_global_numbering(spark):
     df = spark.createDataFrame(rows, "a int, b int").repartition(5)
     got = [(r["a"], r["b"]) for r in sorted(numbered(df, ["a", "b"], "pos").collect(), key=lambda r: r["pos"])]
     assert got == sorted(rows)
+
+
+def test_no_state_is_built_whole_on_the_driver(spark):
+    rows = spark.range(4000).selectExpr("id % 500 AS k", "id DIV 500 AS pos", "1.0D AS v")
+    totals = prior_totals(rows, ["k"], "pos", sums={"t": F.col("v")})
+    sides = dealt(cut_lineage(rows)).join(rows.groupBy("k").agg(F.sum("v").alias("s")), "k")
+    for out in (rows.join(totals, ["k", "pos"]), sides):
+        assert len(out.collect()) == 4000
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in next(line for line in plan.splitlines() if "Join" in line), plan

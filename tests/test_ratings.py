@@ -125,3 +125,27 @@ def test_settled_matches_leave_the_sweeps(spark):
     got = {r["match_id"]: r for r in solved.collect()}
     assert got.keys() == want.keys() and all(abs(got[i]["delta"] - d) < 1e-7 and abs(got[i]["overall_w"] - w) < 1e-6 for i, (d, w, _) in want.items())
     assert log[0] == 400 and log[-1] < 270 and log == sorted(log, reverse=True)
+
+
+@pytest.mark.parametrize("chunk", [4096, 8])
+def test_sweeps_pass_narrow_rows_and_gather_nothing(spark, monkeypatch, chunk):
+    monkeypatch.setattr(rt, "CHUNK", chunk)
+    rows = history(60, seed=5)
+    edges, split = rt.fold_edges(frames(spark, rows)[1], rt.PLAIN)
+    assert split == (chunk == 8)
+    swept = rt._sweeps(edges, rt.PLAIN, split, 2)
+    assert "collect_list" not in swept._jdf.queryExecution().toString()
+    assert set(swept.columns) == {*rt.MATCH, *rt.SIDE, *rt.RATED, "k", "delta", "old"}
+    got = swept.collect()
+    assert len(got) == 120 and all(len({r[c] for r in got if r["match_id"] == 7}) == 1 for c in ("delta", "expected", "overall_w"))
+    # two sweeps settle the first two matches of the history
+    want, _ = sequential(rows, rt.PLAIN)
+    for i in sorted(want, key=lambda i: (rows[i][2:5], i))[:2]:
+        assert all(abs(r["delta"] - want[i][0]) < 1e-9 for r in got if r["match_id"] == i)
+
+
+def test_expectation_beside_the_snapshots(spark):
+    snap = rt.rating_snapshots(rt.solve_ratings(frames(spark, history(40))[1], rt.PLAIN), rt.PLAIN)
+    want = {r["match_id"]: r["pre_p"] for r in rt.pre_match_expectation(snap).collect()}
+    got = rt.with_expectation(snap).collect()
+    assert len(got) == 80 and all(abs(r["pre_p"] - want[r["match_id"]]) < 1e-12 for r in got)

@@ -76,3 +76,22 @@ def test_no_state_is_built_whole_on_the_driver(spark):
         assert len(out.collect()) == 4000
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in next(line for line in plan.splitlines() if "Join" in line), plan
+
+
+def test_rows_are_sorted_by_numbers_before_strings(spark):
+    from tallyspark.operators.prefix import numbers_first
+
+    df = spark.createDataFrame([("north", 1, "hard", 3)], "pool string, entity long, surface string, batch_no long")
+    assert numbers_first(df, ("pool", "entity", "surface")) == ["entity", "pool", "surface"]
+    out = prior_totals(df, ("pool", "entity"), "batch_no", sums={"n": F.lit(1)})
+    assert out.columns == ["pool", "entity", "batch_no", "n"]
+    assert "[entity" in out._jdf.queryExecution().sparkPlan().toString().split("Window")[1]
+
+
+def test_two_sides_are_dealt_before_they_are_merged(spark):
+    from tallyspark.operators.batches import paired
+
+    sides = spark.range(8).selectExpr("id div 2 AS match_id", "id % 2 = 0 AS one", "id AS v", "cast(id AS string) AS s")
+    wide = paired(sides, ["match_id"], ["v", "s"], F.col("one"))
+    assert "RepartitionByExpression" in wide._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in wide.collect()) == [(i, 2 * i, 2 * i + 1, str(2 * i), str(2 * i + 1)) for i in range(4)]

@@ -149,3 +149,23 @@ def test_expectation_beside_the_snapshots(spark):
     want = {r["match_id"]: r["pre_p"] for r in rt.pre_match_expectation(snap).collect()}
     got = rt.with_expectation(snap).collect()
     assert len(got) == 80 and all(abs(r["pre_p"] - want[r["match_id"]]) < 1e-12 for r in got)
+
+
+def test_wide_side_rows_are_dealt_once(spark):
+    from tallyspark.operators import features as ft
+    from tallyspark.operators import state as st
+    from tallyspark.operators.batches import VENUE_BATCH
+    from tallyspark.sources.fixtures import parts
+
+    rows = history(40)
+    m = with_batch(spark.createDataFrame(rows, COLS), VENUE_BATCH).withColumnRenamed("batch_no", "venue_no")
+    m = with_batch(m, ROUND_BATCH).withColumn("p1", F.col("winner"))
+    p = st.derived_counts(parts(spark, "", m))
+    # ratings come solved, so that the plan below is that of the side rows alone
+    state = ft.side_state(p, F.lit(0.635), solved=rt.solve_ratings(p, rt.DEVIATION))
+    plan = state._sc._jvm.PythonSQLUtils.explainString(state._jdf.queryExecution(), "formatted")
+    dealt = [b for b in plan.split("\n\n") if ") Exchange" in b and "latent_serve#" in b]
+    assert len(dealt) == 1 and "_row" in dealt[0]
+    got = state.collect()
+    assert len(got) == 80 and len({(r["match_id"], r["entity"]) for r in got}) == 80 and "_row" not in state.columns
+    assert all(r["residual_form_short"] == 0 for r in got if r["n_before"] == 0)

@@ -2,7 +2,8 @@
 
 Only text near a repeated landmark is sorted. A landmark is the least hashed gram inside a window of ``length`` bytes,
 so equal windows have equal landmarks at equal places: windows whose landmark occurs once are unique. The windows of
-one landmark are a span; equal spans are one row with a count, however many documents hold them. Spans are cut into
+one landmark are a span; spans in a row, up to a landmark that ends it, are a stream; equal streams, and equal spans of
+different streams, are one row with a count, however many documents hold them. Spans are cut into
 stretches by the distance to the landmark, and stretches that share the bytes common to all their windows form a
 group. Groups are dealt to tasks, and there all suffixes are sorted: those smaller than their successor directly, the
 others by scanning the buckets in order. Neighbours with ``length`` bytes in common are the repeats; the same sort
@@ -31,6 +32,7 @@ PIECE = 2 << 20
 SORT_BYTES = 1 << 19
 WIDTHS = (128, 16, 2, 1)
 WORDS = WIDTHS[0] // 64
+STREAM, LONGEST = 16, 64
 _MASK = np.uint64((1 << 23) - 1)
 _U = np.uint64
 
@@ -148,11 +150,26 @@ def _stretches(prefix: np.ndarray, more: np.ndarray, lo: np.ndarray, n: np.ndarr
 
 
 _CELL = "core long, seg long, off int, rel int, n int, size int"
-_SPANS = f"id long, at long, a long, b long, bytes binary, cells array<struct<{_CELL.replace(' ', ':').replace(',:', ',')}>>"
+_CELLS = f"array<struct<{_CELL.replace(' ', ':').replace(',:', ',')}>>"
+_STREAMS = f"id long, at long, sa long, sb long, spans array<struct<off:int,a:bigint,b:bigint,bytes:binary,cells:{_CELLS}>>"
+
+
+def _streams(part: np.ndarray, head: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stream begins, and for every span its number inside the stream.
+
+    ``head`` are places in the list of all spans: a span follows the one before it if nothing was left out between
+    them. ``ends`` says that a landmark ends its stream; by that, equal text gives equal streams wherever it stands.
+    """
+    new = np.ones(len(head), dtype=bool)
+    new[1:] = (part[1:] != part[:-1]) | (head[1:] != head[:-1] + 1) | ends[:-1]
+    at = np.arange(len(head))
+    number = at - np.maximum.accumulate(np.where(new, at, 0))
+    new |= number % LONGEST == 0
+    return np.flatnonzero(new), at - np.maximum.accumulate(np.where(new, at, 0))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
-    """Spans of the windows whose landmark is one of the text's repeated ones, each with its stretches."""
+    """Streams of the spans of windows whose landmark is one of the text's repeated ones, each with its stretches."""
     width = WIDTHS[0]
     for batch in batches:
         texts = as_bytes(batch.column(1))
@@ -170,7 +187,7 @@ def _cut(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBat
             of = np.repeat(np.arange(first, last + 1), np.diff(held.offsets.to_numpy()))
             known = mix(held.flatten().to_numpy().view(_U) + mix(of.astype(_U), 5))
             wanted = np.isin(mix(gram[best[head]] + mix(owner[part[head]].astype(_U), 5)), known)
-            head, count = head[wanted], count[wanted]
+            place_of, head, count = np.flatnonzero(wanted), head[wanted], count[wanted]
             at, rel, stop = starts[head], best[head] - starts[head], ends[part[head]]
             size = np.minimum(count - 1 + w.reach, stop - at)
             shape = _shape(rel, count, size)
@@ -188,13 +205,24 @@ def _cut(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBat
             joined = data.tobytes()
             base = np.concatenate([[0], np.cumsum([len(b) for b in part_bytes])])
             inside = at - base[part[head]] + np.array([x[1] for x in items[lo:hi]], dtype=np.int64)[part[head]]
-            yield pa.RecordBatch.from_arrays(
+            opens, number = _streams(part[head], place_of, gram[best[head]] % _U(STREAM) == 0)
+            lengths = np.diff(np.append(opens, len(head)))
+            off = at - np.repeat(at[opens], lengths)
+            order = mix((number.astype(_U) << _U(32)) + off.astype(_U), 303)
+            whole = [np.add.reduceat(mix(x + order, 304 + k), opens) if len(opens) else x for k, x in enumerate(names)]
+            spans = pa.StructArray.from_arrays(
                 [
-                    batch.column(0).take(pa.array(owner[part[head]])), pa.array(inside.astype(np.int64)), *[pa.array(signed(x)) for x in names],
-                    pa.array([joined[x : x + k] for x, k in zip(at.tolist(), size.tolist())], pa.binary()),
+                    pa.array(off.astype(np.int32)), *[pa.array(signed(x)) for x in names], pa.array([joined[x : x + k] for x, k in zip(at.tolist(), size.tolist())], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(head) + 1)).astype(np.int32)), cells),
                 ],
-                names=["id", "at", "a", "b", "bytes", "cells"],
+                names=["off", "a", "b", "bytes", "cells"],
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(owner[part[head[opens]]])), pa.array(inside[opens].astype(np.int64)), *[pa.array(signed(x)) for x in whole],
+                    pa.ListArray.from_arrays(pa.array(np.append(opens, len(head)).astype(np.int32)), spans),
+                ],
+                names=["id", "at", "sa", "sb", "spans"],
             )
 
 
@@ -512,23 +540,30 @@ def repeated_windows(docs: DataFrame, w: Windows, id_col: str = "doc_id", text_c
     each = single.select("id", F.explode(F.arrays_zip("marks", "times")).alias("x")).select("id", F.col("x.marks").alias("mark"), F.col("x.times").alias("times"))
     often = cut_lineage(each.groupBy("mark").agg(F.sum("times").alias("k")).where("k > 1").select("mark"), "often")
     hits = each.select("id", "mark").join(often, "mark", "left_semi").groupBy("id").agg(F.collect_set("mark").alias("marks"))
-    spans = cut_lineage(texts.join(hits, "id").select("id", "text", "marks").mapInArrow(partial(_cut, w=w), _SPANS), "spans")
+    streams = cut_lineage(texts.join(hits, "id").select("id", "text", "marks").mapInArrow(partial(_cut, w=w), _STREAMS), "streams")
 
-    different = spans.groupBy("a", "b").agg(F.count("*").alias("m"), F.min(F.struct("id", "at")).alias("p"), F.first("cells").alias("cells"))
+    bare = F.transform("spans", lambda x: x.dropFields("bytes"))
+    equal = streams.groupBy("sa", "sb").agg(F.count("*").alias("m"), F.min(F.struct("id", "at")).alias("p"), F.first(bare).alias("spans"))
+    held = cut_lineage(equal.select("sa", "sb", "m", "p", F.explode("spans").alias("x")).select("sa", "sb", "m", F.struct("p.id", (F.col("p.at") + F.col("x.off")).alias("at")).alias("p"), "x.*"), "spans")
+    different = held.groupBy("a", "b").agg(F.sum("m").alias("m"), F.min("p").alias("p"), F.first("cells").alias("cells"))
     cells = different.select("a", "b", "m", "p", F.explode("cells").alias("c")).select("a", "b", "m", "p", "p.id", (F.col("p.at") + F.col("c.off")).alias("at"), *[f"c.{x.split()[0]}" for x in _CELL.split(", ")])
     cells = cut_lineage(cells, "cells")
 
     def with_bytes(some: DataFrame) -> DataFrame:
-        place = spans.select("id", F.col("at").alias("span_at"), "bytes")
+        place = streams.select("id", "at", F.explode("spans").alias("x")).select("id", (F.col("at") + F.col("x.off")).alias("span_at"), "x.bytes")
         return some.withColumn("span_at", F.col("at") - F.col("off")).join(place, ["id", "span_at"]).withColumn("bytes", F.expr("substring(bytes, off + 1, size)"))
 
     masks = cut_lineage(_repeats(_units(cells), with_bytes, w), "masks")
     marked = _own_first(cells.select("a", "b", "p", "core", "seg", "off", F.col("id").alias("pid"), F.col("at").alias("pat")).join(masks, ["core", "seg"]), "pid", "pat", w)
-    marked = cut_lineage(marked.groupBy("a", "b").agg(F.first("p").alias("p"), F.collect_list(F.struct("off", *w.masks)).alias("marks")), "marked")  # read from files, so a join key with most rows can be split
-    runs = spans.select("id", "at", "a", "b").join(marked, ["a", "b"])
-    lead = "(id = p.id AND at = p.at)" if w.first else "false"
-    bits = ", ".join(f"'{c}', " + (f"x.{c} & ~if({lead}, x.first{c[-1]}, 0L)" if w.first and c.startswith("base") else f"x.{c}") for c in w.masks)
-    runs = runs.select("id", F.lit(False).alias("whole"), F.expr(f"transform(marks, x -> named_struct('at', at + x.off, {bits}))").alias("marks"))
+    marked = cut_lineage(marked.groupBy("a", "b").agg(F.first("p").alias("p"), F.collect_list(F.struct("off", *w.masks)).alias("marks")), "marked")
+    # marks meet the different streams, and only streams with marks meet the texts
+    found = held.select("sa", "sb", F.col("off").alias("to"), "a", "b").join(marked, ["a", "b"])
+    found = found.select("sa", "sb", F.expr("transform(marks, x -> named_struct('to', to, 'p', p, 'x', x))").alias("marks"))
+    found = cut_lineage(found.groupBy("sa", "sb").agg(F.flatten(F.collect_list("marks")).alias("marks")), "found")  # read from files, so a join key with most rows can be split
+    runs = streams.select("id", "at", "sa", "sb").join(found, ["sa", "sb"])
+    lead = "(id = y.p.id AND at + y.to = y.p.at)" if w.first else "false"
+    bits = ", ".join(f"'{c}', " + (f"y.x.{c} & ~if({lead}, y.x.first{c[-1]}, 0L)" if w.first and c.startswith("base") else f"y.x.{c}") for c in w.masks)
+    runs = runs.select("id", F.lit(False).alias("whole"), F.expr(f"transform(marks, y -> named_struct('at', at + y.to + y.x.off, {bits}))").alias("marks"))
     copies = base.join(same.where("copies > 1"), "sha").where("id <> first" if w.first else "true").select("id", F.lit(True).alias("whole"))
     return runs.unionByName(copies, allowMissingColumns=True)
 

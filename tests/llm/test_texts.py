@@ -177,6 +177,27 @@ def test_first_copy_stays(spark, monkeypatch, group):
     assert [got[i] for i in range(len(texts))] == removed(texts, 250, first=True)
 
 
+def test_equal_streams_of_spans_meet_once(spark):
+    rng = random.Random(4)
+    prose = lambda n: "".join(rng.choice("abcdefgh ,") for _ in range(n))
+    passage = prose(9000)
+    texts = [prose(rng.randint(0, 300)) + passage + prose(rng.randint(0, 300)) for _ in range(30)]
+    w = suffix.Windows(length=250, first=True)
+    docs = spark.createDataFrame(odd_rows(texts), ODD)
+    # spans are 110 bytes on the average: a row for each would be some eighty for every text
+    assert suffix.repeated_windows(docs, w).count() < 25 * len(texts)
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.without_repeats(docs, windows=w).collect()}
+    assert [got[i] for i in range(len(texts))] == removed(texts, 250, first=True)
+
+
+def test_streams_end_by_their_text():
+    part, ends = np.array([0] * 6 + [1] * 5), np.array([0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0], dtype=bool)
+    opens, number = suffix._streams(part, np.array([0, 1, 2, 3, 5, 6, 7, 8, 9, 10, 11]), ends)
+    assert opens.tolist() == [0, 3, 4, 6, 8] and number.tolist() == [0, 1, 2, 0, 0, 1, 0, 1, 0, 1, 2]
+    opens, number = suffix._streams(np.zeros(150, int), np.arange(150), np.zeros(150, bool))
+    assert opens.tolist() == [0, 64, 128] and number.max() == 63
+
+
 def test_windows_are_checked():
     for wrong in ({"length": 20}, {"length": 400, "longer": 250}, {"longer": 500, "first": True}):
         with pytest.raises(ValueError):

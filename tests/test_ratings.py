@@ -169,3 +169,21 @@ def test_wide_side_rows_are_dealt_once(spark):
     got = state.collect()
     assert len(got) == 80 and len({(r["match_id"], r["entity"]) for r in got}) == 80 and "_row" not in state.columns
     assert all(r["residual_form_short"] == 0 for r in got if r["n_before"] == 0)
+
+
+def test_latest_form_deals_twenty_results_at_most(spark):
+    from tallyspark.operators import state as st
+    from tallyspark.sources.fixtures import parts
+
+    rows = history(120)
+    m = with_batch(spark.createDataFrame(rows, COLS), ROUND_BATCH)
+    p = st.derived_counts(parts(spark, "", m))
+    state = st.latest_state(p)
+    assert "WindowGroupLimit" in state._sc._jvm.PythonSQLUtils.explainString(state._jdf.queryExecution(), "formatted")
+    won = {}
+    for r in sorted(p.select("entity", "batch_no", "match_id", "won").collect(), key=lambda r: (r.batch_no, r.match_id)):
+        won.setdefault(r.entity, []).append(r.won)
+    got = {r.entity: r for r in state.collect()}
+    assert got.keys() == won.keys() and max(map(len, won.values())) > 20
+    for e, results in won.items():
+        assert all(abs(got[e][f"form_{n}"] - sum(results[-n:]) / len(results[-n:])) < 1e-12 for n in (5, 10, 20))

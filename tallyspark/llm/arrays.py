@@ -80,6 +80,13 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray, powers: P
     return (prefix[stop] - prefix[start]) * down[start]
 
 
+def next_hash(prefix: np.ndarray, size: int, powers: Powers = POWERS) -> np.ndarray:
+    """The hash of the ``size`` bytes from every place on that has as many."""
+    n = len(prefix) - size
+    _, down = powers.get(len(prefix))
+    return (prefix[size:] - prefix[:n]) * down[:n]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of every word of the chunk; words are runs of bytes other than ASCII white space."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)

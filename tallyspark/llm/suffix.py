@@ -16,19 +16,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.arrays import MORE_POWERS, as_bytes, chunks, mix, prefix_hash, signed, span_hash
+from tallyspark.llm.arrays import MORE_POWERS, as_bytes, chunks, mix, next_hash, prefix_hash, signed, span_hash
 from tallyspark.session import cut_lineage
 
 LENGTH, GRAM = 400, 32
 PASSAGE = 250
 GROUP = 512
 PIECE = 2 << 20
+PART = 1 << 18
 SORT_BYTES = 1 << 19
 WIDTHS = (128, 16, 2, 1)
 WORDS = WIDTHS[0] // 64
@@ -81,29 +83,27 @@ def _items(texts: list[bytes], w: Windows = Windows()) -> list[tuple[int, int, b
 
 def _least(key: np.ndarray, span: int) -> np.ndarray:
     """The minimum of every ``span`` neighbours."""
-    n = len(key)
-    rows = -(-n // span)
-    square = np.full(rows * span, np.iinfo(_U).max, dtype=_U)
-    square[:n] = key
-    square = square.reshape(rows, span)
-    ahead = np.minimum.accumulate(square, axis=1).reshape(-1)
-    back = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(back[: n - span + 1], ahead[span - 1 : n])
+    width = 1
+    while 2 * width <= span:
+        key = np.minimum(key[:-width], key[width:])
+        width *= 2
+    rest = span - width
+    return np.minimum(key[: len(key) - rest], key[rest:])
 
 
 def _landmarks(parts: list[bytes], w: Windows):
     """For the joined parts: bytes, prefix hashes, gram hashes, part ends, and per window its start, part and landmark place."""
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
     prefix = prefix_hash(data)
-    place = np.arange(len(data) - w.gram + 1)
-    gram = mix(span_hash(prefix, place, place + w.gram))
-    best = (_least((gram & ~_MASK) | place.astype(_U), w.span) & _MASK).astype(np.int64)
+    gram = mix(next_hash(prefix, w.gram))
+    best = (_least((gram & ~_MASK) | np.arange(len(gram), dtype=_U), w.span) & _MASK).view(np.int64)
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes)
-    part = np.repeat(np.arange(len(parts)), sizes)[: len(best)]
-    at = np.arange(len(best))
-    starts = np.flatnonzero((at + w.length <= ends[part]) & ((at - (ends - sizes)[part] < PIECE) | (sizes[part] < PIECE + w.reach - 1)))
-    return data, prefix, gram, ends, starts, part[starts], best[starts]
+    count = np.maximum(sizes - w.length + 1, 0)
+    count[sizes >= PIECE + w.reach - 1] = PIECE
+    part = np.repeat(np.arange(len(parts)), count)
+    starts = np.arange(len(part)) + np.repeat(ends - sizes - np.cumsum(count) + count, count)
+    return data, prefix, gram, ends, starts, part, best[starts]
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.Record
     for batch in batches:
         texts = as_bytes(batch.column(1))
         items = _items(texts, w)
-        for lo, hi in chunks([x[2] for x in items]):
+        for lo, hi in chunks([x[2] for x in items], PART):
             _, _, gram, _, _, part, best = _landmarks([x[2] for x in items[lo:hi]], w)
             head = _runs(part, best)
             owner, mark = part[head], gram[best[head]]
@@ -137,6 +137,17 @@ def _cells(d: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray
     return cell, np.minimum(cell * width + width - 1, span - 1), cell * width
 
 
+def _by_cell(rel: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``count`` windows, the first at landmark distance ``rel``, cut by cell: row, first window and windows of each piece."""
+    top = rel // width
+    pieces = top - (rel - count + 1) // width + 1
+    row = np.repeat(np.arange(len(rel)), pieces)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    off = np.maximum(rel[row] - (top[row] - number + 1) * width + 1, 0)
+    stop = np.minimum(rel[row] - (top[row] - number) * width + 1, count[row])
+    return row, off, stop - off
+
+
 def _shape(rel: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
     return (rel.astype(_U) << _U(42)) + (n.astype(_U) << _U(21)) + size.astype(_U)
 
@@ -151,7 +162,7 @@ def _stretches(prefix: np.ndarray, more: np.ndarray, lo: np.ndarray, n: np.ndarr
 
 _CELL = "core long, seg long, off int, rel int, n int, size int"
 _CELLS = f"array<struct<{_CELL.replace(' ', ':').replace(',:', ',')}>>"
-_STREAMS = f"id long, at long, sa long, sb long, spans array<struct<off:int,a:bigint,b:bigint,bytes:binary,cells:{_CELLS}>>"
+_STREAMS = f"id long, at long, sa long, sb long, spans array<struct<off:int,a:bigint,b:bigint,cells:{_CELLS}>>, bytes array<binary>"
 
 
 def _streams(part: np.ndarray, head: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +186,7 @@ def _cut(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBat
         texts = as_bytes(batch.column(1))
         items = _items(texts, w)
         marks = batch.column(2)
-        for lo, hi in chunks([x[2] for x in items]):
+        for lo, hi in chunks([x[2] for x in items], PART):
             part_bytes = [x[2] for x in items[lo:hi]]
             data, prefix, gram, ends, starts, part, best = _landmarks(part_bytes, w)
             more = prefix_hash(data, MORE_POWERS)
@@ -193,11 +204,7 @@ def _cut(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBat
             shape = _shape(rel, count, size)
             names = [mix(span_hash(prefix, at, at + size) + shape, 301), mix(span_hash(more, at, at + size, MORE_POWERS) + shape, 302)]
 
-            row = np.repeat(np.arange(len(head)), count)
-            off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            inner = _runs(row, _cells(rel[row] - off, width, w.span)[0])
-            n = np.diff(np.append(inner, len(row)))
-            row, off = row[inner], off[inner]
+            row, off, n = _by_cell(rel, count, width)
             place = at[row] + off
             held_bytes = np.minimum(n - 1 + w.reach, stop[row] - place)
             core, seg = _stretches(prefix, more, place, n, rel[row] - off, held_bytes, width, w)
@@ -212,17 +219,19 @@ def _cut(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBat
             whole = [np.add.reduceat(mix(x + order, 304 + k), opens) if len(opens) else x for k, x in enumerate(names)]
             spans = pa.StructArray.from_arrays(
                 [
-                    pa.array(off.astype(np.int32)), *[pa.array(signed(x)) for x in names], pa.array([joined[x : x + k] for x, k in zip(at.tolist(), size.tolist())], pa.binary()),
+                    pa.array(off.astype(np.int32)), *[pa.array(signed(x)) for x in names],
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(head) + 1)).astype(np.int32)), cells),
                 ],
-                names=["off", "a", "b", "bytes", "cells"],
+                names=["off", "a", "b", "cells"],
             )
+            bounds = pa.array(np.append(opens, len(head)).astype(np.int32))
+            held_spans = pa.array([joined[x : x + k] for x, k in zip(at.tolist(), size.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(owner[part[head[opens]]])), pa.array(inside[opens].astype(np.int64)), *[pa.array(signed(x)) for x in whole],
-                    pa.ListArray.from_arrays(pa.array(np.append(opens, len(head)).astype(np.int32)), spans),
+                    pa.ListArray.from_arrays(bounds, spans), pa.ListArray.from_arrays(bounds, held_spans),
                 ],
-                names=["id", "at", "sa", "sb", "spans"],
+                names=["id", "at", "sa", "sb", "spans", "bytes"],
             )
 
 
@@ -233,15 +242,11 @@ def _narrower(batches: Iterator[pa.RecordBatch], width: int, w: Windows) -> Iter
     """Cut stretches into those of a smaller cell width."""
     for batch in batches:
         held = as_bytes(batch.column(8))
-        for lo, hi in chunks(held):
+        for lo, hi in chunks(held, PART):
             data = np.frombuffer(b"".join(held[lo:hi]), dtype=np.uint8)
             base = np.concatenate([[0], np.cumsum([len(b) for b in held[lo:hi]])])[:-1]
             rel0, n0, size0 = (batch.column(k).to_numpy()[lo:hi].astype(np.int64) for k in (5, 6, 7))
-            row = np.repeat(np.arange(hi - lo), n0)
-            off = np.arange(len(row)) - np.repeat(np.cumsum(n0) - n0, n0)
-            head = _runs(row, _cells(rel0[row] - off, width, w.span)[0])
-            n = np.diff(np.append(head, len(row)))
-            row, off = row[head], off[head]
+            row, off, n = _by_cell(rel0, n0, width)
             place, size = base[row] + off, np.minimum(n - 1 + w.reach, size0[row] - off)
             core, seg = _stretches(prefix_hash(data), prefix_hash(data, MORE_POWERS), place, n, rel0[row] - off, size, width, w)
             joined = data.tobytes()
@@ -302,8 +307,9 @@ def suffix_order(parts: list[bytes], reach: int = LENGTH, wanted: np.ndarray | N
         of = text[before]
         order = np.argsort(of, kind="stable")
         before, of = before[order], of[order]
-        for run in np.split(np.arange(len(of)), _runs(of)[1:]) if len(of) else []:
-            waiting[of[run[0]]].append(before[run])
+        edges = [*_runs(of).tolist(), len(of)] if len(of) else []
+        for a, b in pairwise(edges):
+            waiting[of[a]].append(before[a:b])
 
     out = []
     closing = ends[needed[ends - 1]] - 1
@@ -327,12 +333,15 @@ def suffix_order(parts: list[bytes], reach: int = LENGTH, wanted: np.ndarray | N
 
 def equal_ahead(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Whether the ``length`` bytes (eight at least) from a and from b on are equal."""
-    out = np.empty(len(a), dtype=bool)
+    out = np.zeros(len(a), dtype=bool)
+    if not len(a):
+        return out
     steps = np.append(np.arange(0, length - 8, 8), length - 8)
     eight = np.ndarray((len(text) - 7,), dtype="<i8", buffer=np.ascontiguousarray(text).data, strides=(1,))
-    for lo in range(0, len(a), 4096):
-        x, y = a[lo : lo + 4096, None] + steps, b[lo : lo + 4096, None] + steps
-        out[lo : lo + 4096] = (eight[x] == eight[y]).all(axis=1)
+    ends = np.flatnonzero((eight[a] == eight[b]) & (eight[a + (length - 8)] == eight[b + (length - 8)]))
+    for lo in range(0, len(ends), 4096):
+        some = ends[lo : lo + 4096]
+        out[some] = (eight[a[some, None] + steps] == eight[b[some, None] + steps]).all(axis=1)
     return out
 
 
@@ -474,13 +483,18 @@ def _units(rows: DataFrame) -> DataFrame:
 
 def _whole_characters(data: np.ndarray, starts: np.ndarray, gone: np.ndarray) -> np.ndarray:
     """``gone`` and the other bytes of every UTF-8 character that has lost one. Texts begin at ``starts``."""
-    at = np.arange(len(data))
-    head = data >> 6 != 2
-    head[starts[starts < len(data)]] = True
+    place = np.flatnonzero(data >= 0x80)  # ASCII bytes are characters by themselves, and end any other
+    if not len(place) or not gone.any():
+        return gone
+    byte, at = data[place], np.arange(len(place))
+    head = (byte >> 6 != 2) | np.isin(place, starts)
     lead = np.maximum.accumulate(np.where(head, at, 0))
-    size = 1 + (data >= 0xC0).astype(np.int64) + (data >= 0xE0) + (data >= 0xF0)
-    owner = np.where(at - lead < size[lead], lead, at)
-    return (np.bincount(owner, weights=gone, minlength=len(data)) > 0)[owner]
+    size = 1 + (byte >= 0xC0).astype(np.int64) + (byte >= 0xE0) + (byte >= 0xF0)
+    behind = place - place[lead]
+    owner = np.where((behind < size[lead]) & (behind == at - lead), lead, at)
+    out = gone.copy()
+    out[place] = (np.bincount(owner, weights=gone[place], minlength=len(place)) > 0)[owner]
+    return out
 
 
 def _covered(sizes: np.ndarray, owner: np.ndarray, at: np.ndarray, masks: np.ndarray, whole: np.ndarray, length: int) -> np.ndarray:
@@ -502,7 +516,7 @@ def _erase(batches: Iterator[pa.RecordBatch], w: Windows, characters: bool = Fal
         offsets = np.concatenate([[0], np.cumsum(held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
         marks = held.flatten()
         at, words = marks.field("at").to_numpy(), {c: marks.field(c).to_numpy() for c in w.masks}
-        for lo, hi in chunks(texts):
+        for lo, hi in chunks(texts, PART):
             data = np.frombuffer(b"".join(texts[lo:hi]), dtype=np.uint8)
             sizes = np.array([len(t) for t in texts[lo:hi]])
             a, b = offsets[lo], offsets[hi]
@@ -542,15 +556,14 @@ def repeated_windows(docs: DataFrame, w: Windows, id_col: str = "doc_id", text_c
     hits = each.select("id", "mark").join(often, "mark", "left_semi").groupBy("id").agg(F.collect_set("mark").alias("marks"))
     streams = cut_lineage(texts.join(hits, "id").select("id", "text", "marks").mapInArrow(partial(_cut, w=w), _STREAMS), "streams")
 
-    bare = F.transform("spans", lambda x: x.dropFields("bytes"))
-    equal = streams.groupBy("sa", "sb").agg(F.count("*").alias("m"), F.min(F.struct("id", "at")).alias("p"), F.first(bare).alias("spans"))
+    equal = streams.groupBy("sa", "sb").agg(F.count("*").alias("m"), F.min(F.struct("id", "at")).alias("p"), F.first("spans").alias("spans"))
     held = cut_lineage(equal.select("sa", "sb", "m", "p", F.explode("spans").alias("x")).select("sa", "sb", "m", F.struct("p.id", (F.col("p.at") + F.col("x.off")).alias("at")).alias("p"), "x.*"), "spans")
     different = held.groupBy("a", "b").agg(F.sum("m").alias("m"), F.min("p").alias("p"), F.first("cells").alias("cells"))
     cells = different.select("a", "b", "m", "p", F.explode("cells").alias("c")).select("a", "b", "m", "p", "p.id", (F.col("p.at") + F.col("c.off")).alias("at"), *[f"c.{x.split()[0]}" for x in _CELL.split(", ")])
     cells = cut_lineage(cells, "cells")
 
     def with_bytes(some: DataFrame) -> DataFrame:
-        place = streams.select("id", "at", F.explode("spans").alias("x")).select("id", (F.col("at") + F.col("x.off")).alias("span_at"), "x.bytes")
+        place = streams.select("id", "at", F.explode(F.expr("arrays_zip(spans.off, bytes)")).alias("x")).select("id", (F.col("at") + F.col("x.off")).alias("span_at"), "x.bytes")
         return some.withColumn("span_at", F.col("at") - F.col("off")).join(place, ["id", "span_at"]).withColumn("bytes", F.expr("substring(bytes, off + 1, size)"))
 
     masks = cut_lineage(_repeats(_units(cells), with_bytes, w), "masks")

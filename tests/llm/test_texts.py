@@ -262,3 +262,46 @@ def test_flat_binary_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(np.array(ids, dtype="<u2").tobytes())
     rows = document_token_counts(read_token_files(spark, str(tmp_path), block_tokens=3)).collect()
     assert sorted((r.ordinal, r.n_tokens, r.closed) for r in rows) == [(0, 3, True), (1, 1, True), (2, 1, False)]
+
+
+def test_pieces_of_a_cell_match_every_window():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        n, width = int(rng.integers(1, 30)), int(rng.choice(suffix.WIDTHS))
+        rel = rng.integers(0, 400, n)
+        count = np.array([int(rng.integers(1, r + 2)) for r in rel])
+        want = [(i, d // width) for i in range(n) for d in range(rel[i], rel[i] - count[i], -1)]
+        row, off, size = suffix._by_cell(rel, count, width)
+        assert [(r, (rel[r] - o - k) // width) for r, o, s in zip(row.tolist(), off.tolist(), size.tolist()) for k in range(s)] == want
+        assert len(row) == len(set(want))
+
+
+def test_landmarks_match_every_window(monkeypatch):
+    monkeypatch.setattr(suffix, "PIECE", 90)
+    w = suffix.Windows(20, gram=8)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab", k=k)).encode() for k in (20, 21, 45, 120, 300, 19, 88)]
+    items = suffix._items(texts, w)
+    _, _, gram, ends, starts, part, best = suffix._landmarks([x[2] for x in items], w)
+    windows = [(number, at + k) for number, at, piece in items for k in range(len(piece) - 19) if len(piece) < 109 or k < 90]
+    assert [(items[p][0], items[p][1] + s - (ends[p] - len(items[p][2]))) for s, p in zip(starts, part)] == windows
+    assert windows == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 19)]
+    for s, b in zip(starts.tolist(), best.tolist()):
+        assert b == min(range(s, s + 13), key=lambda x: (int(gram[x]) >> 23, x))
+
+
+def test_whole_characters_in_broken_text():
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        data = rng.choice(np.array([0x41, 0x80, 0xBF, 0xC3, 0xE2, 0xF0], dtype=np.uint8), int(rng.integers(1, 20)))
+        starts = np.unique(np.append(rng.integers(0, len(data) + 1, 2), 0))
+        gone = rng.random(len(data)) < 0.2
+        want, at = gone.copy(), 0
+        while at < len(data):
+            stop = at + 1
+            size = 1 + sum(data[at] >= x for x in (0xC0, 0xE0, 0xF0))
+            while stop < min(at + size, len(data)) and data[stop] >> 6 == 2 and stop not in starts:
+                stop += 1
+            want[at:stop] |= gone[at:stop].any()
+            at = stop
+        assert np.array_equal(suffix._whole_characters(data, starts, gone), want)

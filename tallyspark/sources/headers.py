@@ -1,7 +1,8 @@
-"""First lines of text files, read without reading the files."""
+"""First lines and hashes of files, read without holding the files."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -15,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 FILES_PER_TASK = 64
 CHUNK = 1 << 16
+PIECE = 1 << 22
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -27,6 +29,28 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{quote(name, safe='/:@')}")
 
 
+def reachable(path: str) -> bool:
+    """Whether Python can open the path here."""
+    try:
+        store, name = _opened(path)
+        return store.get_file_info(name).is_file
+    except (OSError, pa.ArrowException):
+        return False
+
+
+def sha256(path: str, length: int) -> str:
+    """Hash of a file of ``length`` bytes, read piece by piece."""
+    store, name = _opened(path)
+    digest, seen = hashlib.sha256(), 0
+    with store.open_input_stream(name, compression=None) as stream:
+        while piece := stream.read(PIECE):
+            digest.update(piece)
+            seen += len(piece)
+    if seen != length:
+        raise OSError(f"{path}: {seen} bytes read of {length}")
+    return digest.hexdigest()
+
+
 def first_line(path: str) -> str | None:
     """The text before the first line end, null for an empty file; reads on only until that line ends."""
     store, name = _opened(path)
@@ -82,14 +106,8 @@ def first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     packed = [p for p in paths if p.rsplit(".", 1)[-1].lower() in ("gz", "bz2", "zst", "lz4", "snappy", "deflate", "xz")]
     plain = sorted(set(paths) - set(packed))
-    if plain:
-        try:
-            store, name = _opened(plain[0])
-            reachable = store.get_file_info(name).is_file
-        except (OSError, pa.ArrowException):
-            reachable = False
-        if not reachable:
-            packed, plain = paths, []
+    if plain and not reachable(plain[0]):
+        packed, plain = paths, []
     spark.dataSource.register(FirstLines)
     found = spark.read.format(FirstLines.name()).option("paths", "\n".join(plain)).load().where("head is not null")
     return found.unionByName(_scanned(spark, packed)) if packed else found

@@ -8,6 +8,7 @@ from collections import defaultdict
 from collections.abc import Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from tallyspark.functions.text import (
     normalize_name,
     parse_date,
 )
-from tallyspark.sources.headers import first_lines
+from tallyspark.sources.headers import first_lines, reachable, sha256
 
 YEARLY_NAME = r"(?i)^(atp|wta)_matches_\d{4}\.csv$"
 # Raw count columns per side.
@@ -184,17 +185,47 @@ def _combined(place: str, item: Column) -> Column:
     return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(place).alias("p"), item.alias("i")))), lambda x: x["i"]), "\n"), 256)
 
 
+# Fixed value: the most bytes that are held as one value, where Python cannot open the files.
+WHOLE = 64 << 20
+
+
+def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    for batch in batches:
+        found = [sha256(path, length) for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["path", "length", "sha"])
+
+
+def _hashed_in_store(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Files of a store that only Spark opens: small ones are values of a task, large ones pass through the driver in small pieces."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    large = []
+    for r in files.where(F.col("length") > WHOLE).select("path", "length").collect():
+        where = jvm.org.apache.hadoop.fs.Path(r["path"])
+        stream = where.getFileSystem(conf).open(where)
+        try:
+            large.append((r["path"], r["length"], jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    small = files.where(F.col("length") <= WHOLE).select("path", "length", F.sha2("content", 256).alias("sha"))
+    return small.unionByName(spark.createDataFrame(large, "path string, length bigint, sha string"))
+
+
 def fingerprints(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """Number of files, snapshot hash of paths and sizes (16 hex digits), and a hash of paths and contents.
 
-    Files are known by their path below ``path``; each file, of 2 GB at most, is hashed where it is read and only its
-    hash moves on. Hashes are combined in path order within 4096 groups given by the path's own hash, then the
+    Files are known by their path below ``path``; each file, of any size, is hashed where it is read, a piece at a time, and
+    only its hash moves on. Hashes are combined in path order within 4096 groups given by the path's own hash, then the
     groups are combined in order: no step holds more than its share of the files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     root = F.length(F.regexp_replace(F.lit(path.rstrip("/")), "^[a-z]+:/*", "/"))
     below = F.substr(F.regexp_replace("path", "^[a-z]+:/*", "/"), root + 2)
-    hashed = files.select(below.alias("name"), "length", F.sha2("content", 256).alias("sha"))
+    one = files.select("path").first()
+    if one is None or reachable(one["path"]):
+        read = files.select("path", "length").mapInArrow(_hashed, "path string, length bigint, sha string")
+    else:
+        read = _hashed_in_store(spark, files)
+    hashed = read.select(below.alias("name"), "length", "sha")
     size, sha = F.concat_ws(":", "name", F.col("length").cast("string")), F.concat_ws(":", "name", "sha")
     group = F.substring(F.sha2("name", 256), 1, 3).alias("group")
     part = hashed.groupBy(group).agg(F.count("*").alias("n"), _combined("name", size).alias("sizes"), _combined("name", sha).alias("shas"))

@@ -97,3 +97,35 @@ def test_ratings_summed_in_the_state_scan(spark):
     rows = rows.join(st.state_table(q, st.ENTITY_SURFACE, [rt.surface_measures()]), [*st.ENTITY_SURFACE, "batch_no"])
     got = {(r.match_id, r.entity): (r.overall, r.on_surface, r.surface_n) for r in rows.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_predictions_are_made_once(spark):
+    """The metrics read staged predictions: no plan of theirs scores the rows again, and the rest goes."""
+    from tallyspark.operators import learn
+
+    rows = spark.range(900).select((F.col("id") % 11).cast("double").alias("x"), (F.col("id") % 5 < 2).cast("int").alias("label"), (F.col("id") % 3).cast("int").alias("yr"), F.lit("a").alias("other"))
+    before = staged_folders(spark)
+    grid = learn.parameter_grid(rows, {"a": learn.Variant(("x",)), "b": learn.Variant(("x",), 0.1)}, [2])
+    walked = learn.walk_forward(rows, ["x"], [2])
+    assert len(staged_folders(spark) - before) == 2
+    for out in (grid, walked):
+        assert "_weights" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert grid.count() == 2 and {r.fold: r.n for r in walked.collect()} == {0: 300, 2: 300}
+    before = staged_folders(spark)
+    assert learn.ablation(session.cut_lineage(rows), ["x"], {}, [2]).count() == 1
+    assert len(staged_folders(spark) - before) == 2
+
+
+def test_auc_leaves_out_what_has_no_probability(spark):
+    from tallyspark.operators import metrics as mx
+
+    rows = [("g", 0.2, 0), ("g", 0.4, 1), ("g", 0.4, 0), ("g", 0.9, 1), ("g", None, 1), ("g", None, 0), (None, 0.3, 1)]
+    df = spark.createDataFrame(rows, "grp string, p double, label int").select("grp", F.col("p"), F.col("label").alias("pos"), (1 - F.col("label")).alias("neg"))
+    assert [(r.grp, r.auc) for r in mx.auc(df, ["grp"]).collect()] == [("g", 0.875)]
+
+
+def test_carried_sums_are_those_of_the_position(spark):
+    df = spark.range(40).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 4).alias("at"), F.col("id"))
+    for combine in (True, False):
+        out = prior_totals(df, ["k"], "at", sums={"n": F.lit(1)}, combine=combine, chunk=F.floor(F.col("at") / 3), carried={"own": F.col("id")})
+        assert {(r.k, r.at): (r.n, r.own) for r in out.collect()} == {(k, a): (2 * a, 8 * a + 2 * k + 2) for k in (0, 1) for a in range(10)}
